@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, line_dedup, secret_scan
 from .additive import quality_scores
 from .common import table
 from .packing import packed
@@ -25,6 +27,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(chat.PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.PROBE_TEXT).alias("text"))
+    return chat.turn_digests(chat.format_conversations(turns.unionByName(probe)))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return secret_scan.digests(findings)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _vocabulary(), 512)
 
@@ -33,5 +50,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), _vocabulary(), 2048, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op7_token_counts, op10_best_fit_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_chat_formatting, op5_secret_scan, op6_line_dedup, op7_token_counts, op10_best_fit_packing)}
+SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op5_secret_scan": secret_scan.SQL, "op6_line_dedup": line_dedup.SQL}
