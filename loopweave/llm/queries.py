@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, secret_scan
+from . import chat, decontam, line_dedup, secret_scan
 from .additive import quality_scores
 from .common import table
 from .packing import packed
@@ -33,6 +33,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.turn_digests(chat.format_conversations(turns.unionByName(probe)))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secret_scan.scan(table(spark, sf_dir, "documents"))
     return secret_scan.digests(findings)
@@ -50,5 +54,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), _vocabulary(), 2048, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_chat_formatting, op5_secret_scan, op6_line_dedup, op7_token_counts, op10_best_fit_packing)}
-SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op5_secret_scan": secret_scan.SQL, "op6_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_chat_formatting, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_token_counts, op10_best_fit_packing)}
+SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_decontamination": decontam.SQL, "op5_secret_scan": secret_scan.SQL, "op6_line_dedup": line_dedup.SQL}
