@@ -12,6 +12,7 @@ from .neardup import near_duplicates
 from .packing import packed
 from .rules import quality_rules
 from .tokens import token_counts
+from .toxicity import toxicity_scores
 
 
 def _vocabulary() -> str:
@@ -55,9 +56,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.5)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), _vocabulary(), 2048, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_chat_formatting, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_token_counts, op8_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_chat_formatting, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_token_counts, op8_near_dedup, op9_toxicity, op10_best_fit_packing)}
 SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_decontamination": decontam.SQL, "op5_secret_scan": secret_scan.SQL, "op6_line_dedup": line_dedup.SQL}
