@@ -15,7 +15,7 @@ from .tokens import token_counts
 from .toxicity import toxicity_scores
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -49,7 +49,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), _vocabulary(), 512)
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary(), 512)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), _vocabulary(), 2048, 0)
+    return packed(table(spark, sf_dir, "documents"), vocabulary(), 2048, 0)
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_chat_formatting, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_token_counts, op8_near_dedup, op9_toxicity, op10_best_fit_packing)}
