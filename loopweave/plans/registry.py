@@ -1,4 +1,269 @@
-"""Queries over the residue view and other tables, by name."""
+"""Registered queries and their DuckDB SQL. Structures come from the residue view over ``embeddings``."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.annotate import annotate, classify_ranges, region_of
+from ..operators import cluster, embed, features, geometry, report, scale
+from ..schemas import ALPHABET, AROMATIC, FEATURES, HYDROPHOBIC, NEGATIVE, POLAR, POSITIVE, REGION_RANGES, REGION_WEIGHTS, REGIONS
+from ..sources import structures as files
+from ..storage import written
+from .views import SQL as VIEW
+from .views import annotated_view, residue_view, table, with_base
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r9(c: Column | str) -> Column:
+    c = F.col(f"`{c}`") if isinstance(c, str) else c
+    return F.round(c, 9) + F.lit(0.0)
+
+
+def per_structure(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    return features.extract_features(annotated_view(spark, sf_dir)).select("structure_id", *(r9(n).alias(n) for n in names))
+
+
+def structs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.structures(annotated_view(spark, sf_dir), "seq_no")
+
+
+# --- residues -------------------------------------------------------------------------------------------------------------
+
+_REGION_CASE = "case " + " ".join(f"when {{0}} between {lo} and {hi} then '{n}'" for n, (lo, hi) in REGION_RANGES.items()) + " else 'framework' end"
+
+
+@query(f"with {VIEW} select structure_id, count(*) as n_atoms, sum(res_seq)::bigint as sum_res_seq, round(sum(round(x, 3)), 3) + 0.0::double as sum_x, round(sum(round(y, 3)), 3) + 0.0::double as sum_y, round(sum(round(z, 3)), 3) + 0.0::double as sum_z, round(avg(b_factor), 6) as mean_b, string_agg(region, ',' order by ordinal) as regions from annotated group by structure_id")
+def pdb_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residues written as PDB records and read back by the scan."""
+    rows = residue_view(spark, sf_dir)
+    line = F.format_string("ATOM  %5d  CA  GLY A%4d    %8.3f%8.3f%8.3f  1.00%6.2f           C", F.col("ordinal"), F.col("res_seq"), *(F.col(f"ca_{c}").cast("double") for c in "xyz"), F.col("b_factor"))
+    text = rows.groupBy("structure_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda s: s["line"]), "\n").alias("t"))
+    atoms, _ = files.parse_structures(text.select(F.concat("structure_id", F.lit(".pdb")).alias("path"), F.encode("t", "UTF-8").alias("content")))
+    back = annotate(files.residues(atoms))
+    order = F.sort_array(F.collect_list(F.struct("ordinal", "region")))
+    return back.groupBy("structure_id").agg(F.count("*").alias("n_atoms"), F.sum("res_seq").alias("sum_res_seq"), *((F.round(F.sum(F.round(f"ca_{c}", 3)), 3) + F.lit(0.0)).alias(f"sum_{c}") for c in "xyz"),
+                                            F.round(F.avg("b_factor"), 6).alias("mean_b"), F.array_join(F.transform(order, lambda s: s["region"]), ",").alias("regions"))
+
+
+@query(f"select region, count(*) as n, min(p_size) as least, max(p_size) as most from (select p_size, {_REGION_CASE.format('p_size')} as region from part) group by region")
+def region_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_size", region_of(F.col("p_size")).alias("region")).groupBy("region").agg(F.count("*").alias("n"), F.min("p_size").alias("least"), F.max("p_size").alias("most"))
+
+
+@query("select region, count(*) as n from (select case when l_quantity::bigint between 1 and 5 then 'low' when l_quantity::bigint between 20 and 30 then 'middle' else 'framework' end as region from lineitem) group by region")
+def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = spark.createDataFrame([("low", 1, 5), ("middle", 20, 30)], "label string, lo long, hi long")
+    return classify_ranges(table(spark, sf_dir, "lineitem").select("l_quantity"), "l_quantity", ranges).groupBy("region").agg(F.count("*").alias("n"))
+
+
+@query(f"with {VIEW} select structure_id, string_agg(one_letter, '' order by ordinal) as sequence, " + ", ".join(f"coalesce(string_agg(one_letter, '' order by ordinal) filter (where region = '{r}'), '') as \"{r}\"" for r in REGIONS) + " from annotated group by structure_id")
+def sequence_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = annotated_view(spark, sf_dir)
+    whole = F.expr("listagg(one_letter, '') within group (order by ordinal)").alias("sequence")
+    parts = [F.expr(f"coalesce(listagg(one_letter, '') within group (order by ordinal) filter (where region = '{r}'), '')").alias(r) for r in REGIONS]
+    return rows.groupBy("structure_id").agg(whole, *parts)
+
+
+@query(f"with {VIEW} select structure_id, ordinal, 'A' as chain, res_seq, 'UNK' as res_name, one_letter, res_seq as imgt_pos, region, round_even(b_factor, 2) as b_factor, region like 'CDR%' as is_paratope_candidate from annotated")
+def residue_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.residue_details(annotated_view(spark, sf_dir))
+
+
+# --- features -------------------------------------------------------------------------------------------------------------
+
+_LETTERS = "letters as (select structure_id, " + ", ".join(f"coalesce(string_agg(one_letter, '' order by ordinal) filter (where region = '{r}'), '') as \"{r}\"" for r in REGIONS) + " from annotated group by structure_id)"
+
+
+def _share_sql(region: str, letters: str) -> str:
+    return f"length(regexp_replace(\"{region}\", '[^{letters}]', '', 'g'))::double / greatest(length(\"{region}\"), 1)"
+
+
+_FEATURE_SQL: dict[str, str] = {f"{r}_length": f"length(\"{r}\")::double" for r in REGIONS}
+for _r in REGIONS:
+    _FEATURE_SQL |= {f"{_r}_frac_{a}": _share_sql(_r, a) for a in ALPHABET}
+for _r in REGIONS:
+    _FEATURE_SQL |= {f"{_r}_net_charge": f"{_share_sql(_r, POSITIVE)} - {_share_sql(_r, NEGATIVE)}", f"{_r}_pos_frac": _share_sql(_r, POSITIVE), f"{_r}_neg_frac": _share_sql(_r, NEGATIVE)}
+for _r in REGIONS:
+    _FEATURE_SQL |= {f"{_r}_hydro": _share_sql(_r, HYDROPHOBIC), f"{_r}_polar": _share_sql(_r, POLAR), f"{_r}_aromatic": _share_sql(_r, AROMATIC)}
+_FEATURE_SQL |= {"cdr_pw_dist_mean": "coalesce(pm, 0)", "cdr_pw_dist_std": "coalesce(ps, 0)", "cdr_centroid_mean": "coalesce(cm, 0)", "cdr_centroid_std": "coalesce(cs, 0)", "sasa_exposure_mean": "coalesce(em, 0)", "sasa_exposure_std": "coalesce(es, 0)",
+                 "hotspot_score": " + ".join(f"length(\"{r}\") * {w}::double" for r, w in REGION_WEIGHTS.items())}
+
+_GEOMETRY = """
+loops as (select * from annotated where region like 'CDR%'),
+pair as (select a.structure_id, avg(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2)) as pm, stddev_pop(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2)) as ps from loops a join loops b on a.structure_id = b.structure_id and a.ordinal < b.ordinal group by a.structure_id),
+middle as (select structure_id, avg(x) as mx, avg(y) as my, avg(z) as mz, count(*) as n from loops group by structure_id),
+away as (select structure_id, avg(d) as cm, stddev_pop(d) as cs from (select l.structure_id, sqrt((x-mx)**2 + (y-my)**2 + (z-mz)**2) as d from loops l join middle m using (structure_id) where n >= 2) group by structure_id),
+near as (select a.structure_id, a.ordinal, 1.0::double / count(*) as e from loops a join annotated b on a.structure_id = b.structure_id and sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) < 8.0 group by a.structure_id, a.ordinal),
+exposed as (select structure_id, avg(e) as em, stddev_pop(e) as es from near group by structure_id)
+"""
+
+
+def _features_sql(names: list[str]) -> str:
+    return (f"with {VIEW}, {_LETTERS}, {_GEOMETRY} select structure_id, " + ", ".join(f"round({_FEATURE_SQL[n]}, 9) + 0.0::double as \"{n}\"" for n in names)
+            + " from letters left join pair using (structure_id) left join away using (structure_id) left join exposed using (structure_id)")
+
+
+_GROUPS = {
+    "region_lengths": [n for n in FEATURES if n.endswith("_length")], "hotspot_score": ["hotspot_score"], "aa_composition": [n for n in FEATURES if "_frac_" in n],
+    "charge_features": [n for n in FEATURES if n.endswith(("_charge", "_pos_frac", "_neg_frac"))], "hydro_polar_aromatic": [n for n in FEATURES if n.endswith(("_hydro", "_polar", "_aromatic"))],
+    "ca_geometry": [n for n in FEATURES if n.startswith("cdr_")], "sasa_proxy": [n for n in FEATURES if n.startswith("sasa_")], "feature_vector": list(FEATURES),
+}
+for _name, _columns in _GROUPS.items():
+    QUERIES[_name] = lambda spark, sf_dir, c=_columns: per_structure(spark, sf_dir, c)
+    SQL[_name] = _features_sql(_columns)
+
+
+# --- scaling and projection ---------------------------------------------------------------------------------------------------
+
+DIMS = 64
+
+
+def wide(spark: SparkSession, sf_dir: str, n: int = DIMS) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", k).cast("double").alias(f"e{k}") for k in range(n)))
+
+
+@query("with w as (select vec_id, " + ", ".join(f"embedding[{k + 1}]::double as e{k}" for k in range(DIMS)) + " from embeddings), s as (select " + ", ".join(f"avg(e{k}) as m{k}, stddev_pop(e{k}) as s{k}" for k in range(DIMS)) + " from w) select vec_id, "
+       + ", ".join(f"round((e{k} - m{k}) / case when s{k} = 0 then 1 else s{k} end, 7) + 0.0::double as e{k}" for k in range(DIMS)) + " from w, s")
+def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"e{k}" for k in range(DIMS)]
+    return scale.standardize(wide(spark, sf_dir), names).select("vec_id", *((F.round(n, 7) + F.lit(0.0)).alias(n) for n in names))
+
+
+@query("with w as (select " + ", ".join(f"embedding[{k + 1}]::double as e{k}" for k in range(8)) + " from embeddings) " + " union all ".join(f"select {i}::int as i, {j}::int as j, round(covar_pop(e{i}, e{j}), 9) + 0.0::double as cov from w" for i in range(8) for j in range(i, 8)))
+def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scale.covariance(wide(spark, sf_dir, 8), [f"e{k}" for k in range(8)]).select("i", "j", r9("cov").alias("cov"))
+
+
+def standard_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"e{k}" for k in range(DIMS)]
+    return scale.standardize(wide(spark, sf_dir), names).select(F.col("vec_id").alias("seq_no"), F.array(*names).alias("vector"))
+
+
+@query()
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.reduce_dimensions(standard_vectors(spark, sf_dir), "pca").select(F.col("seq_no").alias("vec_id"), *(r9(c).alias(c) for c in ("dim1", "dim2", "dim3")))
+
+
+@query()
+def tsne_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.reduce_dimensions(standard_vectors(spark, sf_dir), "tsne", 2).select(F.col("seq_no").alias("vec_id"), "dim1", "dim2", "dim3")
+
+
+@query()
+def umap_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.reduce_dimensions(standard_vectors(spark, sf_dir), "umap", 3).select(F.col("seq_no").alias("vec_id"), "dim1", "dim2", "dim3")
+
+
+# --- pairs and clusters -------------------------------------------------------------------------------------------------------
+
+_RANKED = """ranked as (select *, row_number() over (partition by vec_id order by ordinal) as rn, count(*) over (partition by vec_id) as n from annotated where region like 'CDR%'),
+ frames as (select vec_id, count(*) as nf from annotated where region = 'framework' group by vec_id)"""
+_PAIRED = """paired as (select a.vec_id as vi, b.vec_id as vj, a.x as ax, a.y as ay, a.z as az, b.x as bx, b.y as by_, b.z as bz from ranked a join ranked b on a.vec_id < b.vec_id and a.rn = b.rn and a.rn <= least(a.n, b.n)
+ join frames f on f.vec_id = a.vec_id join frames g on g.vec_id = b.vec_id where least(f.nf, g.nf) >= 3 {0})"""
+
+
+@query(f"with {VIEW}, {_RANKED}, {_PAIRED.format('')} select vi::varchar as i, vj::varchar as j, round(sqrt(avg((ax-bx)**2 + (ay-by_)**2 + (az-bz)**2)), 8) as rmsd from paired group by vi, vj")
+def pair_rmsd_unaligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.pair_rmsd_unaligned(structs_view(spark, sf_dir)).select("i", "j", F.round("rmsd", 8).alias("rmsd"))
+
+
+@query(f"with {VIEW}, {_RANKED}, {_PAIRED.format('')}, centred as (select vi, vj, avg(ax) as ma, avg(ay) as mb, avg(az) as mc, avg(bx) as na, avg(by_) as nb, avg(bz) as nc from paired group by vi, vj)"
+       " select vi::varchar as i, vj::varchar as j, round(sqrt(avg(((ax-ma)-(bx-na))**2 + ((ay-mb)-(by_-nb))**2 + ((az-mc)-(bz-nc))**2)), 8) as rmsd from paired join centred using (vi, vj) group by vi, vj")
+def pair_rmsd_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.pair_rmsd_unaligned(structs_view(spark, sf_dir), centred=True).select("i", "j", F.round("rmsd", 8).alias("rmsd"))
+
+
+@query()
+def pair_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.pair_rmsd(structs_view(spark, sf_dir))
+
+
+@query()
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.near_pairs(structs_view(spark, sf_dir), 1.25).select("i", "j", "rmsd")
+
+
+@query("select vec_id::varchar as structure_id, (vec_id // 10)::int as structural_cluster, (vec_id - vec_id % 10)::varchar as representative from embeddings")
+def structural_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.structural_clusters(written(structs_view(spark, sf_dir), "structures"), 1.25).select("structure_id", "structural_cluster", "representative")
+
+
+@query("select vec_id, (vec_id // 10)::int as cluster from embeddings")
+def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [(F.get("base", k).cast("double") + 0.05 * F.get("own", k).cast("double")).alias(f"e{k}") for k in range(DIMS)]
+    names = [f"e{k}" for k in range(DIMS)]
+    points = scale.standardize(with_base(spark, sf_dir).select("vec_id", *columns), names).select("vec_id", F.array(*names).alias("vector"))
+    return cluster.density_clusters(points, 3, key="vec_id").select("vec_id", "cluster")
+
+
+# --- reports ----------------------------------------------------------------------------------------------------------------------
+
+_SCORED = f"{VIEW}, {_LETTERS}, scored as (select l.structure_id, l.structure_id::bigint as seq_no, a.label as cluster, {_FEATURE_SQL['hotspot_score']} as hotspot_score from letters l join embeddings a on a.vec_id = l.structure_id::bigint)"
+
+
+@query(f"with {_SCORED} select cluster, count(*) as members, arg_min(structure_id, (1e6 - hotspot_score) * 1e6 + seq_no) as representative, round_even(avg(hotspot_score), 3) as mean_hotspot from scored group by cluster")
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("structure_id"), F.col("vec_id").alias("seq_no"), F.col("label").alias("cluster"))
+    scored = features.extract_features(annotated_view(spark, sf_dir)).select("structure_id", "hotspot_score").join(labels, "structure_id")
+    return report.cluster_summary(scored.withColumnRenamed("structure_id", "structure"), "seq_no")
+
+
+_TEN = [str(k) for k in range(10)]
+
+
+@query(f"with {VIEW}, {_RANKED}, {_PAIRED.format('and a.vec_id < 10 and b.vec_id < 10')}, d as (select vi, vj, sqrt(avg((ax-bx)**2 + (ay-by_)**2 + (az-bz)**2)) as r from paired group by vi, vj),"
+       " mirrored as (select vi, vj, r from d union all select vj, vi, r from d union all select vec_id, vec_id, 0.0::double from embeddings where vec_id < 10)"
+       f" select vi::varchar as structure, {', '.join(f'round(max(case when vj = {k} then r end), 8) as "{k}"' for k in range(10))} from mirrored group by vi")
+def rmsd_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = structs_view(spark, sf_dir).where("seq_no < 10")
+    grid = report.rmsd_matrix(geometry.pair_rmsd_unaligned(few), _TEN)
+    return grid.select("structure", *(F.round(f"`{k}`", 8).alias(k) for k in _TEN))
+
+
+def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.extract_features(annotated_view(spark, sf_dir))
+    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("structure_id"), F.col("label").alias("cluster"), F.get("embedding", 0).cast("double").alias("dim1"), F.get("embedding", 1).cast("double").alias("dim2"))
+    out = report.result_table(found, ids, ids)
+    return out.select("structure", *(F.round(c, 6).alias(c) for c in ("dim1", "dim2", "dim3")), "cluster", F.round("hotspot_score", 6).alias("hotspot_score"), *(F.col(f"`{r}`") for r in REGIONS))
+
+
+_RESULT = (f"with {VIEW}, {_LETTERS} select l.structure_id as structure, round(embedding[1]::double, 6) as dim1, round(embedding[2]::double, 6) as dim2, 0.0::double as dim3, label as cluster, round({_FEATURE_SQL['hotspot_score']}, 6) as hotspot_score, "
+           + ", ".join(f'"{r}"' for r in REGIONS) + " from letters l join embeddings a on a.vec_id = l.structure_id::bigint")
+QUERIES["result_table"], SQL["result_table"] = _result, _RESULT
+
+
+@query(_RESULT)
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from uuid import uuid4
+
+    from ..storage import shared_dir
+
+    result = _result(spark, sf_dir)
+    path = f"{shared_dir(spark)}/result-{uuid4().hex}.csv"
+    report.write_csv(result, path)
+    return spark.read.schema(result.schema).option("header", True).option("emptyValue", "").csv(path).fillna("", list(REGIONS))
+
+
+@query(f"with {_SCORED} select structure_id, cluster, rank, score from (select structure_id, cluster, row_number() over (partition by cluster order by hotspot_score desc, seq_no)::int as rank, round(hotspot_score, 9) as score from scored) where rank <= 3")
+def top_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three highest scores of each cluster."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("structure_id"), F.col("vec_id").alias("seq_no"), F.col("label").alias("cluster"))
+    scored = features.extract_features(annotated_view(spark, sf_dir)).select("structure_id", "hotspot_score").join(labels, "structure_id")
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("hotspot_score"), "seq_no"))
+    return scored.withColumn("rank", rank).where("rank <= 3").select("structure_id", "cluster", "rank", r9("hotspot_score").alias("score"))
+
+
+FLAGSHIP = QUERIES["cluster_summary"]
