@@ -64,17 +64,30 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = seen.join(repeated, ["_h1", "_h2"]).where(~place.eqNullSafe(F.col("first")))
     covered = later.groupBy("_k1", "_k2").agg(F.collect_set("pos").alias("_covered"))
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select("*", *_row_key(id_col, text_col)).join(covered, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    # A document without later occurrences keeps its text untouched.
-    split = keyed.withColumn("_lines", _lines(text)).withColumn("_full", _full(F.col("_lines")))
-    gone = F.array_distinct(F.flatten(F.transform("_covered", lambda p: F.transform(F.sequence(p, F.least(p + WIDTH - 1, F.size("_full") - 1)), lambda j: F.get("_full", j)))))
-    marked = split.withColumn("_gone", F.when(F.col("_covered").isNotNull(), gone))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    rest = F.when(F.size("_gone") == F.size("_full"), F.lit("")).otherwise(F.array_join(F.transform(stays, lambda i: F.get("_lines", i)), "\n"))
-    out = marked.withColumn("_n_lines", F.size("_full").cast("long"))
-    out = out.withColumn("_n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns, "_n_lines", "_n_removed")
+    # the row travels as one struct, so that its columns may have any names
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_row_key(id_col, text_col)).join(covered, ["_k1", "_k2"], "left")
+    text = F.col("row").getField(text_col)
+    rebuilt = _let(_lines(F.coalesce(text, F.lit(""))), lambda lines: _let(_full(lines), lambda full: F.when(
+        F.col("_covered").isNull(), F.struct(text.alias("text"), F.size(full).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    ).otherwise(_let(_gone(full), lambda gone: F.struct(_rest(lines, full, gone).alias("text"), F.size(full).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"))))))
+    out = keyed.select("row", rebuilt.alias("result"))
+    return out.select(*((F.col("result.text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns), F.col("result.n_lines").alias("_n_lines"), F.col("result.n_removed").alias("_n_removed"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, wherever the optimiser moves the expression: a lambda's argument is not
+    put in place of its uses."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _gone(full: Column) -> Column:
+    """Places of the lines that the covered windows hold, merged."""
+    return F.array_distinct(F.flatten(F.transform("_covered", lambda p: F.slice(full, p + 1, F.lit(WIDTH)))))
+
+
+def _rest(lines: Column, full: Column, gone: Column) -> Column:
+    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.when(F.size(gone) == F.size(full), F.lit("")).otherwise(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))
 
 
 def digests(result: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
