@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
-from .statistics import features
+from .statistics import FEATURES, features
 from .tokens import slices
 
 
@@ -89,7 +89,7 @@ def _quarters(grad: np.ndarray, hess: np.ndarray, least: float, ridge: float) ->
 
 def fit(x: np.ndarray, y: np.ndarray, cycles: int = 150, pair_cycles: int = 60, n_pairs: int = 6, max_bins: int = 64, grid: int = 12, leaves: int = 4, rate: float = 0.15, least: float = 2.0, ridge: float = 1.0) -> AdditiveModel:
     """Without labelled rows the model gives 0.5 for everything; with one class only, that class's smoothed share."""
-    n, k = x.shape if x.size else (0, x.shape[1] if x.ndim == 2 else 0)
+    n, k = x.shape
     share = (y.sum() + 1) / (n + 2)
     model = AdditiveModel([], [], intercept=float(np.log(share / (1 - share))))
     for f in range(k):
@@ -136,7 +136,7 @@ def feature_table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), pa.array([features(t)[1] for t in part.column(2).to_pylist()], pa.list_(pa.float64()))], ["id", "label", "x"])
 
     got = sorted((tuple(r) for r in rows.mapInArrow(run, "id string, label int, x array<double>").collect()), key=lambda r: (r[0], r[1], r[2]))
-    x = np.array([r[2] for r in got], float).reshape(len(got), -1)
+    x = np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES))
     return x, np.array([r[1] for r in got], float)
 
 

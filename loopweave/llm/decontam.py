@@ -185,10 +185,11 @@ def digests(result: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, without a benchmark window. The decision is joined by the row's id and
     text, and only contaminated rows (few) are on the other side."""
-    key = [F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit(""))).alias("_k1"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1), id_col).alias("_k2")]
-    keyed = docs.select("*", F.struct(*key).alias("_key"))
-    hit = contamination(keyed, benchmark, "_key", text_col).where("n_hit > 0").select("_key").distinct()
-    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the row travels as one struct, so that its columns may have any names
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.struct(F.xxhash64(id_col, text).alias("a"), F.xxhash64(text, F.lit(1), id_col).alias("b")).alias("key"), text.alias("text"))
+    hit = contamination(keyed.select("key", "text"), benchmark, "key", "text").where("n_hit > 0").select("key").distinct()
+    return keyed.join(hit, "key", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 SQL = r"""
