@@ -13,8 +13,10 @@ from ..storage import written
 from .geometry import near_pairs
 from .graph import components
 
-#: Rows of one density clustering at most: the spanning tree takes n * n steps and the hierarchy n of memory.
-DENSITY_ROWS = 50_000
+#: Vectors whose spanning tree is built in one task; of more, blocks of this size are compared pair by pair.
+TREE_BLOCK = 4_096
+#: Rows of one density clustering at most: its hierarchy is one object in one task, about 200 bytes a row.
+DENSITY_ROWS = 10_000_000
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
@@ -102,14 +104,61 @@ def spanning_tree(x: np.ndarray) -> np.ndarray:
     return edges
 
 
+def distributed_tree(points: DataFrame, blocks: int) -> DataFrame:
+    """(a, b, d): the Euclidean minimum spanning tree of (key, vector) rows, by Boruvka's rounds. In each, every pair of
+    blocks finds the shortest edge that leaves each component, the shortest of all blocks join components, and at least half
+    of these vanish. Edges are ordered by length, then keys, so ties cannot close a circle. No task holds more than two
+    blocks; the comparisons grow with the square of the rows, as an exact tree's do."""
+    kind = points.schema["key"].dataType.simpleString()
+    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    dealt = points.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = written(dealt.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "key", "vector"), "blocks")
+    names = written(points.select("key", F.col("key").alias("component")), "names")
+    tree = None
+
+    def leave(key, rows):
+        ids, comp, own = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "component", "own"))
+        x = np.array(rows.column("vector").to_pylist(), float)
+        left, right = np.flatnonzero(own == key[0].as_py()), np.flatnonzero(own == key[1].as_py())
+        best: dict = {}
+        for i in left:
+            k = right[comp[right] != comp[i]]
+            if not len(k):
+                continue
+            d = np.sqrt(((x[k] - x[i]) ** 2).sum(1))
+            order = np.lexsort((np.maximum(ids[k], ids[i]), np.minimum(ids[k], ids[i]), d))
+            edge = lambda j: (d[j], min(ids[i], ids[k[j]]), max(ids[i], ids[k[j]]))  # noqa: B023, E731
+            first = edge(order[0])
+            best[comp[i]] = min(best.get(comp[i], first), first)
+            # the shortest edge to each component on the other side
+            _, at = np.unique(comp[k][order], return_index=True)
+            for j in order[at]:
+                e = edge(j)
+                best[comp[k[j]]] = min(best.get(comp[k[j]], e), e)
+        kind = rows.schema.field("key").type
+        return pa.table({"component": pa.array(list(best), kind), "d": pa.array([e[0] for e in best.values()], pa.float64()), "a": pa.array([e[1] for e in best.values()], kind), "b": pa.array([e[2] for e in best.values()], kind)})
+
+    while True:
+        found = dealt.join(names, "key").groupBy("p", "q").applyInArrow(leave, f"component {kind}, d double, a {kind}, b {kind}")
+        chosen = written(found.groupBy("component").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b", "e.d").distinct(), "edges")
+        if chosen.isEmpty():
+            return tree
+        tree = chosen if tree is None else tree.union(chosen)
+        joined = components(tree.select("a", "b"))
+        names = written(names.select("key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component")), "names")
+
+
 def density_labels(x: np.ndarray, least: int = 3) -> np.ndarray:
+    """Labels of the rows of a matrix; see ``labels_of_tree``."""
+    return labels_of_tree(len(x), spanning_tree(x) if len(x) > 1 else np.empty((0, 3)), least)
+
+
+def labels_of_tree(n: int, edges: np.ndarray, least: int = 3) -> np.ndarray:
     """HDBSCAN labels with min_samples 1, so that mutual reachability is the distance itself: single linkage, condensed by
     ``least``, clusters of the largest excess of mass, the root excluded. Noise is -1; with fewer rows than ``least`` all
     are 0. Clusters are numbered by their first row."""
-    n = len(x)
     if n < least or n < 2:
         return np.zeros(n, int)
-    edges = spanning_tree(x)
     edges = edges[np.argsort(edges[:, 2], kind="stable")]
     # the dendrogram: node n + k joins two nodes at the distance of the k-th edge
     head, size = np.arange(2 * n - 1), np.ones(2 * n - 1, int)
@@ -183,18 +232,29 @@ def density_labels(x: np.ndarray, least: int = 3) -> np.ndarray:
 
 
 def density_clusters(points: DataFrame, least: int = 3, key: str = "seq_no", vector: str = "vector") -> DataFrame:
-    """``points`` (key, vector) with ``cluster``. The hierarchy is one object, so all vectors meet in one task; more than
-    ``DENSITY_ROWS`` rows are refused rather than cut."""
+    """``points`` (key, vector) with ``cluster``. Up to ``TREE_BLOCK`` vectors are clustered in one task. Of more, the
+    spanning tree is built by all tasks, and one task gets its edges, three numbers a row; beyond ``DENSITY_ROWS`` rows are
+    refused rather than cut."""
     n = points.count()
     if n > DENSITY_ROWS:
         raise ValueError(f"{n} rows; one density clustering takes {DENSITY_ROWS} at most")
     kind = points.schema[key].dataType.simpleString()
+    slim = points.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
 
-    def run(rows):
-        order = np.argsort(rows.column("key").to_numpy(zero_copy_only=False), kind="stable")
-        rows = rows.take(pa.array(order))
+    def whole(rows):
+        rows = rows.take(pa.array(np.argsort(rows.column("key").to_numpy(zero_copy_only=False), kind="stable")))
         x = np.array(rows.column("vector").to_pylist(), float)
         return pa.table({"key": rows.column("key"), "cluster": pa.array(density_labels(x, least), pa.int32())})
 
-    labels = points.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(run, f"key {kind}, cluster int")
+    def from_edges(rows):
+        a, b, d = (rows.column(c).to_numpy(zero_copy_only=False) for c in "abd")
+        keys, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        edges = np.stack([place[: len(a)], place[len(a) :], d], 1)
+        return pa.table({"key": pa.array(keys, rows.schema.field("a").type), "cluster": pa.array(labels_of_tree(len(keys), edges, least), pa.int32())})
+
+    if n <= TREE_BLOCK:
+        labels = slim.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(whole, f"key {kind}, cluster int")
+    else:
+        tree = distributed_tree(slim, -(-n // TREE_BLOCK))
+        labels = tree.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(from_edges, f"key {kind}, cluster int")
     return points.join(labels.withColumnRenamed("key", key), key)

@@ -116,6 +116,17 @@ def test_spanning_tree_is_least():
     assert cluster.spanning_tree(x)[:, 2].sum() == pytest.approx(total)
 
 
+def test_distributed_tree(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.2, (25, 3)), rng.normal(4, 0.2, (30, 3)), rng.normal(9, 3, (6, 3)), np.zeros((4, 3))])
+    one = [r.cluster for r in cluster.density_clusters(points(spark, x)).orderBy("seq_no").collect()]
+    monkeypatch.setattr(cluster, "TREE_BLOCK", 20)
+    df = points(spark, x)
+    tree = cluster.distributed_tree(df.withColumnRenamed("seq_no", "key"), 4).collect()
+    assert len(tree) == len(x) - 1 and sum(r.d for r in tree) == pytest.approx(cluster.spanning_tree(x)[:, 2].sum())
+    assert [r.cluster for r in cluster.density_clusters(df).orderBy("seq_no").collect()] == one and len(set(one)) >= 3
+
+
 def points(spark, x):
     return spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "seq_no int, vector array<double>")
 
