@@ -245,6 +245,25 @@ _RESULT = (f"with {VIEW}, {_LETTERS} select l.structure_id as structure, round(e
 QUERIES["result_table"], SQL["result_table"] = _result, _RESULT
 
 
+@query(f"select structure, dim1, dim2, dim3, cluster::varchar as cluster, hotspot_score, {', '.join(chr(34) + r + chr(34) for r in REGIONS)} from ({_RESULT})")
+def scatter_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.scatter_data(_result(spark, sf_dir))
+
+
+@query(f"with {VIEW} select structure_id, ordinal, res_seq, one_letter, region from annotated where structure_id = '42'")
+def detail_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The residues of one structure: a lookup by name is what the operator does."""
+    return report.details_of(features.residue_details(annotated_view(spark, sf_dir)), "42").select("structure_id", "ordinal", "res_seq", "one_letter", "region")
+
+
+@query(f"with {VIEW} select structure_id, ordinal, near from (select a.structure_id, a.ordinal, count(*) - 1 as near from annotated a join annotated b on a.structure_id = b.structure_id and sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) < 8.0 where a.region like 'CDR%' group by a.structure_id, a.ordinal)")
+def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alpha carbons within the radius of each loop alpha carbon, itself left out."""
+    rows = features.grouped(annotated_view(spark, sf_dir))
+    near = F.transform("cdr_ca", lambda p: F.struct(p["ordinal"].alias("ordinal"), (F.size(F.filter("ca", lambda q: features.distance(p, q) < features.RADIUS)) - 1).cast("long").alias("near")))
+    return rows.select("structure_id", F.inline(near))
+
+
 @query(_RESULT)
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from uuid import uuid4
