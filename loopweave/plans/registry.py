@@ -214,11 +214,12 @@ def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORED = f"{VIEW}, {_LETTERS}, scored as (select l.structure_id, l.structure_id::bigint as seq_no, a.label as cluster, {_FEATURE_SQL['hotspot_score']} as hotspot_score from letters l join embeddings a on a.vec_id = l.structure_id::bigint)"
 
 
-@query(f"with {_SCORED} select cluster, count(*) as members, arg_min(structure_id, (1e6 - hotspot_score) * 1e6 + seq_no) as representative, round_even(avg(hotspot_score), 3) as mean_hotspot from scored group by cluster")
+@query(f"with {_SCORED} select cluster, count(*) as members, arg_min(structure_id, (1e6 - hotspot_score) * 1e6 + seq_no) as representative, round(avg(hotspot_score), 9) as mean_hotspot from scored group by cluster")
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("structure_id"), F.col("vec_id").alias("seq_no"), F.col("label").alias("cluster"))
     scored = features.extract_features(annotated_view(spark, sf_dir)).select("structure_id", "hotspot_score").join(labels, "structure_id")
-    return report.cluster_summary(scored.withColumnRenamed("structure_id", "structure"), "seq_no")
+    # nine digits: sums in another order may fall on either side of a tie at three
+    return report.cluster_summary(scored.withColumnRenamed("structure_id", "structure"), "seq_no", 9)
 
 
 _TEN = [str(k) for k in range(10)]
