@@ -11,9 +11,10 @@ share c values still share one when each leaves out its c - 1 most frequent valu
 all. So values of passages that many documents hold cost nothing unless a document consists of little else.
 
 Large groups. A list's members are compared with two leaders (its smallest and largest id), not with each other. After the
-confirmed links are contracted to components, only lists that still hold several components go on: there, the overlaps
-of members of different components are counted as a product of matrices, block by block, and pairs that may be similar
-are confirmed in turn.
+confirmed links are contracted to components, only lists that still hold several components go on. Their members carry a
+parity sketch of the whole set: each shingle flips one of ``PARITY`` bits, so the bits in which two sketches differ are never
+more than the shingles in which the sets do. That bound, which loses no link, leaves few pairs of different components, and
+these are confirmed in turn.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .tokens import slices
 KEPT, LISTED = 64, 32
 #: Chance of missing the sketch of a linked pair that each bound below allows.
 MISS = 1e-9
-#: Members of a block in a list that is compared all against all.
-BLOCK = 600
+#: Members of a block in a list that is compared all against all, and bits of a parity sketch.
+BLOCK, PARITY = 3000, 4096
 
 #: Lower-case A-Z only; a word is a run of anything but the six ASCII spaces.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -158,12 +159,27 @@ def _promising(similar: int) -> Column:
     return F.when(F.greatest("na", "nb") <= KEPT, 100 * low >= similar * F.size(union)).otherwise(low >= least_common(KEPT, similar / 100))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similar: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= similar * union. Only texts of paired documents move."""
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows whose id is asked for: the only time that whole texts are shuffled."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = written(texts.join(asked, "id", "left_semi"), "texts")
+    return written(texts.join(ids.distinct(), "id", "left_semi"), "texts")
 
+
+def _parities(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, n, bits) of the texts whose id is asked for: set size and parity sketch."""
+    def run(batches):
+        shingle = Shingler(width)
+        for part in slices(batches, 64):
+            got = shingle.sets(part.column(1).to_pylist())
+            bits = [np.packbits(np.bincount((x >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).tobytes() for x in got]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array(bits, pa.binary())], ["id", "n", "bits"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, f"id {kind}, n long, bits binary")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= similar * union."""
     def run(batches):
         shingle = Shingler(width)
         for part in slices(batches, 64):
@@ -176,48 +192,36 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, similar: int, id_c
                 keep.append(common > 0 and 100 * common >= similar * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    joined = pairs.select("a", "b").join(wanted.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    kind = texts.schema["id"].dataType.simpleString()
+    joined = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _compared(members: DataFrame, similar: int) -> DataFrame:
-    """(a, b): pairs of members of a list and different components whose sketches may be similar. ``members`` has (value,
-    size, id, n, component, sketch). Lists of more than ``BLOCK`` members are cut into blocks, and each pair of blocks is a
-    group of its own, so no group holds more than two blocks."""
+    """(a, b): pairs of members of a list and different components that sizes and parity sketches leave. ``members`` has
+    (value, size, id, n, component, bits). Lists of more than ``BLOCK`` members are cut into blocks, and each pair of blocks
+    is a group of its own, so no group holds more than two blocks."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "component", "sketch")
-    need = least_common(KEPT, similar / 100)
+    dealt = dealt.select("value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "component", "bits")
 
     def pairs(key, table):
         ids, n, comp, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "component", "own"))
-        if len(np.unique(comp)) < 2:
-            return pa.table({"a": table.column("id").slice(0, 0), "b": table.column("id").slice(0, 0)})
-        sketch = table.column("sketch").combine_chunks()
-        sizes = np.diff(sketch.offsets.to_numpy())
-        values, code, counts = np.unique(sketch.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(ids)), sizes)
-        use = np.flatnonzero(counts > 1)
-        column = np.full(len(values), -1)
-        column[use] = np.arange(len(use))
-        got = column[code] >= 0
-        matrix = np.zeros((len(ids), len(use)), np.float32)
-        matrix[row[got], column[code[got]]] = 1
-        x, y = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        a, b = [], []
-        for at in range(0, len(left), 256):
-            i = left[at : at + 256]
-            common = matrix[i] @ matrix[right].T
-            enough = np.minimum(need, (similar * np.maximum(n[i][:, None], n[right][None, :]) + 99) // 100)
-            ok = (common >= enough) & (comp[i][:, None] != comp[right][None, :]) & (100 * np.minimum(n[i][:, None], n[right][None, :]) >= similar * np.maximum(n[i][:, None], n[right][None, :]))
-            p, q = np.nonzero(ok)
-            p, q = ids[i][p], ids[right][q]
-            a.append(np.minimum(p, q))
-            b.append(np.maximum(p, q))
-        out = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.empty((2, 0), np.int64)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), PARITY // 64)
+        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        a, b = [ids[:0]], [ids[:0]]
+        for i in left:
+            # with d different shingles, 100 * (n + m - d) >= similar * (n + m + d)
+            k = right[(comp[right] != comp[i]) & (100 * np.minimum(n[i], n[right]) >= similar * np.maximum(n[i], n[right]))]
+            if not len(k):
+                continue
+            apart = np.bitwise_count(bits[i] ^ bits[k]).sum(1, dtype=np.int64)
+            total = n[i] + n[k]
+            k = ids[k[(100 + similar) * apart <= (100 - similar) * total]]
+            a.append(np.minimum(ids[i], k))
+            b.append(np.maximum(ids[i], k))
+        out = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
         return pa.table({"a": out[0], "b": out[1]})
 
     kind = members.schema["id"].dataType.simpleString()
@@ -260,16 +264,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, similar: int = 80, id_col:
     member = written(rows.join(rows.groupBy("d1", "d2").agg(F.min("id").alias("class")), ["d1", "d2"]).select("id", "class").distinct(), "members")
     several = member.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
     same_id = member.join(several.select("id", "a"), "id").where("class <> a").select("a", F.col("class").alias("b"))
-    links = written(_confirmed(tried, docs, width, similar, id_col, text_col).union(same_id), "links")
+    listed = longer.join(leaders.where("size > 2").select("value"), "value", "left_semi").select("id")
+    texts = _texts(docs, tried.select(F.col("a").alias("id")).union(tried.select(F.col("b").alias("id"))).union(listed), id_col, text_col)
+    links = written(_confirmed(tried, texts, width, similar).union(same_id), "links")
     grouped = components(links)
 
     # Lists that still hold more than one component.
     named = longer.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("value", "id", F.coalesce("component", "id").alias("component"))
     open_lists = named.groupBy("value").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2").select("value", "size")
-    members = named.join(open_lists, "value").join(classes, "id").select("value", "size", "id", "n", "component", "sketch")
+    still = written(named.join(open_lists, "value"), "open")
+    members = still.join(_parities(texts, still.select("id").distinct(), width), "id").select("value", "size", "id", "n", "component", "bits")
     more = written(_compared(members, similar).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        links = links.union(written(_confirmed(more, docs, width, similar, id_col, text_col), "links"))
+        links = links.union(written(_confirmed(more, texts, width, similar), "links"))
         grouped = components(links)
 
     reached = member.join(grouped.withColumnRenamed("node", "class"), "class", "left").select("id", F.coalesce("component", "class").alias("component"))
