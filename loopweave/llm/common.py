@@ -1,84 +1,14 @@
-"""Shared helpers of the training-data operators: tables, shared storage, lineage cuts and connected components."""
+"""What the training-data operators share with the rest of the package."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loopweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from ..operators.graph import components
+from ..storage import discard, shared_dir, written
 
+__all__ = ["components", "discard", "shared_dir", "table", "written"]
 
-def _delete_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        delete(spark, path)
-    except Exception:  # the session has ended: whoever owns the shared folder clears it
-        pass
 
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` below the shared folder and reads it back. A lost executor costs nothing that is
-    written. The table goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete_quietly, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table of ``written`` that no later step reads."""
-    if path := getattr(df, "written_path", None):
-        delete(df.sparkSession, path)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that is reachable over ``edges`` (a, b), for every node of an edge.
-
-    Alternating large-star and small-star rounds (Kiveris et al. 2014): every round is joins and aggregates on node ids,
-    the number of rounds grows with the logarithm of the diameter, and nothing but one count pair reaches the driver.
-    """
-    spark = edges.sparkSession
-    now = written(edges.where("a is not null and b is not null and a <> b")
-                  .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
-    for _ in range(max_rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-                 .union(low.select("u", F.col("m").alias("v"))).distinct())
-        following = written(small, "edges")
-        state = following.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("count(distinct u)")).first()
-        discard(now)
-        now = following
-        if tuple(state) == last or state[0] == 0:
-            break
-        last = tuple(state)
-    pairs = now.groupBy("u").agg(F.min("v").alias("component"))
-    return (pairs.select(F.col("u").alias("node"), "component")
-            .union(pairs.select(F.col("component").alias("node"), "component")).distinct())
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
