@@ -1,7 +1,7 @@
 """Toxicity (operator 9): a subsequence string kernel, Nyström landmarks and a support vector machine.
 
 The kernel compares two words by the four-letter subsequences that they share, gaps allowed: an occurrence that spans s
-letters (seven at most) weighs DECAY ** s, and the sum is divided by both words' norms. So a gap or an inserted letter costs
+letters (seven at most) weighs DECAY ** s, and the vector of sums is brought to length 1. So a gap or an inserted letter costs
 weight, not the match. Words are framed by marks for start and end, which are letters like others. The kernel's third power
 is a kernel too, and parts a word from its neighbours more sharply.
 
@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import combinations, groupby
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -27,44 +28,44 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .labelled import held_out, training_rows
-from .tokens import slices
+from .tokens import kept_by_worker, slices
 
 LETTERS, SPAN, DECAY = 4, 7, 0.6
 PATTERNS = [(0, *rest) for rest in combinations(range(1, SPAN), LETTERS - 1)]
 #: Longest stretch of a word that is compared at once, marks included, and the step between stretches.
 STRETCH, STEP = 16, 8
 TABLE_BITS = 20
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 #: Bounds of what training gathers on the driver.
 POSITIVES, NEGATIVES, LANDMARKS = 600, 3000, 384
 #: Power of the kernel, and the share of a word's weight that must lie in subsequences of positive landmarks.
-POWER, NEAR = 3, 0.3
+POWER, NEAR = 3, 0.35
 
+_MARKS = ".,;:!?#*$%&|'\"()[]{}<>-"
 _PIECES = re.compile(r"[^\W_]+").findall
-_NORM = np.zeros(STRETCH + 1)
-for _n in range(STRETCH + 1):
-    _NORM[_n] = np.sqrt(sum(DECAY ** (2 * (p[-1] + 1)) * max(0, _n - p[-1]) for p in PATTERNS)) or 1.0
-#: Turns a sum of normed weights into a share of all weight of a stretch of that length.
-_ENERGY = np.array([_NORM[n] / (sum(DECAY ** (p[-1] + 1) * max(0, n - p[-1]) for p in PATTERNS) or 1.0) for n in range(STRETCH + 1)])
+#: All weight of a stretch, by its length.
+_WEIGHT = np.array([sum(DECAY ** (p[-1] + 1) * max(0, n - p[-1]) for p in PATTERNS) or 1.0 for n in range(STRETCH + 1)], np.float32)
 
 
 def units(text: str) -> set[str]:
     """The words of a text that are scored: lower case, without marks around them; a word with marks inside counts joined
     and in its pieces; runs of single letters count joined."""
     words = text.lower().split()
-    out = set()
+    out, single = set(), 0
     for w in set(words):
-        if not w.isalnum():
+        if not w.isalnum() and not (w := w.strip(_MARKS)).isalnum():  # noqa: PLW2901
             pieces = _PIECES(w)
             if len(pieces) > 1:
                 out.update(p for p in pieces if len(p) > 2)
             w = "".join(pieces)  # noqa: PLW2901
         if len(w) > 1:
             out.add(w)
-    if sum(len(w) == 1 for w in words) >= LETTERS:
-        for single, run in groupby(words, lambda w: len(w) == 1):
-            if single and len(run := list(run)) >= LETTERS:  # noqa: PLW2901
+        else:
+            single += 1
+    if single > 1:
+        for one, run in groupby(words, lambda w: len(w) == 1):
+            if one and len(run := list(run)) >= LETTERS:  # noqa: PLW2901
                 out.add("".join(run))
     return out
 
@@ -74,30 +75,46 @@ def stretches(word: str) -> list[str]:
     return [framed] if len(framed) <= STRETCH else [framed[i : i + STRETCH] for i in range(0, len(framed) - STRETCH + STEP, STEP)]
 
 
-def subsequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, table place, weight) of every subsequence occurrence in the stretches; weights are divided by the norms."""
+def _hashed(parts: list[str]):
+    """(pattern, table places, which of them are there) for each pattern of gaps, over stretches as rows. Patterns share the
+    work of their beginnings."""
     sizes = np.array([len(p) for p in parts])
     points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     codes = np.zeros((len(parts), STRETCH), np.uint64)
     codes[np.arange(STRETCH)[None, :] < sizes[:, None]] = points + np.uint64(1)
+    there = codes > 0
+    begun: dict[tuple, np.ndarray] = {}
+    with np.errstate(over="ignore"):
+        for p in PATTERNS:
+            for k in range(1, LETTERS):
+                if p[:k] not in begun:
+                    width = STRETCH - p[k - 1]
+                    before = begun[p[: k - 1]][:, :width] if k > 1 else np.uint64(0)
+                    h = (before + codes[:, p[k - 1] :]) * np.uint64(0x9E3779B97F4A7C15)
+                    begun[p[:k]] = h ^ (h >> np.uint64(29))
+            h = (begun[p[:-1]][:, : STRETCH - p[-1]] + codes[:, p[-1] :]) * np.uint64(0x9E3779B97F4A7C15)
+            yield p, ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - TABLE_BITS), there[:, p[-1] :]
+
+
+def subsequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, table place, weight) of every subsequence occurrence in the stretches."""
     rows, places, weights = [], [], []
-    for p in PATTERNS:
-        width = STRETCH - p[-1]
-        if width <= 0:
-            continue
-        with np.errstate(over="ignore"):
-            h = np.zeros((len(parts), width), np.uint64)
-            for o in p:
-                h = (h + codes[:, o : o + width]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            h = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - TABLE_BITS)
-        r, c = np.nonzero(codes[:, p[-1] :] > 0)
+    for p, h, there in _hashed(parts):
+        r, c = np.nonzero(there)
         rows.append(r)
         places.append(h[r, c])
-        weights.append(np.full(len(r), DECAY ** (p[-1] + 1)) / _NORM[sizes[r]])
+        weights.append(np.full(len(r), DECAY ** (p[-1] + 1)))
     return np.concatenate(rows), np.concatenate(places).astype(np.int64), np.concatenate(weights)
 
 
+def share_in(table: np.ndarray, parts: list[str]) -> np.ndarray:
+    """The share of each stretch's weight that lies in subsequences of which ``table`` is 1; ``table`` is 0 at place 0."""
+    got = np.zeros(len(parts), np.float32)
+    for p, h, there in _hashed(parts):
+        got += np.float32(DECAY ** (p[-1] + 1)) * (table[h] * there).sum(1)
+    return got / _WEIGHT[[len(p) for p in parts]]
+
+
 def normed(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, weight), sorted by row: occurrences of one subsequence added up, each row of length 1."""
     row, place, weight = subsequences(parts)
@@ -109,26 +126,34 @@ def normed(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Landmarks:
-    """Kernel values of stretches against fixed ones."""
+    """Kernel values of stretches against fixed ones, of which the first ``positive`` are of the positive class. Only the
+    strings travel to the tasks; the tables are made there."""
 
-    def __init__(self, parts: list[str]):
+    def __init__(self, parts: list[str], positive: int):
         row, place, weight = normed(parts)
         used, inverse = np.unique(place, return_inverse=True)
-        self.parts = parts
+        self.parts, self.positive = parts, positive
+        self.near = np.zeros(1 << TABLE_BITS, np.float32)
+        self.near[place[row < positive]] = 1
         self.where = np.full(1 << TABLE_BITS, -1, np.int32)
         self.where[used] = np.arange(len(used))
-        self.dense = np.zeros((len(used), len(parts)), np.float32)
-        self.dense[inverse, row] = weight
+        order = np.argsort(inverse, kind="stable")
+        self.begin = np.searchsorted(inverse[order], np.arange(len(used) + 1))
+        self.owner, self.value = row[order], weight[order]
+
+    def __reduce__(self):
+        return Landmarks, (self.parts, self.positive)
 
     def kernel(self, parts: list[str]) -> np.ndarray:
-        out = np.zeros((len(parts), len(self.parts)))
-        for at in range(0, len(parts), 256):
-            row, place, weight = normed(parts[at : at + 256])
+        m, out = len(self.parts), np.zeros((len(parts), len(self.parts)))
+        for at in range(0, len(parts), 1024):
+            row, place, weight = normed(parts[at : at + 1024])
             k = self.where[place]
             row, k, weight = row[k >= 0], k[k >= 0], weight[k >= 0]
-            if len(row):
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                out[at + row[first]] = np.add.reduceat(self.dense[k] * weight[:, None], first, axis=0)
+            many = self.begin[k + 1] - self.begin[k]
+            entry = np.arange(many.sum()) + np.repeat(self.begin[k] - (np.cumsum(many) - many), many)
+            n = len(parts[at : at + 1024])
+            out[at : at + n] = np.bincount(np.repeat(row, many) * m + self.owner[entry], np.repeat(weight, many) * self.value[entry], n * m).reshape(n, m)
         return out**POWER
 
 
@@ -136,7 +161,6 @@ class Landmarks:
 class ToxicityModel:
     landmarks: Landmarks
     weights: np.ndarray
-    near: np.ndarray
     bias: float
     calibration: np.ndarray | None = None
 
@@ -145,8 +169,7 @@ class ToxicityModel:
         parts = [stretches(w) for w in words]
         owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
         flat = [s for p in parts for s in p]
-        row, place, weight = subsequences(flat)
-        close = np.flatnonzero(np.bincount(row, self.near[place] * weight * _ENERGY[[len(f) for f in flat]][row], len(flat)) >= NEAR)
+        close = np.flatnonzero(share_in(self.landmarks.near, flat) >= NEAR)
         out = np.full(len(words), 0.0)
         if len(close):
             got = self.landmarks.kernel([flat[i] for i in close]) @ self.weights
@@ -165,26 +188,24 @@ class Reader:
     def __init__(self, model: ToxicityModel):
         self.model, self.known = model, {}
 
-    def values(self, texts: list[str]) -> list[dict[str, float]]:
-        asked = [units(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list(set().union(*asked) - self.known.keys())
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            self.known.update(zip(part, self.model.words(part).tolist(), strict=True))
-        return [{w: self.known[w] for w in a} for a in asked]
-
     def evidence(self, texts: list[str]) -> np.ndarray:
         """For each text: 1, its highest value (bounded), and, if a word is beyond the border, how often such words occur and
         how long the text is, as logarithms."""
+        asked = [units(t) for t in texts]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        fresh = list(set().union(*asked) - known.keys())
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            known.update(zip(part, self.model.words(part).tolist(), strict=True))
         out = np.zeros((len(texts), 4))
-        for i, (text, found) in enumerate(zip(texts, self.values(texts), strict=True)):
-            top = max(found.values(), default=self.model.bias)
+        for i, (text, words) in enumerate(zip(texts, asked, strict=True)):
+            top = max(map(known.__getitem__, words), default=self.model.bias)
             out[i, :2] = 1, min(max(top, -1.5), 4)
             if top > 0:
                 low = text.lower()
-                out[i, 2:] = np.log1p(sum(max(1, low.count(w)) for w, v in found.items() if v > 0)), np.log1p(len(found)) / 5
+                out[i, 2:] = np.log1p(sum(max(1, low.count(w)) for w in words if known[w] > 0)), np.log1p(len(words)) / 5
         return out
 
 
@@ -230,14 +251,12 @@ def train_words(positive: dict[str, int], negative: dict[str, int]) -> ToxicityM
     weight = np.sqrt(np.array([*positive.values(), *(v / 3 for v in disguised.values()), *negative.values()], float))
     own = list(dict.fromkeys(stretches(w)[0] for w in plain))[: LANDMARKS // 2]
     other = [w for w in dict.fromkeys(stretches(w)[0] for w in negative) if w not in set(own)]
-    marks = Landmarks(own + other[: LANDMARKS - len(own)])
+    marks = Landmarks(own + other[: LANDMARKS - len(own)], len(own))
     values, vectors = np.linalg.eigh(marks.kernel(marks.parts))
     good = values > 1e-5
     root = vectors[:, good] / np.sqrt(values[good]) @ vectors[:, good].T
     w, bias = _machine(marks.kernel(words) @ root, y, weight)
-    near = np.zeros(1 << TABLE_BITS, np.float32)
-    near[subsequences(own)[1]] = 1
-    return ToxicityModel(marks, root @ w, near, bias)
+    return ToxicityModel(marks, root @ w, bias)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -309,7 +328,7 @@ def _evidence(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.nda
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(got), pa.list_(pa.float64()))], ["label", "x"])
 
     got = sorted((r[0], list(r[1])) for r in rows.mapInArrow(run, "label int, x array<double>").collect())
-    return np.array([r[0] for r in got], float), np.array([r[1] for r in got], float).reshape(len(got), -1)
+    return np.array([r[0] for r in got], float), np.array([r[1] for r in got], float).reshape(len(got), 4)
 
 
 def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -343,10 +362,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most_l
     """
     model = model or trained(docs, labels, most_labelled, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = f"reader-{uuid4().hex}"
 
     def run(batches):
         model = shared.value
-        reader = Reader(model) if model else None
+        reader = kept_by_worker(name, lambda: Reader(model)) if model else None
         for part in slices(batches):
             texts = part.column(1).to_pylist()
             score = model.probability(reader.evidence(texts)) if reader else np.zeros(len(texts))
