@@ -34,6 +34,8 @@ from .tokens import slices
 KEPT, LISTED = 64, 32
 #: Chance of missing the sketch of a linked pair that each bound below allows.
 MISS = 1e-9
+#: Ids that are broadcast to pick out texts; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Members of a block in a list that is compared all against all, and bits of a parity sketch.
 BLOCK, PARITY = 3000, 4096
 
@@ -160,9 +162,13 @@ def _promising(similar: int) -> Column:
 
 
 def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) of the rows whose id is asked for: the only time that whole texts are shuffled."""
+    """(id, text) of the rows whose id is asked for. Up to ``BROADCAST_IDS`` ids, which are counted first, go to the texts;
+    for more, and only then, whole texts are shuffled."""
+    ids = written(ids.distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return written(texts.join(ids.distinct(), "id", "left_semi"), "texts")
+    return written(texts.join(ids, "id", "left_semi"), "texts")
 
 
 def _parities(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
