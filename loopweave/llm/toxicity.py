@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .labelled import held_out, training_rows
+from .neardup import Shingler, _mixed
 from .tokens import kept_by_worker, slices
 
 LETTERS, SPAN, DECAY = 4, 7, 0.6
@@ -37,6 +38,8 @@ STRETCH, STEP = 16, 8
 TABLE_BITS = 20
 REMEMBERED = 600_000
 
+#: Minimum hashes by which copies among training rows are found.
+MINIMA = 4
 #: Bounds of what training gathers on the driver.
 POSITIVES, NEGATIVES, LANDMARKS = 600, 3000, 384
 #: Power of the kernel, and the share of a word's weight that must lie in subsequences of positive landmarks.
@@ -274,10 +277,31 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with one document of each group of copies, exact or near, so that a text speaks once however often it was
+    copied. Copies share a minimum hash of their five-word shingles as often as they are similar; rows that share any of ``MINIMA``
+    such hashes, and the label, are thinned to the one with the smallest id. The rows are a bounded sample."""
+    def run(batches):
+        shingle = Shingler(5)
+        for part in slices(batches, 64):
+            sets = shingle.sets(part.column(2).to_pylist())
+            with np.errstate(over="ignore"):
+                low = [[(_mixed(s + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)).min() if len(s) else np.uint64(0)) for s in sets] for k in range(MINIMA)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in low)], ["id", "label", *(f"f{k}" for k in range(MINIMA))])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    names = [f"f{k}" for k in range(MINIMA)]
+    left = rows.mapInArrow(run, f"id {kind}, label int, {', '.join(f'{n} long' for n in names)}")
+    for n in names:
+        left = left.groupBy("label", n).agg(F.min(F.struct("id", *(m for m in names if m != n))).alias("s")).select("label", n, "s.*")
+    return rows.join(F.broadcast(left.select("id").distinct()), "id", "left_semi").select("id", "label", "text")
+
+
 def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
     """None without labelled rows of both classes. What reaches the driver is bounded: words, by ``POSITIVES`` and
     ``NEGATIVES``, and one number for each row of the sample."""
     rows = written(training_rows(docs, labels, "toxic", most_labelled, id_col, text_col), "labelled")
+    rows = written(_without_copies(rows), "labelled")
     sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("label") > 0).count().collect()}
     if len(sizes) < 2:
         return None
