@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_input
 from .labelled import held_out, training_rows
 from .statistics import FEATURES, features
 from .tokens import slices
@@ -135,7 +136,7 @@ def feature_table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), pa.array([features(t)[1] for t in part.column(2).to_pylist()], pa.list_(pa.float64()))], ["id", "label", "x"])
 
-    got = sorted((tuple(r) for r in rows.mapInArrow(run, "id string, label int, x array<double>").collect()), key=lambda r: (r[0], r[1], r[2]))
+    got = sorted((tuple(r) for r in arrow_input(rows).mapInArrow(run, "id string, label int, x array<double>").collect()), key=lambda r: (r[0], r[1], r[2]))
     x = np.array([r[2] for r in got], float).reshape(len(got), len(FEATURES))
     return x, np.array([r[1] for r in got], float)
 
@@ -159,5 +160,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most_la
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, score double")
+    out = arrow_input(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_input
 from .tokens import slices
 
 WINDOW, SHINGLE = 10, 3
@@ -171,7 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``broadcast_chars`` characters is indexed and broadcast, its size being counted first, and no document is shuffled.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    texts = arrow_input(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("binary").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.length("text") + 20), F.lit(0))).first()[0]
     out = _by_broadcast(texts, [tuple(r) for r in items.collect()], id_type) if size <= broadcast_chars else _by_shuffle(texts, items, id_type)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, written
+from .common import arrow_input, components, discard, written
 from .tokens import slices
 
 #: Values of a sketch, and how many of its smallest are listed.
@@ -144,7 +144,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in got], pa.int64()), pa.array([d[0] for d in digest], pa.int64()), pa.array([d[1] for d in digest], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "n", "d1", "d2", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, sketch array<long>")
+    return arrow_input(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, sketch array<long>")
 
 
 def _possible(similar: int, na: Column, nb: Column) -> Column:

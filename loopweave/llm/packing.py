@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import written
+from .common import arrow_input, written
 from .tokens import kept_by_worker, slices, tokenizer_file
 
 #: Pieces of one length that a numbering task gets at most, about.
@@ -205,7 +205,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int32())), pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["id", "piece", "start", "length", "ids_crc32"])
 
     key = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return (arrow_input(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .mapInArrow(run, f"id {key}, piece int, start long, length long, ids_crc32 long"))
 
 

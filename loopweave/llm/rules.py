@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .additive import feature_table
+from .common import arrow_input
 from .labelled import training_rows
 from .statistics import FEATURES, Base, features
 from .tokens import slices
@@ -119,7 +120,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most_lab
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[i] for x in b], pa.int64()) for i in range(5)), pa.array([x.failed for x in b], pa.bool_()), pa.array(kept), pa.array(score)], ["id", *Base._fields, "base_failed", "kept", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    out = (arrow_input(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
            .mapInArrow(run, f"id {kind}, {', '.join(f'{f} long' for f in Base._fields)}, base_failed boolean, kept boolean, score double"))
     return out.withColumnRenamed("id", id_col)
 
@@ -134,4 +135,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most_la
             texts = [t.encode() if isinstance(t, str) else t or b"" for t in part.column(at).to_pylist()]
             yield part.filter(pa.array(_judged(texts, forest, cut)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_input(docs).mapInArrow(run, docs.schema)

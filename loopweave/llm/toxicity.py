@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_input, written
 from .labelled import held_out, training_rows
 from .neardup import Shingler, _mixed
 from .tokens import kept_by_worker, slices
@@ -300,7 +300,7 @@ def _without_copies(rows: DataFrame) -> DataFrame:
 def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
     """None without labelled rows of both classes. What reaches the driver is bounded: words, by ``POSITIVES`` and
     ``NEGATIVES``, and one number for each row of the sample."""
-    rows = written(training_rows(docs, labels, "toxic", most_labelled, id_col, text_col), "labelled")
+    rows = written(training_rows(arrow_input(docs), labels, "toxic", most_labelled, id_col, text_col), "labelled")
     rows = written(_without_copies(rows), "labelled")
     sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("label") > 0).count().collect()}
     if len(sizes) < 2:
@@ -397,5 +397,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most_l
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    out = arrow_input(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
