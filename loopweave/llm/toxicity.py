@@ -5,8 +5,8 @@ letters (seven at most) weighs DECAY ** s, and the vector of sums is brought to
 weight, not the match. Words are framed by marks for start and end, which are letters like others. The kernel's third power
 is a kernel too, and parts a word from its neighbours more sharply.
 
-The machine is linear in the Nyström map k(x, L) K^(-1/2) of landmarks L. Most words share next to nothing with any landmark
-of the positive class; one table lookup a subsequence tells so, and only the others are compared with the landmarks.
+The machine is linear in the Nyström map k(x, L) K^(-1/2) of landmarks L. Every stretch of every word is compared with all
+landmarks: an altered insult shares little with the plain one, so no share of the weight tells that a word can be skipped.
 
 Labels are of documents, and what makes one toxic is a word or two. Training therefore works on sentences' words: words that
 toxic training documents have beyond chance and clean ones lack are positive, in plain and disguised spelling; words of
@@ -42,13 +42,11 @@ REMEMBERED = 600_000
 MINIMA = 4
 #: Bounds of what training gathers on the driver.
 POSITIVES, NEGATIVES, LANDMARKS = 600, 3000, 384
-#: Power of the kernel, and the share of a word's weight that must lie in subsequences of positive landmarks.
-POWER, NEAR = 3, 0.35
+#: Power of the kernel.
+POWER = 3
 
 _MARKS = ".,;:!?#*$%&|'\"()[]{}<>-"
 _PIECES = re.compile(r"[^\W_]+").findall
-#: All weight of a stretch, by its length.
-_WEIGHT = np.array([sum(DECAY ** (p[-1] + 1) * max(0, n - p[-1]) for p in PATTERNS) or 1.0 for n in range(STRETCH + 1)], np.float32)
 
 
 def units(text: str) -> set[str]:
@@ -110,14 +108,6 @@ def subsequences(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(places).astype(np.int64), np.concatenate(weights)
 
 
-def share_in(table: np.ndarray, parts: list[str]) -> np.ndarray:
-    """The share of each stretch's weight that lies in subsequences of which ``table`` is 1; ``table`` is 0 at place 0."""
-    got = np.zeros(len(parts), np.float32)
-    for p, h, there in _hashed(parts):
-        got += np.float32(DECAY ** (p[-1] + 1)) * (table[h] * there).sum(1)
-    return got / _WEIGHT[[len(p) for p in parts]]
-
-
 def normed(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, weight), sorted by row: occurrences of one subsequence added up, each row of length 1."""
     row, place, weight = subsequences(parts)
@@ -136,8 +126,6 @@ class Landmarks:
         row, place, weight = normed(parts)
         used, inverse = np.unique(place, return_inverse=True)
         self.parts, self.positive = parts, positive
-        self.near = np.zeros(1 << TABLE_BITS, np.float32)
-        self.near[place[row < positive]] = 1
         self.where = np.full(1 << TABLE_BITS, -1, np.int32)
         self.where[used] = np.arange(len(used))
         order = np.argsort(inverse, kind="stable")
@@ -171,15 +159,9 @@ class ToxicityModel:
         """Decision value of each word: that of its highest stretch."""
         parts = [stretches(w) for w in words]
         owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
-        flat = [s for p in parts for s in p]
-        close = np.flatnonzero(share_in(self.landmarks.near, flat) >= NEAR)
-        out = np.full(len(words), 0.0)
-        if len(close):
-            got = self.landmarks.kernel([flat[i] for i in close]) @ self.weights
-            highest = np.full(len(words), -np.inf)
-            np.maximum.at(highest, owner[close], got)
-            out = np.where(np.isfinite(highest), highest, 0.0)
-        return out + self.bias
+        highest = np.full(len(words), -np.inf)
+        np.maximum.at(highest, owner, self.landmarks.kernel([s for p in parts for s in p]) @ self.weights)
+        return highest + self.bias
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.calibration, -30, 30)))

@@ -445,3 +445,10 @@ def test_toxicity(spark, labels):
     score = {r.doc_id: r.score for r in toxicity.toxicity_scores(disguised, labels, model=model).collect()}
     assert min(score[0], score[1], score[2]) > 2 * score[3]
     assert toxicity.trained(docs, labels.where("toxic = 0")) is None
+
+
+def test_altered_words_reach_the_machine():
+    model = toxicity.train_words(dict.fromkeys(("trash", "moron", "idiot"), 5), dict.fromkeys(("wetter", "banana", "ananas", "tanmos", "eltoan"), 5))
+    altered = ["txr1ash", "mxor1on", "ixd1iot", "superidiotface"]
+    want = [max(model.landmarks.kernel(toxicity.stretches(w)) @ model.weights) + model.bias for w in altered]
+    assert np.allclose(model.words(altered), want) and min(want) > model.bias + 1e-4
