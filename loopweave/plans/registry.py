@@ -234,6 +234,12 @@ def rmsd_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("structure", *(F.round(f"`{k}`", 8).alias(k) for k in _TEN))
 
 
+@query()
+def rmsd_heatmap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of the heatmap of superposed distances over all structures; ``rmsd_heatmap`` is the display grid of ten."""
+    return report.rmsd_cells(structs_view(spark, sf_dir)).select("i", "j", F.round("rmsd", 8).alias("rmsd"))
+
+
 def _result(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = features.extract_features(annotated_view(spark, sf_dir))
     ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("structure_id"), F.col("label").alias("cluster"), F.get("embedding", 0).cast("double").alias("dim1"), F.get("embedding", 1).cast("double").alias("dim2"))

@@ -222,3 +222,33 @@ def test_stream(spark, tmp_path):
     stream_features(spark, *args).awaitTermination()
     assert sorted(r.structure_id for r in spark.read.parquet(str(tmp_path / "out/features")).collect()) == ["a", "b"]
     assert [r.structure_id for r in spark.read.parquet(str(tmp_path / "out/errors")).collect()] == ["c"]
+
+
+def test_heatmap_has_every_cell(spark):
+    rng = np.random.default_rng(5)
+    whole = [(rng.normal(size=(6, 3)), rng.normal(size=(n, 3))) for n in (4, 5, 4)]
+    turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    turn *= np.linalg.det(turn)
+    whole[2] = tuple(p @ turn.T + 7 for p in whole[0])
+    made = [*whole, (rng.normal(size=(2, 3)), rng.normal(size=(4, 3)))]
+    rows = [(f"s{k}", k, *([tuple(map(float, q)) for q in p] for p in s)) for k, s in enumerate(made)]
+    df = spark.createDataFrame(rows, f"structure_id string, seq_no int, fw {geometry.POINTS}, cdr {geometry.POINTS}")
+    found = report.rmsd_cells(df).collect()
+    got = {(r.i, r.j): r.rmsd for r in found}
+    assert len(found) == len(got) == 16
+    for a in range(4):
+        assert got[f"s{a}", f"s{a}"] == 0
+        for b in range(a):
+            want = geometry.pair_distances([made[b][0]], [made[b][1]], [made[a][0]], [made[a][1]])[0]
+            assert got[f"s{a}", f"s{b}"] == got[f"s{b}", f"s{a}"]
+            assert got[f"s{a}", f"s{b}"] == pytest.approx(want, abs=1e-6) if a < 3 else got[f"s{a}", f"s{b}"] is None
+    assert got["s0", "s2"] == pytest.approx(0, abs=1e-6)
+
+
+def test_heatmap_query_covers_all_structures(spark):
+    from loopweave.plans import registry
+
+    cells = registry.QUERIES["rmsd_heatmap_all"](spark, "/root/testdata/sf0.001")
+    row = cells.agg({"*": "count", "i": "max"}).first()
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert row["count(1)"] == n * n
