@@ -5,6 +5,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loopweave.operators import cluster, embed, geometry, report, scale
 from loopweave.plans.pipeline import Parameters, analyse
@@ -252,3 +253,36 @@ def test_heatmap_query_covers_all_structures(spark):
     row = cells.agg({"*": "count", "i": "max"}).first()
     n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
     assert row["count(1)"] == n * n
+
+
+def test_nearest_rows_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embed, "BLOCK", 30)
+    x = np.random.default_rng(1).normal(size=(100, 5))
+    got = {r.i: [e.j for e in r.near] for r in embed.nearest(points(spark, x).select(F.col("seq_no").cast("long").alias("i"), "vector"), 100, 7).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert [got[k] for k in range(100)] == d.argsort(1)[:, :7].tolist()
+
+
+def test_repulsion_in_the_plane():
+    y = np.random.default_rng(2).normal(size=(500, 2)) * [30, 4]
+    push, norm = embed.plane_push(y)
+    want = embed._tsne_push(0, y)
+    assert norm == pytest.approx(want[1], rel=5e-3) and ((push - want[0]) ** 2).sum() < 0.02**2 * (want[0] ** 2).sum()
+
+
+@pytest.mark.parametrize(("method", "k"), [("umap", 3), ("tsne", 2), ("tsne", 3)])
+def test_rows_beyond_one_task_keep_groups_of_their_own(spark, monkeypatch, method, k):
+    """The last group has no row among the fifty with the smallest hashes."""
+    monkeypatch.setattr(embed, "BLOCK", 50)
+    monkeypatch.setattr(embed, "HELD", 60)
+    first = {r.k for r in spark.range(150).select(F.col("id").cast("int").alias("k")).orderBy(F.xxhash64("k"), "k").limit(50).collect()}
+    late = [q for q in range(150) if q not in first][:20]
+    rng = np.random.default_rng(0)
+    group = np.arange(150) % 2
+    group[late] = 2
+    x = np.array([[0.0] * 8, [6.0] * 8, [3.0, -3.0] * 4])[group] + rng.normal(0, 0.3, (150, 8))
+    got = np.array([[r.dim1, r.dim2, r.dim3] for r in embed.reduce_dimensions(points(spark, x), method, k, fitted=50).orderBy("seq_no").collect()])
+    near = ((got[:, None] - got[None]) ** 2).sum(-1).argsort(1)[:, 1:6]
+    assert (group[near] == group[:, None])[late].mean() > 0.95 and (group[near] == group[:, None]).mean() > 0.95
+    assert np.isfinite(got).all() and (got[:, k:] == 0).all()
