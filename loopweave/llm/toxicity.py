@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations, groupby
 from uuid import uuid4
 
@@ -40,7 +40,7 @@ REMEMBERED = 600_000
 
 #: Minimum hashes by which copies among training rows are found.
 MINIMA = 4
-#: Bounds of what training gathers on the driver.
+#: Positive words of one machine, negative words that training gathers on the driver, and landmarks if few words are positive.
 POSITIVES, NEGATIVES, LANDMARKS = 600, 3000, 384
 #: Power of the kernel.
 POWER = 3
@@ -150,10 +150,13 @@ class Landmarks:
 
 @dataclass
 class ToxicityModel:
+    """``more`` are machines for further positive words; a word's value is that of the machine that gives the highest."""
+
     landmarks: Landmarks
     weights: np.ndarray
     bias: float
     calibration: np.ndarray | None = None
+    more: list[ToxicityModel] = field(default_factory=list)
 
     def words(self, words: list[str]) -> np.ndarray:
         """Decision value of each word: that of its highest stretch."""
@@ -161,7 +164,7 @@ class ToxicityModel:
         owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
         highest = np.full(len(words), -np.inf)
         np.maximum.at(highest, owner, self.landmarks.kernel([s for p in parts for s in p]) @ self.weights)
-        return highest + self.bias
+        return np.max([highest + self.bias, *(m.words(words) for m in self.more)], 0)
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.calibration, -30, 30)))
@@ -227,16 +230,25 @@ def _disguised(word: str, seed: int) -> list[str]:
 
 
 def train_words(positive: dict[str, int], negative: dict[str, int]) -> ToxicityModel:
-    """The machine for words of both classes, each with the number of documents it speaks for. Half of the landmarks are
-    positive words, the rest negative ones in the order given."""
+    """The machine for words of both classes, each with the number of documents it speaks for; a machine for each ``POSITIVES``
+    words if more are positive."""
+    plain = list(positive)
+    first, *more = [_one_machine({w: positive[w] for w in plain[at : at + POSITIVES]}, negative) for at in range(0, len(plain), POSITIVES)]
+    first.more = more
+    return first
+
+
+def _one_machine(positive: dict[str, int], negative: dict[str, int]) -> ToxicityModel:
+    """Every positive word is a landmark; the other landmarks, half of ``LANDMARKS`` at least, are negative words in the order
+    given."""
     plain = list(positive)
     disguised = {d: positive[w] for i, w in enumerate(plain) if len(w) > 4 for d in _disguised(w, i) if d not in negative and d not in positive}
     words = [stretches(w)[0] for w in [*plain, *disguised, *negative]]
     y = np.array([1.0] * (len(plain) + len(disguised)) + [-1.0] * len(negative))
     weight = np.sqrt(np.array([*positive.values(), *(v / 3 for v in disguised.values()), *negative.values()], float))
-    own = list(dict.fromkeys(stretches(w)[0] for w in plain))[: LANDMARKS // 2]
+    own = list(dict.fromkeys(stretches(w)[0] for w in plain))
     other = [w for w in dict.fromkeys(stretches(w)[0] for w in negative) if w not in set(own)]
-    marks = Landmarks(own + other[: LANDMARKS - len(own)], len(own))
+    marks = Landmarks(own + other[: max(LANDMARKS - len(own), LANDMARKS // 2)], len(own))
     values, vectors = np.linalg.eigh(marks.kernel(marks.parts))
     good = values > 1e-5
     root = vectors[:, good] / np.sqrt(values[good]) @ vectors[:, good].T
@@ -280,8 +292,8 @@ def _without_copies(rows: DataFrame) -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
-    """None without labelled rows of both classes. What reaches the driver is bounded: words, by ``POSITIVES`` and
-    ``NEGATIVES``, and one number for each row of the sample."""
+    """None without labelled rows of both classes. What reaches the driver is bounded by the sample: the
+    words that its toxic rows have beyond chance, all of them, ``NEGATIVES`` others, and four numbers for each row."""
     rows = written(training_rows(arrow_input(docs), labels, "toxic", most_labelled, id_col, text_col), "labelled")
     rows = written(_without_copies(rows), "labelled")
     sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("label") > 0).count().collect()}
@@ -294,7 +306,7 @@ def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_
     chance = {d: sum(n * share**k for k, n in often.items() if k >= d) for d in range(2, 61)}
     least = next((d for d in range(3, 61) if chance[d] <= 0.3), 60)
     often_toxic = counts.where(F.col("toxic") > 3 * F.col("clean"))
-    found = often_toxic.where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "key").limit(POSITIVES).collect()
+    found = often_toxic.where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "key").collect()
     if not found:
         found = often_toxic.where("toxic >= 2").orderBy(F.desc("toxic"), "key").limit(20).collect()
     if not found:

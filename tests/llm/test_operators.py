@@ -452,3 +452,24 @@ def test_altered_words_reach_the_machine():
     altered = ["txr1ash", "mxor1on", "ixd1iot", "superidiotface"]
     want = [max(model.landmarks.kernel(toxicity.stretches(w)) @ model.weights) + model.bias for w in altered]
     assert np.allclose(model.words(altered), want) and min(want) > model.bias + 1e-4
+
+
+def invented(n, seed):
+    rng = random.Random(seed)
+    return list(dict.fromkeys("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n)))
+
+
+def test_every_learnt_word_is_a_landmark(monkeypatch):
+    toxic, clean = invented(450, 1), invented(300, 2)
+    for most in (toxicity.POSITIVES, 200):
+        monkeypatch.setattr(toxicity, "POSITIVES", most)
+        model = toxicity.train_words(dict.fromkeys(toxic, 5), dict.fromkeys(clean, 5))
+        value = model.words([*toxic, *clean])
+        assert min(value[: len(toxic)]) > 0 > max(value[len(toxic) :])
+        assert len(model.more) == (2 if most == 200 else 0)
+
+
+def test_words_beyond_one_machine_are_learnt(spark, labels, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVES", 1)
+    model = toxicity.trained(made(spark), labels)
+    assert min(model.words(["grobian", "dumpfbak", "flegelig"])) > 0
