@@ -12,7 +12,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that is reachable over ``edges`` (a, b), for every node of an edge.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): every round is joins and aggregates on node ids,
-    the number of rounds grows with the logarithm of the diameter, and only counts and a checksum reach the driver.
+    the number of rounds grows with the logarithm of the diameter, and only counts and a checksum reach the driver. Raises an
+    error if the last of ``max_rounds`` still changed edges.
     """
     now = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     last = None
@@ -30,5 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == last or not state[0]:
             break
         last = state
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     pairs = now.groupBy("u").agg(F.min("v").alias("component"))
     return pairs.select(F.col("u").alias("node"), "component").union(pairs.select(F.col("component").alias("node"), "component")).distinct()

@@ -473,3 +473,10 @@ def test_words_beyond_one_machine_are_learnt(spark, labels, monkeypatch):
     monkeypatch.setattr(toxicity, "POSITIVES", 1)
     model = toxicity.trained(made(spark), labels)
     assert min(model.words(["grobian", "dumpfbak", "flegelig"])) > 0
+
+
+def test_components_do_not_stop_early(spark):
+    path = spark.range(40).selectExpr("id as a", "id + 1 as b")
+    with pytest.raises(RuntimeError):
+        components(path, 2)
+    assert {r.component for r in components(path).collect()} == {0}
