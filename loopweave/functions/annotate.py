@@ -19,13 +19,21 @@ def region_of(position: Column) -> Column:
 
 
 def classify_ranges(values: DataFrame, value: str, ranges: DataFrame, default: str = FRAMEWORK) -> DataFrame:
-    """``values`` with a column ``region``: the label of ``ranges`` (label, lo, hi) that holds the value, of several the
-    first by low end, then label. General form of ``region_of`` for a table of ranges: it is expanded to one row for each
-    integer, so the join is an equality on the value and not a scan of all ranges for each row. Ranges hold integers."""
-    points = ranges.select("label", "lo", F.explode(F.sequence("lo", "hi")).alias("_point"))
-    first = points.groupBy("_point").agg(F.min(F.struct("lo", "label")).alias("_r"))
-    out = values.join(first, F.col(value).cast("long") == F.col("_point").cast("long"), "left")
-    return out.withColumn("region", F.coalesce("_r.label", F.lit(default))).drop("_point", "_r")
+    """``values`` with a column ``region``: the label of ``ranges`` (label, lo, hi; both ends included) that holds the value, of
+    several the first by low end, then label; ``default`` without any and for null.
+
+    General form of ``region_of`` for a table of ranges, of any number and length: a range lies in one or two cells of the
+    smallest power of two that is as long as it, and a distinct value is looked up in its cell of each power that occurs (at
+    most 64), so the join is an equality. An empty range holds nothing.
+    """
+    number = F.col(value).cast("double")
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("_level")))
+    sized = ranges.where("lo <= hi").select("label", "lo", "hi", F.ceil(F.log2(F.col("hi") - F.col("lo") + 1.0)).cast("int").alias("_level"))
+    cells = sized.select("*", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("_cell"))
+    levels = sized.agg(F.collect_set("_level").alias("_levels"))
+    asked = values.select(number.alias("_v")).where("_v is not null").distinct().crossJoin(F.broadcast(levels)).select("_v", F.explode("_levels").alias("_level")).withColumn("_cell", cell(F.col("_v")))
+    found = asked.join(cells, ["_level", "_cell"]).where("_v between lo and hi").groupBy("_v").agg(F.min(F.struct("lo", "label")).alias("_r"))
+    return values.join(found, number == F.col("_v"), "left").withColumn("region", F.coalesce("_r.label", F.lit(default))).drop("_v", "_r")
 
 
 def annotate(residues: DataFrame, renumber=None) -> DataFrame:

@@ -19,15 +19,30 @@ from ..sources.structures import read_structures
 from ..storage import written
 
 
+#: What an analysis may be asked for.
+MODES, METHODS, COMPONENTS = ("features", "structural"), ("umap", "tsne", "pca"), (2, 3)
+CLUSTER_SIZES, THRESHOLDS = (2, 20), (0.5, 5.0)
+
+
 @dataclass(frozen=True)
 class Parameters:
-    mode: str = "features"  # or "structural"
-    method: str = "umap"  # or "tsne", "pca"
+    """Anything that is not offered is an error when the object is made."""
+
+    mode: str = "features"
+    method: str = "umap"
     n_components: int = 3
     min_cluster_size: int = 3
     rmsd_threshold: float = 1.25
     seed: int = 42
 
+    def __post_init__(self):
+        for name, offered in (("mode", MODES), ("method", METHODS), ("n_components", COMPONENTS)):
+            if getattr(self, name) not in offered:
+                raise ValueError(f"{name} is {getattr(self, name)!r}, not one of {offered}")
+        for name, (low, high) in (("min_cluster_size", CLUSTER_SIZES), ("rmsd_threshold", THRESHOLDS)):
+            if not low <= getattr(self, name) <= high:
+                raise ValueError(f"{name} is {getattr(self, name)!r}, not between {low} and {high}")
+
 
 @dataclass
 class Analysis:
@@ -56,7 +71,7 @@ def analyse(residues: DataFrame, parameters: Parameters = Parameters(), renumber
     representatives = None
     if parameters.mode == "structural":
         structs = written(structs, "structures")
-        representatives = written(structural_clusters(structs, parameters.rmsd_threshold), "clusters")
+        representatives = structural_clusters(structs, parameters.rmsd_threshold)
         labels = representatives.select("structure_id", F.col("structural_cluster").alias("cluster"))
     else:
         labels = density_clusters(vectors, parameters.min_cluster_size, key="structure_id")

@@ -9,7 +9,7 @@ from ..functions.annotate import annotate, classify_ranges, region_of
 from ..operators import cluster, embed, features, geometry, report, scale
 from ..schemas import ALPHABET, AROMATIC, FEATURES, HYDROPHOBIC, NEGATIVE, POLAR, POSITIVE, REGION_RANGES, REGION_WEIGHTS, REGIONS
 from ..sources import structures as files
-from ..storage import written
+from ..storage import fresh_path, written
 from .views import SQL as VIEW
 from .views import annotated_view, residue_view, table, with_base
 
@@ -273,12 +273,8 @@ def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RESULT)
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from uuid import uuid4
-
-    from ..storage import shared_dir
-
     result = _result(spark, sf_dir)
-    path = f"{shared_dir(spark)}/result-{uuid4().hex}.csv"
+    path = fresh_path(spark, "csv")
     report.write_csv(result, path)
     return spark.read.schema(result.schema).option("header", True).option("emptyValue", "").csv(path).fillna("", list(REGIONS))
 

@@ -7,6 +7,7 @@ batches. A file that cannot be parsed gives a row of errors, and the others go o
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..schemas import ATOMS, LETTERS, UNKNOWN
 
-GLOB = "*.{pdb,cif,mmcif,PDB,CIF,MMCIF,Pdb,Cif}"
+#: Extensions count in either case.
+GLOB = "*.{[pP][dD][bB],[cC][iI][fF],[mM][mM][cC][iI][fF]}"
 
 
 def read_files(spark: SparkSession, path: str, every_file: bool = False) -> DataFrame:
@@ -24,14 +26,30 @@ def read_files(spark: SparkSession, path: str, every_file: bool = False) -> Data
 
 
 def from_bytes(spark: SparkSession, files: list[tuple[str, bytes]]) -> DataFrame:
-    """(path, content) of files in memory; names are kept."""
-    return spark.createDataFrame([(n, bytearray(b)) for n, b in files], "path string, content binary")
+    """(path, content) of files in memory; names are kept. Files of one name are put into folders of their own, as a path
+    stands for one file."""
+    met: Counter = Counter()
+    rows = []
+    for name, content in files:
+        rows.append((f"{met[name]}/{name}" if met[name] else name, bytearray(content)))
+        met[name] += 1
+    return spark.createDataFrame(rows, "path string, content binary")
 
 
 def _stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def _numbered(files: DataFrame) -> DataFrame:
+    """(path, numbered): names for files whose stem others have too: x, x#2, x#3 in the order of paths. Stems that end as such
+    a name does are numbered along with them, so no two files ever share one. Only paths are shuffled."""
+    base = F.regexp_replace(_stem(F.col("path")), r"(#[0-9]+)+$", "")
+    alike = Window.partitionBy("base")
+    number = F.row_number().over(alike.orderBy("path"))
+    placed = files.select("path", base.alias("base")).select("path", "base", number.alias("n"), F.count("*").over(alike).alias("many")).where("many > 1")
+    return placed.select("path", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("#"), "n")).alias("numbered"))
+
+
 def _kind(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"\.([^.]*)$", 1))
     return F.when(ext == "pdb", "pdb").when(ext.isin("cif", "mmcif"), "cif")
@@ -147,19 +165,28 @@ def _cif_atoms(files: DataFrame) -> DataFrame:
 
 
 def parse_structures(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(atoms, errors) of (path, content) files. The structure is named by its file's stem. A file of another type, without
-    an atom, or with an atom whose place or number cannot be read is one row of errors and gives no atom."""
-    named = files.select(_stem(F.col("path")).alias("structure_id"), _kind(F.col("path")).alias("kind"), "path", "content")
-    cif = _cif_atoms(named)
-    pdb = _pdb_atoms(named)
+    """(atoms, errors) of (path, content) files. Every file is a structure of its own, named by its stem, or, where several
+    files share a stem, by the stem and a number (see ``_numbered``). A file of another type, without an atom, or with an atom
+    whose place or number cannot be read is one row of errors and gives no atom."""
+    # the path is the structure's name until files have been parsed
+    keyed = files.select(F.col("path").alias("structure_id"), _kind(F.col("path")).alias("kind"), "content")
+    cif = _cif_atoms(keyed)
+    pdb = _pdb_atoms(keyed)
     unread = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull() | F.col("res_seq").isNull()
     state = pdb.groupBy("structure_id").agg(F.count("*").alias("n"), F.count_if(unread).alias("bad"))
-    pdb_errors = (named.where("kind = 'pdb'").select("structure_id").join(state, "structure_id", "left").where("n is null or bad > 0")
+    pdb_errors = (keyed.where("kind = 'pdb'").select("structure_id").join(state, "structure_id", "left").where("n is null or bad > 0")
                   .select("structure_id", F.when(F.col("n").isNull(), "no atom records").otherwise(F.concat(F.col("bad").cast("string"), F.lit(" atom records cannot be read"))).alias("error")))
-    other = named.where("kind is null").select("structure_id", F.concat(F.lit("Unsupported file extension: "), F.regexp_extract("path", r"(\.[^./]*)?$", 0)).alias("error"))
+    other = keyed.where("kind is null").select("structure_id", F.concat(F.lit("Unsupported file extension: "), F.regexp_extract("structure_id", r"(\.[^./]*)?$", 0)).alias("error"))
     errors = pdb_errors.union(cif.where("error is not null").select("structure_id", "error")).union(other)
     good = pdb.join(pdb_errors.select("structure_id"), "structure_id", "left_anti")
-    return good.unionByName(cif.where("error is null").select("structure_id", F.inline("atoms"))), errors
+    atoms = good.unionByName(cif.where("error is null").select("structure_id", F.inline("atoms")))
+    numbered = _numbered(files)
+
+    def named(df: DataFrame) -> DataFrame:
+        name = F.coalesce("numbered", _stem(F.col("structure_id")))
+        return df.join(numbered, F.col("structure_id") == F.col("path"), "left").select(*(name.alias(c) if c == "structure_id" else c for c in df.columns))
+
+    return named(atoms), named(errors)
 
 
 def residues(atoms: DataFrame) -> DataFrame:

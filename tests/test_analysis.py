@@ -194,6 +194,22 @@ def test_exports(spark, tmp_path):
     assert json.loads(report.to_json(df))[0] == {"structure": "a", "cluster": 0, "hotspot_score": 1.0}
 
 
+def test_json_knows_no_nan(spark):
+    df = spark.createDataFrame([("a", float("nan")), ("b", float("inf")), ("c", 1.0)], "structure string, v double")
+    assert json.loads(report.to_json(df), parse_constant=pytest.fail) == [{"structure": "a", "v": None}, {"structure": "b", "v": None}, {"structure": "c", "v": 1.0}]
+
+
+def test_summary_is_sorted(spark):
+    df = spark.createDataFrame([(f"s{k}", k % 7 - 1, float(k)) for k in range(50)], "structure string, cluster int, hotspot_score double").repartition(5)
+    assert [r.cluster for r in report.cluster_summary(df).collect()] == [-1, 0, 1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("wrong", [{"mode": "Structural"}, {"method": "mds"}, {"n_components": 4}, {"min_cluster_size": 1}, {"min_cluster_size": 21}, {"rmsd_threshold": 0.4}, {"rmsd_threshold": 5.1}])
+def test_parameters_are_checked(wrong):
+    with pytest.raises(ValueError):
+        Parameters(**wrong)
+
+
 def test_matrix(spark):
     pairs = spark.createDataFrame([("a", "b", 1.5)], "i string, j string, rmsd double")
     assert [tuple(r) for r in report.rmsd_matrix(pairs, ["b", "a", "c"]).collect()] == [("b", 0.0, 1.5, None), ("a", 1.5, 0.0, None), ("c", None, None, 0.0)]

@@ -88,6 +88,20 @@ def test_bad_files_leave_the_others(spark):
     assert set(found) == {"b", "c", "d", "e"} and found["c"] == "Unsupported file extension: .xyz"
 
 
+def test_files_of_one_stem_are_structures_of_their_own(spark, tmp_path):
+    other = SMALL.replace("GLY", "TRP")
+    for name, text in (("d1/x.pdb", SMALL), ("d2/x.pdb", other), ("x.cif", CIF), ("x#2.pdb", SMALL), ("y#2.pdb", SMALL), ("b.mmCIF", CIF), ("c.pDB", SMALL), ("d2/c.Cif", "broken")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found, errors = read_structures(spark, str(tmp_path))
+    letters = {r.structure_id: r.sequence for r in sequences(found).collect()}
+    # paths in order: d1/x.pdb, d2/x.pdb, x#2.pdb, x.cif; c.pDB before d2/c.Cif
+    assert letters == {"x": "GAR", "x#2": "WAR", "x#3": "GAR", "x#4": "GW", "y#2": "GAR", "b": "GW", "c": "GAR"}
+    assert {r.structure_id for r in errors.collect()} == {"c#2"}
+    again = from_bytes(spark, [("a.pdb", SMALL.encode()), ("a.pdb", other.encode())])
+    assert {r.structure_id: r.sequence for r in sequences(residues(parse_structures(again)[0])).collect()} == {"a": "WAR", "a#2": "GAR"}
+
+
 def test_folder(spark, tmp_path):
     (tmp_path / "one.pdb").write_text(SMALL)
     (tmp_path / "two.CIF").write_text(CIF)
@@ -109,6 +123,15 @@ def test_ranges_from_a_table(spark):
     assert sorted((r.v is None, r.v, r.region) for r in classify_ranges(values, "v", ranges).collect()) == [(False, 1, "a"), (False, 5, "a"), (False, 9, "framework"), (True, None, "framework")]
 
 
+def test_long_ranges_and_fractions(spark):
+    values = spark.createDataFrame([(5.0,), (5.9,), (6.0,), (9e8,), (-3.0,), (2e9,)], "v double")
+    ranges = spark.createDataFrame([("a", 1, 5), ("b", 6, 10**9), ("c", -10, 10**9), ("empty", 9, 5)], "label string, lo long, hi long")
+    got = {r.v: r.region for r in classify_ranges(values, "v", ranges).collect()}
+    assert got == {5.0: "c", 5.9: "c", 6.0: "c", 9e8: "c", -3.0: "c", 2e9: "framework"}
+    got = {r.v: r.region for r in classify_ranges(values, "v", ranges.where("label <> 'c'")).collect()}
+    assert got == {5.0: "a", 5.9: "framework", 6.0: "b", 9e8: "b", -3.0: "framework", 2e9: "framework"}
+
+
 def test_renumbering_falls_back(spark):
     atoms, _ = scan(spark, a__pdb=SMALL)
     moved = rows(annotate(residues(atoms), lambda s: [27, None]))
