@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import components
-from ..storage import discard, shared_dir, written
+from ..storage import discard, keep, scratch, shared_dir, written
 
-__all__ = ["arrow_input", "components", "discard", "shared_dir", "table", "written"]
-
-#: Rows of an Arrow batch at most: whole texts may be long, and a batch is in memory on both sides.
-BATCH_ROWS = 500
+__all__ = ["components", "discard", "keep", "scratch", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def arrow_input(df: DataFrame) -> DataFrame:
-    """``df``, whose session sends at most ``BATCH_ROWS`` rows to Python at a time from now on."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df

@@ -8,9 +8,8 @@ each once however many paths hold it, appends them, and joins findings back to a
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -40,35 +39,48 @@ RULES = (
 RULE_VERSION = 1
 BASE = ("assign", "access", "hex")
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: New addresses that are broadcast; 64 characters each.
+BROADCAST_BLOBS = 200_000
+MATCHES = "array<struct<rank:int,kind:string,n:int,before:int,whole:int,counts:boolean>>"
 LEDGER = f"blob string, rule_version int, spans {SPAN}"
 
 
-def _rule_spans(rule: Rule, rank: int, text: Column) -> Column:
-    """The rule's spans: texts between matches and matches alternate, so a fold over both gives every match its place."""
+def _matches(rule: Rule, rank: int, text: Column) -> Column:
+    """The rule's matches (rank, kind, n, before, whole, counts): texts between matches and matches alternate, so the lengths
+    up to a match say where it is."""
     pattern = F.lit(rule.pattern)
     found = F.arrays_zip(F.split(text, rule.pattern, -1).alias("before"), F.regexp_extract_all(text, pattern, 0).alias("whole"), F.regexp_extract_all(text, pattern, rule.group).alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    # the text after the last match has no match beside it: it only ends the list
+    one = F.transform(found, lambda m, n: F.struct(F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), n.alias("n"), F.length(m["before"]).alias("before"), F.length(m["whole"]).alias("whole"), (F.length(m["part"]) >= rule.least).alias("counts")))
+    return F.when(text.rlike(rule.hint), F.filter(one, lambda m: m["whole"].isNotNull()))
 
-    def add(state: Column, m: Column) -> Column:
-        begin = state["at"] + F.length(m["before"])
-        end = begin + F.coalesce(F.length(m["whole"]), F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(m["part"]) >= rule.least, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.when(text.rlike(rule.hint), F.aggregate(found, start, add)["spans"]).otherwise(F.array().cast(SPAN))
+def scanned(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of distinct (blob, content) rows: all rules' spans, by start, then in the order of the rules.
 
-
-def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All rules' spans of a text, by start, then in the order of the rules."""
-    return F.sort_array(reduce(lambda a, b: F.concat(a, b), [_rule_spans(r, i, text) for i, r in enumerate(rules)]))
+    Matches become rows, and a running sum of lengths over (blob, rule) places them, so the work is linear in a text's
+    matches, however many. Rows that are partitioned by blob already, as ``unseen`` returns them, are not shuffled again; no
+    text leaves the first step.
+    """
+    every = F.concat(*(F.coalesce(_matches(r, i, F.col("content")), F.array().cast(MATCHES)) for i, r in enumerate(rules)))
+    rows = blobs.select("blob", F.explode_outer(every).alias("m")).select("blob", "m.*")
+    end = F.sum(F.col("before") + F.col("whole")).over(Window.partitionBy("blob", "rank").orderBy("n")).cast("int")
+    span = F.when(F.col("counts"), F.struct((F.col("end") - F.col("whole")).alias("start"), "rank", "kind", "end"))
+    return rows.withColumn("end", end).groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rule_version: int) -> DataFrame:
     """One row (blob, content) for each content that the ledger has no entry of ``rule_version`` for. Copies of a blob are
-    reduced to one in each map task before anything is shuffled."""
-    if ledger is not None:
-        versions = versions.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    return versions.groupBy("blob").agg(F.first("content").alias("content"))
+    reduced to one in each map task before anything is shuffled. Only addresses meet the ledger; up to ``BROADCAST_BLOBS`` new
+    ones, which are counted, then pick out the texts, so a scan of little that is new moves little."""
+    once = lambda df: df.groupBy("blob").agg(F.first("content").alias("content"))
+    if ledger is None:
+        return once(versions)
+    known = ledger.where(F.col("rule_version") == rule_version).select("blob")
+    fresh = written(versions.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+    if fresh.count() <= BROADCAST_BLOBS:
+        return once(versions.join(F.broadcast(fresh), "blob", "left_semi"))
+    return once(versions).join(fresh, "blob", "left_semi")
 
 
 def scan(paths: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -76,15 +88,16 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_i
 
     ``paths`` may hold many versions of a path and many paths of a version: each row is one. A null text is the empty blob,
     a null id stays null, repeated rows stay, an empty table gives two empty ones, other columns are left out. ``spans``
-    counts code points, its ends are exclusive. Additions are written to the shared folder before findings are joined, so
-    what is scanned once is not scanned again if an executor is lost.
+    counts code points, its ends are exclusive; a text of many matches or of great length takes time in proportion. Additions
+    are written to the shared folder before findings are joined, so what is scanned once is not scanned again if an executor
+    is lost.
     """
     content = F.coalesce(F.col(text_col), F.lit(""))
     versions = paths.select(F.col(id_col).alias("id"), F.sha2(content, 256).alias("blob"), content.alias("content"))
-    fresh = unseen(versions.select("blob", "content"), ledger, rule_version).select("blob", F.lit(rule_version).alias("rule_version"), spans_of(F.col("content"), rules).alias("spans"))
-    additions = written(fresh, "ledger")
+    fresh = scanned(unseen(versions.select("blob", "content"), ledger, rule_version), rules)
+    additions = written(fresh.select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "ledger")
     # most blobs have no finding: only those that have are joined
-    entries = additions if ledger is None else additions.unionByName(ledger.where(F.col("rule_version") == rule_version).join(versions.select("blob").distinct(), "blob", "left_semi"))
+    entries = additions if ledger is None else additions.unionByName(ledger.where(F.col("rule_version") == rule_version))
     entries = entries.where(F.size("spans") > 0).select("blob", "spans")
     findings = versions.select("id", "blob").join(entries, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
     return findings, additions

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loopweave.llm import additive, bpe, chat, decontam, line_dedup, neardup, packing, queries, rules, secret_scan, statistics, tokens, toxicity
+from loopweave.llm import additive, bpe, chat, decontam, labelled, line_dedup, neardup, packing, queries, rules, secret_scan, statistics, tokens, toxicity
 from loopweave.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -122,6 +122,14 @@ def test_odd_tables(odd, empty, clashing, labels, run):
     assert run(odd, labels.limit(0)).count() == len(rows)
 
 
+def test_training_rows_are_bounded_by_rows(spark, labels):
+    docs = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).union(spark.createDataFrame([(8, "b"), (11, "c")], "doc_id long, text string"))
+    rows = labelled.training_rows(docs, labels, "quality", 100).collect()
+    assert len({r.id for r in rows}) == len(rows) <= 3 and {r.id for r in rows} >= {7}
+    again = labelled.training_rows(docs.repartition(7), labels, "quality", 100).collect()
+    assert sorted((r.id, bytes(r.text)) for r in again) == sorted((r.id, bytes(r.text)) for r in rows)
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -182,7 +190,7 @@ def spans_by_hand(text):
     return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m)]
 
 
-def test_secret_scan_against_re(spark):
+def test_secret_scan_against_re(spark, monkeypatch):
     rng = random.Random(4)
     bits = ["password", "PassWD", " = ", ":", "'", '"', "secret", "token", "Api_Key", "apikey", "abcdefgh", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", "🙂", " ", "\n", "é", "x", "=="]
     docs = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))) for k in range(300)]
@@ -199,6 +207,25 @@ def test_secret_scan_against_re(spark):
     assert {r.doc_id: r.blob for r in again.collect()}[501] == {r.doc_id: r.blob for r in findings.collect()}[5]
     assert {r.doc_id: len(r.spans) for r in again.collect()}[5] == len(got[5])
     assert secret_scan.scan(df, ledger, rule_version=2)[1].count() == ledger.count()
+    monkeypatch.setattr(secret_scan, "BROADCAST_BLOBS", 0)
+    joined, alike = secret_scan.scan(more, ledger)
+    assert sorted(joined.collect(), key=str) == sorted(again.collect(), key=str) and alike.collect() == fresh.collect()
+
+
+def test_many_matches_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"token=abcdefgh{k:06d}" for k in range(40_000))
+    df = spark.createDataFrame([(1, text), (2, "x " * 2_000_000 + "AKIA" + "Z" * 16), (3, "")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.digests(secret_scan.scan(df)[0]).collect()}
+    assert time.time() - began < 20  # a fold that copies what it has took 48 s
+    assert got[1].n_assign == 40_000 and got[1].spans.endswith(f"assign:{len(text) - 20}:{len(text)}") and got[2].spans == "access:4000000:4000020" and got[3].spans == ""
+
+
+def test_a_scan_runs_in_the_jvm(spark):
+    plan = secret_scan.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))[0]._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 # --- 6 ------------------------------------------------------------------------------------------------------------------------
