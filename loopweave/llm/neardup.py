@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, written
+from .hashing import Words, shingles
 from .tokens import slices
 
 #: Values of a sketch, and how many of its smallest are listed.
@@ -39,13 +40,6 @@ BROADCAST_IDS = 2_000_000
 #: Members of a block in a list that is compared all against all, and bits of a parity sketch.
 BLOCK, PARITY = 3000, 4096
 
-#: Lower-case A-Z only; a word is a run of anything but the six ASCII spaces.
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
 @cache
 def least_common(k: int, t: float) -> int:
     """The largest c for which fewer than c of k union values are common with probability at most ``MISS`` at similarity t."""
@@ -58,69 +52,18 @@ def least_common(k: int, t: float) -> int:
     return max(1, c)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Hashes of the distinct shingles of texts: words are hashed as polynomials, all words of about ``STRIDE`` bytes at once."""
-
-    STRIDE = 1 << 20
+class Shingler(Words):
+    """Hashes of the distinct shingles of texts, 64 bits each. Sets count as equal, and shingles as common, if their hashes
+    are."""
 
     def __init__(self, width: int):
+        super().__init__()
         self.width = width
-        self.powers = np.ones(1, np.uint64)
-
-    def _words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the words in a stretch of bytes that parts no word."""
-        space = _SPACE[raw]
-        edge = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if not len(starts):
-            return starts, np.empty(0, np.uint64)
-        size = ends - starts
-        begun = np.zeros(len(raw), np.int64)
-        begun[starts] = starts
-        place = np.arange(len(raw)) - np.maximum.accumulate(begun)
-        place[space] = 0
-        with np.errstate(over="ignore"):
-            if (longest := int(size.max())) >= len(self.powers):
-                self.powers = np.multiply.accumulate(np.full(2 * longest + 1, np.uint64(0xD1342543DE82EF95)))
-            terms = (raw.astype(np.uint64) + np.uint64(1)) * self.powers[place]
-            terms[space] = 0
-            return starts, _mixed(np.add.reduceat(terms, starts) + size.astype(np.uint64) * _ODD)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Sorted distinct shingle hashes of each text. A form feed between texts parts their words."""
-        raw = np.frombuffer(b"\x0c".join(texts).translate(_LOWER) + b"\x0c", np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        starts, words, at = [], [], 0
-        while at < len(raw):
-            stop = min(at + self.STRIDE, len(raw))
-            while stop < len(raw) and not _SPACE[raw[stop - 1]]:
-                stop += 1
-            s, w = self._words(raw[at:stop])
-            starts.append(s + at)
-            words.append(w)
-            at = stop
-        bounds = np.concatenate([[0], np.searchsorted(np.concatenate(starts), ends)]) if starts else np.zeros(len(texts) + 1, int)
-        hashes = np.concatenate(words) if words else np.empty(0, np.uint64)
-        out = []
-        with np.errstate(over="ignore"):
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                w, n = hashes[lo:hi], int(hi - lo)
-                if not n:
-                    out.append(np.empty(0, np.uint64))
-                    continue
-                k = min(self.width, n)
-                h = np.full(n - k + 1, np.uint64(k))
-                for j in range(k):
-                    h = _mixed(h * _ODD + w[j : n - k + 1 + j])
-                out.append(np.unique(h))
-        return out
+        """Sorted distinct shingle hashes of each text."""
+        words, bounds = self(texts)
+        return [np.unique(shingles(words[lo:hi], min(self.width, hi - lo))) if hi > lo else np.empty(0, np.uint64) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def _digest(values: np.ndarray) -> tuple[int, int]:

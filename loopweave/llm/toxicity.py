@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .labelled import held_out, training_rows
-from .neardup import Shingler, _mixed
+from .hashing import mixed
+from .neardup import Shingler
 from .tokens import kept_by_worker, slices
 
 LETTERS, SPAN, DECAY = 4, 7, 0.6
@@ -280,7 +281,7 @@ def _without_copies(rows: DataFrame) -> DataFrame:
         for part in slices(batches, 64):
             sets = shingle.sets(part.column(2).to_pylist())
             with np.errstate(over="ignore"):
-                low = [[(_mixed(s + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)).min() if len(s) else np.uint64(0)) for s in sets] for k in range(MINIMA)]
+                low = [[(mixed(s + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)).min() if len(s) else np.uint64(0)) for s in sets] for k in range(MINIMA)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in low)], ["id", "label", *(f"f{k}" for k in range(MINIMA))])
 
     kind = rows.schema["id"].dataType.simpleString()

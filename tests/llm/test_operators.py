@@ -176,8 +176,8 @@ def test_decontamination_against_brute_force(spark):
                         who.add("" if item is None else str(item))
         want.append([i, len(w), len(hit), sorted(who)])
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for bound in (decontam.BROADCAST_CHARS, 0):
-        assert by_id(decontam.contamination(d, b, broadcast_chars=bound), "doc_id", "n_words", "n_hit", "items") == sorted(want, key=str)
+    for bound in (decontam.BROADCAST_BYTES, 0):
+        assert by_id(decontam.contamination(d, b, broadcast_bytes=bound), "doc_id", "n_words", "n_hit", "items") == sorted(want, key=str)
     clean = decontam.clean_documents(d.withColumn("_key", F.lit(1)), b.where("item_id = 51"))
     assert clean.count() == len(docs)
 
@@ -412,6 +412,7 @@ def test_bounds():
 
 
 def test_long_words_and_texts_hash_alike():
+    assert neardup.Shingler(3).sets([]) == []
     texts = [b"a" * 3_000_000 + b" b c", b"", b"x y z", LONG.encode()]
     whole = neardup.Shingler(3)
     parts = neardup.Shingler(3)
