@@ -1,7 +1,7 @@
 """Byte-level BPE with a whole-token shortcut.
 
-Most pre-tokens of natural text are themselves vocabulary entries. ``whole_tokens`` proves, once and before any text is
-seen, which vocabulary strings are cut into exactly one pre-token and merge to exactly one token; texts then need one
+Most pre-tokens of natural text are themselves vocabulary entries. ``proven`` shows, once for a file, on the driver and before
+any text is read, which vocabulary strings are cut into exactly one pre-token and merge to exactly one token; texts then need one
 dictionary lookup for such a pre-token, and only the others are merged (each distinct one once per task).
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 #: Fixed values of the byte-level pre-tokenizer: contraction endings, and the letters, numbers and white space below U+0100.
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -93,11 +94,20 @@ def whole_tokens(tokenizer) -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=4)
+def proven(content: str) -> dict[str, int]:
+    """``whole_tokens`` of a tokenizer file; empty where the shortcut is not exact."""
+    from tokenizers import Tokenizer
+
+    return whole_tokens(Tokenizer.from_str(content)) if supported(json.loads(content)) else {}
+
+
 class Encoder:
     """Counts or encodes whole texts as the library does by default: special strings in a text are their tokens."""
 
-    def __init__(self, content: str, value, joined):
-        """``value`` maps ids to what is remembered of a pre-token; ``joined`` puts a text's values together."""
+    def __init__(self, content: str, value, joined, whole: dict[str, int] | None = None):
+        """``value`` maps ids to what is remembered of a pre-token; ``joined`` puts a text's values together; ``whole`` is what
+        ``proven`` returned for this file, else it is proven here."""
         from tokenizers import Tokenizer
 
         spec = json.loads(content)
@@ -107,7 +117,7 @@ class Encoder:
         self.exact = supported(spec)
         if self.exact:
             self.split = Splitter(self.tokenizer)
-            self.known = Merged(self.tokenizer, value, whole_tokens(self.tokenizer))
+            self.known = Merged(self.tokenizer, value, whole_tokens(self.tokenizer) if whole is None else whole)
             self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def __call__(self, text: str):

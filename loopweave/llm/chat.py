@@ -26,8 +26,14 @@ def unescaped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
-def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, formatted) for each conversation.
+#: One entry for each turn: characters of markup since the turn before, characters of the (escaped) text, and whether the loss
+#: covers that text. Characters are code points.
+MASK = "array<struct<skip:int,take:int,learn:boolean>>"
+
+
+def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
+    """(conv_id, formatted, loss_mask) for each conversation. The mask says which runs of ``formatted`` a loss covers: the texts
+    of the role ``learn``, without marks.
 
     Turns are sorted by turn number (null first), role and text; ties of all three are repeated rows and stay, one after
     the other. A null text or role counts as empty, rows of a null conversation form one conversation of their own, and an
@@ -36,28 +42,43 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     """
     one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sorted_turns = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    safe = sorted_turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escaped(t["role"]).alias("name"), escaped(t["text"]).alias("text"))).alias("turns"))
     # A block is a slice of the sorted turns: it starts where the role differs from that of the turn before.
-    starts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
-    blocks = sorted_turns.withColumn("starts", starts).withColumn("blocks", F.transform("starts", lambda s, k: F.struct(
-        F.element_at("turns", s)["role"].alias("role"),
+    opens = lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"])
+    starts = F.filter(F.sequence(F.lit(1), F.size("turns")), opens)
+    blocks = safe.withColumn("starts", starts).withColumn("blocks", F.transform("starts", lambda s, k: F.struct(
+        F.element_at("turns", s)["name"].alias("name"),
         F.transform(F.slice("turns", s, F.coalesce(F.get("starts", k + 1), F.size("turns") + 1) - s), lambda t: t["text"]).alias("texts"))))
-    merged = F.transform("blocks", lambda b: F.concat(F.lit(HEAD), escaped(b["role"]), F.lit(COLON), F.array_join(F.transform(b["texts"], lambda t: F.concat(F.lit(OPEN), escaped(t), F.lit(CLOSE))), "")))
-    return blocks.select("conv_id", F.concat(F.array_join(merged, END), F.lit(END)).alias("formatted"))
+    merged = F.transform("blocks", lambda b: F.concat(F.lit(HEAD), b["name"], F.lit(COLON), F.array_join(F.transform(b["texts"], lambda t: F.concat(F.lit(OPEN), t, F.lit(CLOSE))), "")))
+    # a turn's markup: the mark that closes the turn before, a header where a block opens, and its own opening mark
+    header = lambda i, t: F.when(opens(i + 1), len(HEAD) + F.length(t["name"]) + len(COLON) + F.when(i > 0, len(END)).otherwise(0)).otherwise(0)
+    mask = F.transform("turns", lambda t, i: F.struct((F.when(i > 0, len(CLOSE)).otherwise(0) + header(i, t) + len(OPEN)).cast("int").alias("skip"), F.length(t["text"]).alias("take"), (t["role"] == learn).alias("learn")))
+    return blocks.select("conv_id", F.concat(F.array_join(merged, END), F.lit(END)).alias("formatted"), mask.alias("loss_mask"))
 
 
 #: A block's header or a turn, as the template writes them: an escaped run holds no bare ``<``, ``#`` or ``:``.
 _RUN = r"(?:[^\\<#:]|\\.)*+"
 _TURN = f"(?s){OPEN}({_RUN}){CLOSE}"
+#: A turn in the whole text: the template never puts a backslash before a mark, and an escaped mark always has one.
+_MARKED = rf"(?s)(?<!\\){OPEN}({_RUN}){CLOSE}"
 _BLOCK = f"(?s){HEAD}({_RUN}){COLON}((?:{OPEN}{_RUN}{CLOSE})++)"
 
 
-def read_back(formatted: DataFrame, learn: str = "assistant") -> DataFrame:
-    """(conv_id, turns, loss): the turns (role, text) that a formatted text says, and the texts of the role ``learn``,
-    which are what the loss mask covers. The inverse of ``format_conversations``."""
+def read_back(formatted: DataFrame) -> DataFrame:
+    """(conv_id, formatted, loss_mask, turns, loss): the turns (role, text) that a formatted text says, by its marks alone, and
+    the texts under the mask. The inverse of ``format_conversations``.
+
+    The mask is held against the text: cut at the turns' marks, markup and texts must alternate in exactly the lengths that the
+    mask names; a conversation whose mask does not fit its text is an error, not a wrong loss.
+    """
     blocks = F.arrays_zip(F.regexp_extract_all("formatted", F.lit(_BLOCK), 1).alias("role"), F.regexp_extract_all("formatted", F.lit(_BLOCK), 2).alias("body"))
     turns = F.flatten(F.transform(blocks, lambda b: F.transform(F.regexp_extract_all(b["body"], F.lit(_TURN), 1), lambda t: F.struct(unescaped(b["role"]).alias("role"), unescaped(t).alias("text")))))
-    loss = F.transform(F.filter("turns", lambda t: t["role"] == learn), lambda t: t["text"])
-    return formatted.select("*", turns.alias("turns")).withColumn("loss", loss)
+    cut = formatted.select("*", turns.alias("turns"), F.regexp_extract_all("formatted", F.lit(_MARKED), 1).alias("texts"), F.split("formatted", _MARKED, -1).alias("between"))
+    marks = lambda i: F.length(F.get("between", i)) + len(OPEN) + F.when(i > 0, len(CLOSE)).otherwise(0)
+    fits = (F.size("texts") == F.size("loss_mask")) & F.forall(F.transform("loss_mask", lambda m, i: (marks(i) == m["skip"]) & (F.length(F.get("texts", i)) == m["take"])), lambda x: x)
+    texts = F.transform("loss_mask", lambda m, i: F.when(m["learn"], unescaped(F.get("texts", i))))
+    loss = F.when(fits, F.filter(texts, lambda t: t.isNotNull())).otherwise(F.raise_error(F.lit("the loss mask does not fit its text")))
+    return cut.select(*formatted.columns, "turns", loss.alias("loss"))
 
 
 def turn_digests(formatted: DataFrame) -> DataFrame:

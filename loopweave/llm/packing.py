@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import Encoder, proven
 from .common import written
-from .tokens import kept_by_worker, slices, tokenizer_file
+from .tokens import content_key, kept_by_worker, slices, tokenizer_file
 
 #: Pieces of one length that a numbering task gets at most, about.
 NUMBERED = 500_000
@@ -173,8 +173,8 @@ def pack(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int, int]:
     return np.array(runs.rows, np.int64).reshape(-1, 6), runs.next, fixed
 
 
-def _encoder(content: str) -> Encoder:
-    return Encoder(content, lambda ids: np.asarray(ids, "<u4").tobytes(), b"".join)
+def _encoder(content: str, whole: dict[str, int]) -> Encoder:
+    return Encoder(content, lambda ids: np.asarray(ids, "<u4").tobytes(), b"".join, whole)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -182,12 +182,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
     kind, content = tokenizer_file(tokenizer_path)
     if kind != "json":
         raise ValueError("packing takes a tokenizers .json file")
-    shared = docs.sparkSession.sparkContext.broadcast(content)
-    name = f"encoder-{hash(content) & (1 << 60) - 1}"
+    shared = docs.sparkSession.sparkContext.broadcast((content, proven(content)))
+    name = content_key(content)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encode = kept_by_worker(name, lambda: _encoder(shared.value))
+        encode = kept_by_worker("encoder", name, lambda: _encoder(*shared.value))
         for part in slices(batches):
             ids = part.column(0)
             row, number, start, length, crc = [], [], [], [], []
@@ -214,7 +214,8 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     A document is its token ids and then ``end_id``; a null text is empty and so has the end alone. Only a document longer
     than ``capacity`` is cut, into pieces of ``capacity`` with the shorter one first. Pieces of a sequence lie from offset 0
-    without a gap. Repeated rows are packed each for itself; ties of length are broken by id, piece and checksum. An empty
+    without a gap. Repeated rows are packed each for itself; ties of length are broken by id, piece,
+    checksum and start. An empty
     table gives an empty one. Other columns of ``docs`` are left out.
     """
     cut = written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
@@ -223,14 +224,17 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     order = np.lexsort((rows[:, 1], rows[:, 0]))
     runs = cut.sparkSession.sparkContext.broadcast(rows[order])
 
-    # The number of a piece among those of its length, from 0. Hot lengths are dealt out: a piece is numbered within its
-    # length and salt, and starts after the salts before.
+    # The number of a piece among those of its length, from 0. Pieces alike in everything are one row with a count until they
+    # are numbered. Hot lengths are dealt out: a piece is numbered within its length and salt, and starts after the salts before.
     salts = max(8, sum(counts.values()) // NUMBERED)
-    dealt = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    sizes = dealt.groupBy("length", "salt").count()
+    same = ["id", "piece", "start", "length", "ids_crc32"]
+    alike = cut.groupBy(*same).agg(F.count("*").alias("many"))
+    dealt = alike.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    sizes = cut.groupBy("length", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int").alias("salt")).count()
     before = sizes.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")).cast("long") - 1
-    numbered = dealt.withColumn("within", within).join(before, ["length", "salt"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("within")).alias("number"))
+    within = F.sum("many").over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32", "start").rowsBetween(Window.unboundedPreceding, 0)) - F.col("many")
+    first = F.col("before") + F.col("within")
+    numbered = dealt.withColumn("within", within).join(before, ["length", "salt"]).select(*same, F.explode(F.sequence(first, first + F.col("many") - 1)).alias("number"))
 
     def place(batches):
         table = runs.value

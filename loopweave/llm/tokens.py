@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import types
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import Encoder, proven
 
 #: Rows of an Arrow batch that are Python objects at the same time.
 SLICE = 256
@@ -22,13 +23,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
-def kept_by_worker(key: str, make):
-    """What ``make`` returned when this Python worker first asked for ``key``: workers serve many tasks, and an encoder's
-    proof and memory need not be made anew for each."""
+def kept_by_worker(kind: str, key: str, make):
+    """What ``make`` returned when this Python worker first asked for ``key``: workers serve many tasks, and an encoder's memory
+    need not be made anew for each. A worker keeps one object of a kind, that of the latest key."""
     store = sys.modules.setdefault("_loopweave_worker", types.ModuleType("_loopweave_worker")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if store.get(kind, (None,))[0] != key:
+        store.pop(kind, None)
+        store[kind] = (key, make())
+    return store[kind][1]
+
+
+def content_key(content: str | bytes) -> str:
+    return hashlib.sha256(content.encode() if isinstance(content, str) else content).hexdigest()
 
 
 def tokenizer_file(path: str) -> tuple[str, object]:
@@ -42,9 +48,9 @@ def tokenizer_file(path: str) -> tuple[str, object]:
     raise ValueError(f"neither .json nor .model: {path}")
 
 
-def _counter(kind: str, content):
+def _counter(kind: str, content, whole: dict[str, int] | None):
     if kind == "json":
-        return Encoder(content, len, sum)
+        return Encoder(content, len, sum, whole)
     import sentencepiece
 
     pieces = sentencepiece.SentencePieceProcessor(model_proto=content)
@@ -57,14 +63,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     ``n_bytes`` is the text's length in UTF-8 and ``n_tokens`` what the tokenizer's library returns without begin, end or
     padding; strings of special tokens inside a text are handled as the library does by default. A null text counts as
     empty: 0 and 0. Repeated rows stay, each with its own result; an empty table gives an empty one. No shuffle: the
-    texts never leave their task, and the vocabulary (a bounded file) is what is broadcast.
+    texts never leave their task, and the vocabulary (a bounded file) and its proven strings are broadcast.
     """
-    spark = docs.sparkSession
-    content = spark.sparkContext.broadcast(tokenizer_file(tokenizer_path))
-    name = f"counter-{hash(content.value) & (1 << 60) - 1}"
+    kind, content = tokenizer_file(tokenizer_path)
+    shared = docs.sparkSession.sparkContext.broadcast((kind, content, proven(content) if kind == "json" else None))
+    name = content_key(content)
 
     def run(batches):
-        count = kept_by_worker(name, lambda: _counter(*content.value))
+        count = kept_by_worker("counter", name, lambda: _counter(*shared.value))
         for part in slices(batches):
             texts = part.column(1).to_pylist()
             sizes = [count(t) for t in texts]

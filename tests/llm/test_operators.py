@@ -148,6 +148,17 @@ def test_chat_round_trip(spark):
     assert all(loss == [x for r, x in want[c] if r == "assistant"] for c, (_, loss, _) in back.items())
     for c, (_, _, text) in back.items():  # adjacent turns of a role share one header
         assert len(re.findall(r"(?:^|\n)### ", re.sub(r"(?s)<turn>(?:[^\\<#:]|\\.)*</turn>", "", text))) == 1 + sum(a[0] != b[0] for a, b in zip(want[c], want[c][1:], strict=False))
+    for r in formatted.collect():  # the mask covers the escaped texts, as they stand in the formatted one
+        at, masked = 0, []
+        for m in r.loss_mask:
+            text = r.formatted[at + m.skip : at + m.skip + m.take]
+            at += m.skip + m.take
+            if m.learn:
+                masked.append(re.sub(r"(?s)\\(.)", r"\1", text))
+        assert masked == [x for role, x in want[r.conv_id] if role == "assistant"] and r.formatted[at:] == chat.CLOSE + chat.END
+    wrong = formatted.withColumn("loss_mask", F.transform("loss_mask", lambda m: F.struct(m["skip"].alias("skip"), (m["take"] + 1).alias("take"), m["learn"].alias("learn"))))
+    with pytest.raises(Exception, match="mask does not fit"):
+        chat.read_back(wrong).collect()
     digest = {r.conv_id: r for r in chat.turn_digests(formatted).collect()}
     assert digest[101].loss_sha256 == hashlib.sha256(LONG.encode()).hexdigest() and digest[100].n_turns == 3
     assert chat.turn_digests(chat.format_conversations(df.limit(0))).collect() == []
