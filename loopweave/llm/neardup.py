@@ -14,7 +14,10 @@ Large groups. A list's members are compared with two leaders (its smallest and l
 confirmed links are contracted to components, only lists that still hold several components go on. Their members carry a
 parity sketch of the whole set: each shingle flips one of ``PARITY`` bits, so the bits in which two sketches differ are never
 more than the shingles in which the sets do. That bound, which loses no link, leaves few pairs of different components, and
-these are confirmed in turn.
+these are confirmed in turn. Members of a list's main component are not compared with each other.
+
+Sets are of 64-bit hashes: shingles count as equal, and sets as equal, if their hashes are (of two different shingles, one
+pair in 2 ** 64; of sets, by a 128-bit digest).
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, discard, written
+from .common import components, keep, scratch, written
 from .hashing import Words, shingles
 from .tokens import slices
 
@@ -37,8 +41,8 @@ KEPT, LISTED = 64, 32
 MISS = 1e-9
 #: Ids that are broadcast to pick out texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Members of a block in a list that is compared all against all, and bits of a parity sketch.
-BLOCK, PARITY = 3000, 4096
+#: Members of a block when a list's members are compared, and bits of a parity sketch.
+BLOCK, PARITY = 256, 4096
 
 @cache
 def least_common(k: int, t: float) -> int:
@@ -148,33 +152,43 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similar: int) ->
 
 def _compared(members: DataFrame, similar: int) -> DataFrame:
     """(a, b): pairs of members of a list and different components that sizes and parity sketches leave. ``members`` has
-    (value, size, id, n, component, bits). Lists of more than ``BLOCK`` members are cut into blocks, and each pair of blocks
-    is a group of its own, so no group holds more than two blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "component", "bits")
+    (value, id, n, component, bits).
+
+    Of a pair, one at least lies outside the list's main component, the one with most members. So only those outside are held
+    against the list: both sides are cut into blocks, and each pair of blocks is a group of two blocks at most. The rows
+    dealt out are members times blocks outside the main component, which links with leaders leave few.
+    """
+    counted = members.groupBy("value", "component").count().groupBy("value").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("main"), F.sum("count").alias("all"), F.max("count").alias("inside"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    lists = written(counted.select("value", "main", blocks(F.col("all")).alias("right"), blocks(F.col("all") - F.col("inside")).alias("left")), "lists")
+    sided = members.join(lists, "value")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    columns = ["value", "x", "y", "outside", "left_side", "id", "n", "component", "bits"]
+    sided = sided.withColumn("outside", F.col("component") != F.col("main"))
+    left = sided.where("outside").withColumn("x", block("left")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("right") - 1))).withColumn("left_side", F.lit(True))
+    right = sided.withColumn("y", block("right")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("left") - 1))).withColumn("left_side", F.lit(False))
 
     def pairs(key, table):
-        ids, n, comp, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "component", "own"))
+        ids, n, comp, outside, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "component", "outside", "left_side"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), PARITY // 64)
-        left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+        right = np.flatnonzero(~side)
         a, b = [ids[:0]], [ids[:0]]
-        for i in left:
+        for i in np.flatnonzero(side):
+            # two outside the main component meet twice, and count where the smaller id is on the left
+            may = (comp[right] != comp[i]) & (~outside[right] | (ids[i] < ids[right]))
             # with d different shingles, 100 * (n + m - d) >= similar * (n + m + d)
-            k = right[(comp[right] != comp[i]) & (100 * np.minimum(n[i], n[right]) >= similar * np.maximum(n[i], n[right]))]
+            k = right[may & (100 * np.minimum(n[i], n[right]) >= similar * np.maximum(n[i], n[right]))]
             if not len(k):
                 continue
             apart = np.bitwise_count(bits[i] ^ bits[k]).sum(1, dtype=np.int64)
-            total = n[i] + n[k]
-            k = ids[k[(100 + similar) * apart <= (100 - similar) * total]]
+            k = ids[k[(100 + similar) * apart <= (100 - similar) * (n[i] + n[k])]]
             a.append(np.minimum(ids[i], k))
             b.append(np.maximum(ids[i], k))
         out = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
         return pa.table({"a": out[0], "b": out[1]})
 
     kind = members.schema["id"].dataType.simpleString()
-    return dealt.groupBy("value", "x", "y").applyInArrow(pairs, f"a {kind}, b {kind}").distinct()
+    return left.select(columns).union(right.select(columns)).groupBy("value", "x", "y").applyInArrow(pairs, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similar: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,9 +196,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, similar: int = 80, id_col:
     the row's own. Documents are linked if 100 * |intersection| >= ``similar`` * |union| of their sets of ``width``-word
     shingles; fewer words are one shingle; a text without words, or a null one, is linked with nothing.
 
-    Ids must be integers. Rows that share an id are one node; a null id is linked with nothing and kept. Equal texts are
-    one class and never compared with each other. An empty table gives an empty one; other columns are left out.
+    Ids must be integers; others are an error. Rows that share an id are one node; a null id is linked with nothing and kept.
+    Equal texts are one class and never compared with each other. An empty table gives an empty one; other columns are left
+    out. The result is written; no other table is left behind.
     """
+    if not isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; near-duplicates take integer ids")
+    with scratch():
+        out = _near_duplicates(docs, width, similar, id_col, text_col)
+        return keep(written(out, "near-duplicates")).withColumnRenamed("id", id_col)
+
+
+def _near_duplicates(docs: DataFrame, width: int, similar: int, id_col: str, text_col: str) -> DataFrame:
     all_rows = written(sketches(docs, width, id_col, text_col), "sketches")
     full = all_rows.where("n > 0 and id is not null")
     classes = written(full.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).drop("d1", "d2"), "classes")
@@ -220,9 +243,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similar: int = 80, id_col:
 
     # Lists that still hold more than one component.
     named = longer.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("value", "id", F.coalesce("component", "id").alias("component"))
-    open_lists = named.groupBy("value").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2").select("value", "size")
+    open_lists = named.groupBy("value").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi and size > 2").select("value")
     still = written(named.join(open_lists, "value"), "open")
-    members = still.join(_parities(texts, still.select("id").distinct(), width), "id").select("value", "size", "id", "n", "component", "bits")
+    members = still.join(_parities(texts, still.select("id").distinct(), width), "id").select("value", "id", "n", "component", "bits")
     more = written(_compared(members, similar).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = links.union(written(_confirmed(more, texts, width, similar), "links"))
@@ -231,12 +254,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similar: int = 80, id_col:
     reached = member.join(grouped.withColumnRenamed("node", "class"), "class", "left").select("id", F.coalesce("component", "class").alias("component"))
     reached = reached.groupBy("id").agg(F.min("component").alias("component"))
     component = F.coalesce("component", "id")
-    out = all_rows.select("id", "n").join(reached, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
-    discard(shared)
-    return out
+    return all_rows.select("id", "n").join(reached, "id", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, similar: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, whose id represents its group of near-duplicates."""
-    dropped = near_duplicates(docs, width, similar, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all their columns, whose id represents its group of near-duplicates. Null and empty texts and null
+    ids stay; rows that share an id stay or go together; an empty table gives an empty one; extra columns may have any names.
+
+    Ids that go are counted: up to ``BROADCAST_IDS`` are sent to the documents; for more, documents are shuffled by id."""
+    with scratch():
+        gone = near_duplicates(docs, width, similar, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+        gone = keep(written(gone.distinct(), "dropped"))
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

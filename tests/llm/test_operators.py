@@ -1,6 +1,7 @@
 """Every training-data operator on small tables: brute force, exact round trips, and the odd cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loopweave.llm import additive, bpe, chat, decontam, labelled, line_dedup, neardup, packing, queries, rules, secret_scan, statistics, tokens, toxicity
-from loopweave.llm.common import components
+from loopweave.llm.common import components, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Null, empty, white space, repeated rows, null id, text beyond ASCII, one long text.
@@ -398,7 +399,7 @@ def test_near_duplicates_against_brute_force(spark, width, similar, monkeypatch)
     rng.shuffle(rows)
     want = groups_by_hand(rows, width, similar)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (3000, 8):  # blocks of a list, and pairs of blocks
+    for block in (256, 8):  # blocks of a list, and pairs of blocks
         monkeypatch.setattr(neardup, "BLOCK", block)
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, width, similar).collect()}
         assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
@@ -413,6 +414,23 @@ def test_near_duplicates_of_one_id(spark):
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, 3, 85).collect()), key=str) == sorted([(2, 1, False), (2, 1, False), (1, 1, True), (9, 1, False), (None, None, True), (5, 5, True)], key=str)
 
 
+def test_near_duplicates_need_integer_ids(spark):
+    with pytest.raises(TypeError):
+        neardup.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_operators_leave_their_results_only(spark):
+    folder = shared_dir(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(folder))
+    docs = made(spark, 60)
+    out = neardup.near_duplicates(docs)
+    assert len(set(os.listdir(folder)) - before) == 1 and out.count() == 60
+    decontam.contamination(docs, docs.select(F.col("doc_id").alias("item_id"), "text").limit(3), broadcast_bytes=0).count()
+    assert len(set(os.listdir(folder)) - before) == 2
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    assert spark.conf.get(key) == "10000"
+
+
 def test_bounds():
     from math import comb
 
