@@ -1,6 +1,6 @@
 """Toxicity (operator 9): a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-The kernel compares two words by the four-letter subsequences that they share, gaps allowed: an occurrence that spans s
+The kernel compares two words by the three-letter subsequences that they share, gaps allowed: an occurrence that spans s
 letters (seven at most) weighs DECAY ** s, and the vector of sums is brought to length 1. So a gap or an inserted letter costs
 weight, not the match. Words are framed by marks for start and end, which are letters like others. The kernel's third power
 is a kernel too, and parts a word from its neighbours more sharply.
@@ -8,14 +8,19 @@ is a kernel too, and parts a word from its neighbours more sharply.
 The machine is linear in the Nyström map k(x, L) K^(-1/2) of landmarks L. Every stretch of every word is compared with all
 landmarks: an altered insult shares little with the plain one, so no share of the weight tells that a word can be skipped.
 
-Labels are of documents, and what makes one toxic is a word or two. Training therefore works on sentences' words: words that
-toxic training documents have beyond chance and clean ones lack are positive, in plain and disguised spelling; words of
-clean documents are negative, those first that an earlier round scored highest. A document scores by its highest word.
+Training is on sentences whose labels are their documents' (multiple instances). All sentences of a clean document are clean,
+so every stretch of their words is a negative instance. A toxic document has a toxic sentence, and which one is not labelled:
+a sentence's value is that of its highest word, a document's that of its highest sentence, and the words that give a toxic
+document its value are its witnesses, the positive instances. The machine is trained and witnesses are chosen by it, in turn,
+until they stay. Positive instances are learnt in plain and in disguised spelling, with one and two characters put in.
+Negative ones join the working set when they score near the border, until none outside does.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations, groupby
@@ -23,28 +28,32 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .labelled import held_out, training_rows
+from .common import scratch, written
 from .hashing import mixed
+from .labelled import held_out, training_rows
 from .neardup import Shingler
 from .tokens import kept_by_worker, slices
 
-LETTERS, SPAN, DECAY = 4, 7, 0.6
+LETTERS, SPAN, DECAY = 3, 7, 0.8
 PATTERNS = [(0, *rest) for rest in combinations(range(1, SPAN), LETTERS - 1)]
+#: Power of the kernel.
+POWER = 3
 #: Longest stretch of a word that is compared at once, marks included, and the step between stretches.
 STRETCH, STEP = 16, 8
 TABLE_BITS = 20
 REMEMBERED = 600_000
 
-#: Minimum hashes by which copies among training rows are found.
-MINIMA = 4
-#: Positive words of one machine, negative words that training gathers on the driver, and landmarks if few words are positive.
-POSITIVES, NEGATIVES, LANDMARKS = 600, 3000, 384
-#: Power of the kernel.
-POWER = 3
+#: Minimum hashes by which copies among training rows are found, and the similarity in percent at which one goes.
+MINIMA, COPY = 4, 80
+#: Witnesses of a toxic document at most; beyond the first they have to lie above the border.
+WITNESSES = 3
+#: Positive words of one machine, landmarks of one if few words are positive, and disguised spellings with characters put in.
+POSITIVES, LANDMARKS, VARIANTS = 600, 384, 16
+#: Negative words to begin with, how many join in a round at most, from which value on, and rounds at most.
+NEGATIVES, JOINING, NEAR, ROUNDS = 3000, 4000, -0.3, 8
 
 _MARKS = ".,;:!?#*$%&|'\"()[]{}<>-"
 _PIECES = re.compile(r"[^\W_]+").findall
@@ -223,37 +232,50 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 100
     return w[:-1], float(w[-1])
 
 
-def _disguised(word: str, seed: int) -> list[str]:
-    """The word with a letter doubled and with a character put in, at places that ``seed`` gives."""
-    n = len(word) - 1
-    i, j, k = 1 + seed % n, 1 + (seed * 7 + 3) % n, 1 + (seed * 5 + 1) % n
-    return [word[:i] + word[i - 1] + word[i:], word[:j] + "xqzjk"[seed % 5] + word[j:], word[:k] + "1037x"[seed % 5] + word[k:]]
+def _disguised(word: str) -> list[str]:
+    """The word in other spellings, the same ones at every run: with one or two characters put in, one replaced, one left out
+    and one doubled."""
+    rng = random.Random(zlib.crc32(word.encode()))
+
+    def put_in(w: str) -> str:
+        k = rng.randint(1, len(w) - 1)
+        return w[:k] + rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") + w[k:]
+
+    out = [put_in(word) if n % 2 else put_in(put_in(word)) for n in range(VARIANTS)]
+    i, j, k = rng.randint(1, len(word) - 2), rng.randint(1, len(word) - 2), rng.randint(1, len(word) - 1)
+    return [*out, word[:i] + rng.choice("0123456789x") + word[i + 1 :], word[:j] + word[j + 1 :], word[:k] + word[k - 1] + word[k:]]
 
 
 def train_words(positive: dict[str, int], negative: dict[str, int]) -> ToxicityModel:
     """The machine for words of both classes, each with the number of documents it speaks for; a machine for each ``POSITIVES``
     words if more are positive."""
     plain = list(positive)
-    first, *more = [_one_machine({w: positive[w] for w in plain[at : at + POSITIVES]}, negative) for at in range(0, len(plain), POSITIVES)]
+    first, *more = [_one_machine({w: positive[w] for w in plain[at : at + POSITIVES]}, positive, negative) for at in range(0, len(plain), POSITIVES)]
     first.more = more
     return first
 
 
-def _one_machine(positive: dict[str, int], negative: dict[str, int]) -> ToxicityModel:
-    """Every positive word is a landmark; the other landmarks, half of ``LANDMARKS`` at least, are negative words in the order
-    given."""
-    plain = list(positive)
-    disguised = {d: positive[w] for i, w in enumerate(plain) if len(w) > 4 for d in _disguised(w, i) if d not in negative and d not in positive}
-    words = [stretches(w)[0] for w in [*plain, *disguised, *negative]]
-    y = np.array([1.0] * (len(plain) + len(disguised)) + [-1.0] * len(negative))
-    weight = np.sqrt(np.array([*positive.values(), *(v / 3 for v in disguised.values()), *negative.values()], float))
-    own = list(dict.fromkeys(stretches(w)[0] for w in plain))
-    other = [w for w in dict.fromkeys(stretches(w)[0] for w in negative) if w not in set(own)]
+def _one_machine(positive: dict[str, int], all_positive: dict[str, int], negative: dict[str, int]) -> ToxicityModel:
+    """Every stretch of a positive word is a landmark; the other landmarks, half of ``LANDMARKS`` at least, are negative words in
+    the order given. Of a positive word's stretches the highest should be positive; as one does not know which, each speaks
+    with its share of the weight."""
+    instances: list[tuple[str, float, float]] = []
+    for w, n in positive.items():
+        parts = stretches(w)
+        instances += [(p, 1.0, n / len(parts)) for p in parts]
+        spelt = [d for d in dict.fromkeys(_disguised(w)) if d not in negative and d not in all_positive] if len(w) > 3 else []
+        instances += [(stretches(d)[0], 1.0, n / len(spelt)) for d in spelt]
+    for w, n in negative.items():
+        instances += [(p, -1.0, float(n)) for p in stretches(w)]
+    parts, y, weight = ([i[k] for i in instances] for k in range(3))
+    own = list(dict.fromkeys(p for w in positive for p in stretches(w)))
+    known = set(own)
+    other = [p for p in dict.fromkeys(p for w in negative for p in stretches(w)) if p not in known]
     marks = Landmarks(own + other[: max(LANDMARKS - len(own), LANDMARKS // 2)], len(own))
     values, vectors = np.linalg.eigh(marks.kernel(marks.parts))
-    good = values > 1e-5
-    root = vectors[:, good] / np.sqrt(values[good]) @ vectors[:, good].T
-    w, bias = _machine(marks.kernel(words) @ root, y, weight)
+    good = values > 1e-5 * max(values.max(), 1e-9)
+    root = vectors[:, good] / np.sqrt(values[good])
+    w, bias = _machine(marks.kernel(parts) @ root, np.array(y), np.sqrt(np.array(weight)))
     return ToxicityModel(marks, root @ w, bias)
 
 
@@ -273,70 +295,111 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _without_copies(rows: DataFrame) -> DataFrame:
-    """``rows`` with one document of each group of copies, exact or near, so that a text speaks once however often it was
-    copied. Copies share a minimum hash of their five-word shingles as often as they are similar; rows that share any of ``MINIMA``
-    such hashes, and the label, are thinned to the one with the smallest id. The rows are a bounded sample."""
+    """``rows`` without copies, exact or near, so that a text speaks once however often it was copied. Rows of a label that share
+    one of ``MINIMA`` minimum hashes of their five-word shingles are compared on whole sets, and one goes if it is similar by
+    ``COPY`` percent to one with a smaller id. The rows are a bounded sample, which bounds a group."""
     def run(batches):
         shingle = Shingler(5)
         for part in slices(batches, 64):
             sets = shingle.sets(part.column(2).to_pylist())
+            some = [i for i, s in enumerate(sets) if len(s)]
             with np.errstate(over="ignore"):
-                low = [[(mixed(s + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)).min() if len(s) else np.uint64(0)) for s in sets] for k in range(MINIMA)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in low)], ["id", "label", *(f"f{k}" for k in range(MINIMA))])
+                low = [int(mixed(sets[i] + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64)) for i in some for k in range(MINIMA)]
+            take = pa.array(np.repeat(np.array(some, np.int32), MINIMA))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(low, pa.int64()), pa.array([sets[i].tobytes() for i in some for _ in range(MINIMA)], pa.binary())], ["id", "label", "low", "set"])
+
+    def copies(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        stay, gone = [], []
+        for i, data in enumerate(group.column("set").to_pylist()):
+            one = np.frombuffer(data, np.uint64)
+            for other in stay:
+                if 100 * min(len(one), len(other)) >= COPY * max(len(one), len(other)):
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    if 100 * common >= COPY * (len(one) + len(other) - common):
+                        gone.append(i)
+                        break
+            else:
+                stay.append(one)
+        return group.select(["id"]).take(pa.array(gone, pa.int64()))
 
     kind = rows.schema["id"].dataType.simpleString()
-    names = [f"f{k}" for k in range(MINIMA)]
-    left = rows.mapInArrow(run, f"id {kind}, label int, {', '.join(f'{n} long' for n in names)}")
-    for n in names:
-        left = left.groupBy("label", n).agg(F.min(F.struct("id", *(m for m in names if m != n))).alias("s")).select("label", n, "s.*")
-    return rows.join(F.broadcast(left.select("id").distinct()), "id", "left_semi").select("id", "label", "text")
+    alike = rows.mapInArrow(run, f"id {kind}, label int, low long, set binary").groupBy("label", "low")
+    return rows.join(F.broadcast(alike.applyInArrow(copies, f"id {kind}").distinct()), "id", "left_anti").select("id", "label", "text")
 
 
-def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
-    """None without labelled rows of both classes. What reaches the driver is bounded by the sample: the
-    words that its toxic rows have beyond chance, all of them, ``NEGATIVES`` others, and four numbers for each row."""
-    rows = written(training_rows(docs, labels, "toxic", most_labelled, id_col, text_col), "labelled")
-    rows = written(_without_copies(rows), "labelled")
-    sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("label") > 0).count().collect()}
-    if len(sizes) < 2:
-        return None
-    share = sizes[True] / (sizes[True] + sizes[False])
-    counts = written(_counted(rows), "words")
-    # Of words in d documents, share ** d are in toxic ones alone by chance: ``least`` lets such a word pass at one training in three.
-    often = {r[0]: r[1] for r in counts.select(F.least(F.col("toxic") + F.col("clean"), F.lit(60)).alias("d")).groupBy("d").count().collect()}
-    chance = {d: sum(n * share**k for k, n in often.items() if k >= d) for d in range(2, 61)}
-    least = next((d for d in range(3, 61) if chance[d] <= 0.3), 60)
-    often_toxic = counts.where(F.col("toxic") > 3 * F.col("clean"))
-    found = often_toxic.where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "key").collect()
-    if not found:
-        found = often_toxic.where("toxic >= 2").orderBy(F.desc("toxic"), "key").limit(20).collect()
-    if not found:
-        return None
-    positive = {r[0]: r[1] for r in found}
-    clean = counts.where("clean > 0 and clean >= toxic")
-    plain = [*clean.orderBy(F.desc("clean"), "key").limit(NEGATIVES // 2).collect(), *clean.orderBy(F.xxhash64("key"), "key").limit(NEGATIVES // 2).collect()]
-    negative = {r[0]: min(r[2], 30) for r in plain}
-    model = train_words(positive, negative)
-    for _ in range(3):  # words of clean documents that score high become the first negatives
-        more = {w: n for w, n in _high_words(clean, model).items() if w not in negative or list(negative).index(w) >= LANDMARKS // 2}
-        if not more:
-            break
-        negative = more | {w: n for w, n in negative.items() if w not in more}
-        model = train_words(positive, negative)
-    label, evidence = _evidence(rows, model)
-    model.calibration = _logistic(evidence, label)
-    return model
+def _first_witnesses(rows: DataFrame, counts: DataFrame, toxic: int, clean: int) -> dict[str, int]:
+    """Witnesses before there is a machine: a toxic document's words that are the most toxic by share of documents, with three
+    more documents as prior."""
+    def run(batches):
+        for part in slices(batches):
+            met = [(i, w) for i, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True) for w in units(t.decode("utf-8", "replace"))]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in met], part.schema.field(0).type), pa.array([m[1] for m in met], pa.string())], ["id", "key"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean") * (toxic / clean) + 3)
+    words = rows.where("label > 0").mapInArrow(run, f"id {kind}, key string").join(counts.where("toxic > 0").select("key", share.alias("share")), "key")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("share"), "key"))
+    top = words.withColumn("place", place).where((F.col("place") == 1) | (F.col("place") <= WITNESSES) & (F.col("share") > 0.5))
+    return {r[0]: r[1] for r in top.groupBy("key").count().orderBy("key").collect()}
+
+
+def _witnesses(rows: DataFrame, model: ToxicityModel) -> dict[str, int]:
+    """For each word that is a witness by the machine, of how many toxic documents: ``WITNESSES`` words a row at most."""
+    def run(batches):
+        for part in slices(batches):
+            met = []
+            for t in part.column(2).to_pylist():
+                words = sorted(units(t.decode("utf-8", "replace")))
+                value = model.words(words) if words else np.zeros(0)
+                top = np.argsort(-value, kind="stable")[:WITNESSES]
+                met += [words[k] for n, k in enumerate(top) if n == 0 or value[k] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.string())], ["key"])
+
+    return {r[0]: r[1] for r in rows.where("label > 0").mapInArrow(run, "key string").groupBy("key").count().orderBy("key").collect()}
 
 
-def _high_words(counts: DataFrame, model: ToxicityModel) -> dict[str, int]:
-    """Up to ``NEGATIVES`` / 5 counted words that score above or near the border, those of most clean documents first."""
+def _near_border(clean: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(key, clean, value) of the words of clean documents that score ``NEAR`` the border or above."""
     def run(batches):
         for part in slices(batches, 4096):
             value = model.words(part.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(value)], ["key", "clean", "value"])
 
-    got = counts.select("key", "clean").mapInArrow(run, "key string, clean long, value double").where("value > -0.3")
-    return {r[0]: min(r[1], 30) for r in got.orderBy(F.desc("clean"), F.desc("value"), "key").limit(NEGATIVES // 5).collect()}
+    return clean.select("key", "clean").mapInArrow(run, "key string, clean long, value double").where(F.col("value") > NEAR)
+
+
+def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
+    """None without labelled rows of both classes, or if no toxic row has a word. What reaches the driver is bounded by the sample:
+    ``WITNESSES`` words of each toxic row, the working set of negative words, and four numbers for each row."""
+    with scratch():
+        rows = written(training_rows(docs, labels, "toxic", most_labelled, id_col, text_col), "labelled")
+        rows = written(_without_copies(rows), "labelled")
+        sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("label") > 0).count().collect()}
+        if len(sizes) < 2:
+            return None
+        counts = written(_counted(rows), "words")
+        positive = _first_witnesses(rows, counts, sizes[True], sizes[False])
+        if not positive:
+            return None
+        clean = counts.where("clean > 0")
+        begin = [*clean.orderBy(F.desc("clean"), "key").limit(NEGATIVES // 2).collect(), *clean.orderBy(F.xxhash64("key"), "key").limit(NEGATIVES // 2).collect()]
+        negative = {r["key"]: min(r["clean"], 30) for r in begin}
+        model = train_words(positive, negative)
+        for _ in range(ROUNDS):
+            near = {r[0]: min(r[1], 30) for r in _near_border(clean, model).orderBy(F.desc("value"), "key").limit(len(negative) + JOINING).collect()}
+            following = _witnesses(rows, model)
+            joined = [w for w in near if w not in negative][:JOINING]
+            if not joined and following.keys() == positive.keys():
+                break
+            allowed = {*negative, *joined}
+            # words near the border come first: landmarks are taken from there
+            negative = {w: n for w, n in near.items() if w in allowed} | {w: n for w, n in negative.items() if w not in near}
+            positive = following
+            model = train_words(positive, negative)
+        label, evidence = _evidence(rows, model)
+        model.calibration = _logistic(evidence, label)
+        return model
 
 
 def _evidence(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
@@ -381,11 +444,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.5, most_l
     """
     model = model or trained(docs, labels, most_labelled, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = f"reader-{uuid4().hex}"
+    name = uuid4().hex
 
     def run(batches):
         model = shared.value
-        reader = kept_by_worker(name, lambda: Reader(model)) if model else None
+        reader = kept_by_worker("reader", name, lambda: Reader(model)) if model else None
         for part in slices(batches):
             texts = part.column(1).to_pylist()
             score = model.probability(reader.evidence(texts)) if reader else np.zeros(len(texts))

@@ -526,6 +526,53 @@ def test_every_learnt_word_is_a_landmark(monkeypatch):
         assert len(model.more) == (2 if most == 200 else 0)
 
 
+def full_kernel_machine(parts, y, weight, cost=100.0):
+    """Squared hinge in the kernel's own space, without landmarks: on the active set (K + 1 / (2 C w)) beta = y, where the bias is
+    one more constant in the kernel."""
+    k = toxicity.Landmarks(parts, 1).kernel(parts) + 1e3
+    on, beta = np.ones(len(y), bool), np.zeros(len(y))
+    for _ in range(200):
+        beta = np.zeros(len(y))
+        beta[on] = np.linalg.solve(k[np.ix_(on, on)] + np.diag(1 / (2 * cost * weight[on])), y[on])
+        now = y * (k @ beta) < 1
+        if (now == on).all():
+            return k @ beta
+        on = now
+    raise AssertionError("no active set")
+
+
+def test_machine_against_the_full_kernel(monkeypatch):
+    """With every instance a landmark the Nyström map is exact, so the scores are those of the full kernel's machine."""
+    monkeypatch.setattr(toxicity, "_disguised", lambda w: [])
+    monkeypatch.setattr(toxicity, "LANDMARKS", 10_000)
+    toxic, clean = invented(25, 1), [*invented(60, 2), "a" * 40]
+    model = toxicity.train_words(dict.fromkeys(toxic, 3), dict.fromkeys(clean, 2))
+    parts = [(p, 1.0, 3.0) for w in toxic for p in toxicity.stretches(w)] + [(p, -1.0, 2.0) for w in clean for p in toxicity.stretches(w)]
+    want = full_kernel_machine([p[0] for p in parts], np.array([p[1] for p in parts]), np.sqrt(np.array([p[2] for p in parts])))
+    assert np.allclose(model.landmarks.kernel([p[0] for p in parts]) @ model.weights + model.bias, want, atol=1e-3)
+
+
+def test_recall_by_disguise(spark, labels):
+    """Spellings that training did not make: other seeds, all places."""
+    model = toxicity.trained(made(spark), labels)
+    rng, rude = random.Random(99), ["grobian", "dumpfbak", "flegelig"]
+    put = lambda w: (lambda k: w[:k] + rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") + w[k:])(rng.randint(1, len(w) - 1))
+    one, two = [put(w) for w in rude for _ in range(40)], [put(put(w)) for w in rude for _ in range(80)]
+    recall = [float((model.words(v) > 0).mean()) for v in (rude, one, two)]
+    assert recall[0] == 1 and recall[1] >= 0.95 and recall[2] >= 0.9, recall
+
+
+def test_copies_are_confirmed_before_they_go(spark):
+    rng = random.Random(3)
+    some = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    base, shared = some(100), some(60)
+    near = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in (0, 50)]
+    texts = [" ".join(base), *near, " ".join(base), *(" ".join(shared + some(60)) for _ in range(30)), "", "a b"]
+    rows = spark.createDataFrame([(k, int(k == 3), t.encode()) for k, t in enumerate(texts)], "id long, label int, text binary")
+    # 1 and 2 are like 0; 3 has another label; what only shares a passage stays
+    assert {r.id for r in toxicity._without_copies(rows).collect()} == set(range(len(texts))) - {1, 2}
+
+
 def test_words_beyond_one_machine_are_learnt(spark, labels, monkeypatch):
     monkeypatch.setattr(toxicity, "POSITIVES", 1)
     model = toxicity.trained(made(spark), labels)
