@@ -125,7 +125,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most_lab
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, that ``quality_rules`` keeps; judged where they are, without a shuffle."""
+    """The rows of ``docs``, all their columns, that ``quality_rules`` keeps; judged where they are, without a shuffle. Null and
+    empty texts fail the base rules, so they go; repeated rows stay or go together; an empty table gives an empty one; extra
+    columns may have any names. Without labels of both classes whatever passes the base rules stays."""
     forest = trained(docs, labels, most_labelled, id_col, text_col)
 
     def run(batches):

@@ -52,8 +52,10 @@ MINIMA, COPY = 4, 80
 WITNESSES = 3
 #: Positive words of one machine, landmarks of one if few words are positive, and disguised spellings with characters put in.
 POSITIVES, LANDMARKS, VARIANTS = 600, 384, 16
+#: Value from which on a word is as toxic as can be.
+SURE = 2.0
 #: Negative words to begin with, how many join in a round at most, from which value on, and rounds at most.
-NEGATIVES, JOINING, NEAR, ROUNDS = 3000, 4000, -0.3, 8
+NEGATIVES, JOINING, NEAR, ROUNDS = 3000, 4000, -0.3, 5
 
 _MARKS = ".,;:!?#*$%&|'\"()[]{}<>-"
 _PIECES = re.compile(r"[^\W_]+").findall
@@ -186,9 +188,8 @@ class Reader:
     def __init__(self, model: ToxicityModel):
         self.model, self.known = model, {}
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
-        """For each text: 1, its highest value (bounded), and, if a word is beyond the border, how often such words occur and
-        how long the text is, as logarithms."""
+    def values(self, texts: list[str]) -> list[set[str]]:
+        """The words of each text; ``known`` has the values of all of them."""
         asked = [units(t) for t in texts]
         known = self.known
         if len(known) > REMEMBERED:
@@ -197,10 +198,18 @@ class Reader:
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             known.update(zip(part, self.model.words(part).tolist(), strict=True))
+        return asked
+
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """For each text: 1, its highest value (bounded by ``SURE``, so that a disguised word that is clearly beyond the border
+        counts as a plain one), and, if a word is beyond the border, how often such words occur and how long the text is, as
+        logarithms."""
+        asked = self.values(texts)
+        known = self.known
         out = np.zeros((len(texts), 4))
         for i, (text, words) in enumerate(zip(texts, asked, strict=True)):
             top = max(map(known.__getitem__, words), default=self.model.bias)
-            out[i, :2] = 1, min(max(top, -1.5), 4)
+            out[i, :2] = 1, min(max(top, -1.5), SURE)
             if top > 0:
                 low = text.lower()
                 out[i, 2:] = np.log1p(sum(max(1, low.count(w)) for w in words if known[w] > 0)), np.log1p(len(words)) / 5
@@ -347,13 +356,12 @@ def _first_witnesses(rows: DataFrame, counts: DataFrame, toxic: int, clean: int)
 def _witnesses(rows: DataFrame, model: ToxicityModel) -> dict[str, int]:
     """For each word that is a witness by the machine, of how many toxic documents: ``WITNESSES`` words a row at most."""
     def run(batches):
+        reader = Reader(model)
         for part in slices(batches):
             met = []
-            for t in part.column(2).to_pylist():
-                words = sorted(units(t.decode("utf-8", "replace")))
-                value = model.words(words) if words else np.zeros(0)
-                top = np.argsort(-value, kind="stable")[:WITNESSES]
-                met += [words[k] for n, k in enumerate(top) if n == 0 or value[k] > 0]
+            for words in reader.values([t.decode("utf-8", "replace") for t in part.column(2).to_pylist()]):
+                top = sorted(words, key=lambda w: (-reader.known[w], w))[:WITNESSES]
+                met += [w for n, w in enumerate(top) if n == 0 or reader.known[w] > 0]
             yield pa.RecordBatch.from_arrays([pa.array(met, pa.string())], ["key"])
 
     return {r[0]: r[1] for r in rows.where("label > 0").mapInArrow(run, "key string").groupBy("key").count().orderBy("key").collect()}
@@ -382,7 +390,8 @@ def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_
         positive = _first_witnesses(rows, counts, sizes[True], sizes[False])
         if not positive:
             return None
-        clean = counts.where("clean > 0")
+        # so many words that every core has some: each is compared with all landmarks in every round
+        clean = written(counts.where("clean > 0").select("key", "clean").repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism)), "clean")
         begin = [*clean.orderBy(F.desc("clean"), "key").limit(NEGATIVES // 2).collect(), *clean.orderBy(F.xxhash64("key"), "key").limit(NEGATIVES // 2).collect()]
         negative = {r["key"]: min(r["clean"], 30) for r in begin}
         model = train_words(positive, negative)
