@@ -1,8 +1,13 @@
 """Corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-``documents``. ``run`` writes every stage's result to the shared folder and rereads it as the next one's input, so a lost
-executor never costs more than the stage at hand.
+``documents``, which may have others beside ``doc_id`` and ``text``, of any names. ``run`` writes every stage's result to the
+shared folder and rereads it as the next one's input, so a lost executor never costs more than the stage at hand; a stage's
+own tables, and its input, go once its result is written.
+
+Odd rows. A document of null or empty text goes at the first stage, as does every other that the base rules fail. Rows
+repeated alike are one document to line dedup and to decontamination; near-dedup keeps all rows of the id that stays; packing
+packs each row. Ties are broken by the smallest id. Null ids stay. Every stage turns an empty table into an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopweave.llm import decontam, line_dedup, neardup, packing, rules
-from loopweave.llm.common import table, written
+from loopweave.llm.common import discard, keep, scratch, table, written
 from loopweave.llm.queries import vocabulary
 
 
@@ -21,9 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of later occurrences of a repeated three-line window go; a document of which no line stays goes."""
+    """Lines of later occurrences of a repeated three-line window go; a document of which no line stays goes. ``n_chars``, if the
+    table has it, follows the text that is left."""
     out = line_dedup.deduplicated(docs).where("_n_removed = 0 or _n_removed < _n_lines")
-    return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    size = lambda c: F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    return out.select(*(size(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        before = docs
+        with scratch():
+            docs = keep(written(stage(spark, docs, sf_dir), name.replace(" ", "-").lower()))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
