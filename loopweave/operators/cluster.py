@@ -9,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import keep, scratch, written
 from .geometry import near_pairs
 from .graph import components
 
 #: Vectors whose spanning tree is built in one task; of more, blocks of this size are compared pair by pair.
 TREE_BLOCK = 4_096
+#: Blocks of the spanning tree's rows at most: each vector is copied so often, however many rows there are.
+MOST_BLOCKS = 24
+#: Edges of a component that one task links.
+LINK_EDGES = 2_000_000
 #: Rows of one density clustering at most: its hierarchy is one object in one task, about 200 bytes a row.
 DENSITY_ROWS = 10_000_000
 
@@ -40,14 +44,12 @@ def complete_linkage(n: int, edges: list[tuple[int, int, float]], threshold: flo
             near[a][b] = near[b][a] = d
             heap.append((d, min(a, b), max(a, b)))
     heapq.heapify(heap)
-    owner = np.arange(n)
-    alive = [True] * n
+    into = list(range(n))  # the cluster that a merged one went into, always of a smaller first item
     while heap:
         d, a, b = heapq.heappop(heap)
-        if not (alive[a] and alive[b]) or near[a].get(b) != d:
+        if into[a] != a or into[b] != b or near[a].get(b) != d:
             continue
-        alive[b] = False
-        owner[owner == b] = a
+        into[b] = a
         both = {c: max(x, near[b][c]) for c, x in near[a].items() if c != b and c in near[b]}
         for c in near[a].keys() | near[b].keys():
             near[c].pop(a, None)
@@ -56,9 +58,71 @@ def complete_linkage(n: int, edges: list[tuple[int, int, float]], threshold: flo
         for c, x in both.items():
             near[c][a] = x
             heapq.heappush(heap, (x, min(a, c), max(a, c)))
+    owner = np.array(into)
+    for k in range(n):
+        owner[k] = owner[owner[k]]
     return owner
 
 
+def _link(edges: DataFrame, grouped: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(node, first): complete linkage below ``threshold`` of (a, b, d) within each component of ``grouped``."""
+    def link(rows):
+        a, b, d = rows.column("a").to_pylist(), rows.column("b").to_pylist(), rows.column("d").to_pylist()
+        items = sorted(set(a) | set(b))
+        place = {x: k for k, x in enumerate(items)}
+        owner = complete_linkage(len(items), [(place[x], place[y], z) for x, y, z in zip(a, b, d, strict=True)], threshold)
+        kind = rows.schema.field("a").type
+        return pa.table({"node": pa.array(items, kind), "first": pa.array([items[o] for o in owner], kind)})
+
+    within = edges.where(F.col("d") < threshold).join(grouped, F.col("a") == F.col("node")).select("component", "a", "b", "d")
+    return within.groupBy("component").applyInArrow(link, f"node {kind}, first {kind}")
+
+
+def _contracted(edges: DataFrame, owner: DataFrame) -> DataFrame:
+    """Edges between clusters: the largest distance of their members, where all members' distances exist. ``edges`` are of
+    single items, ``owner`` (item, first) names the clusters of those that are not alone."""
+    sizes = owner.groupBy("first").count()
+    one, two = owner.select(F.col("item").alias("a"), F.col("first").alias("fa")), owner.select(F.col("item").alias("b"), F.col("first").alias("fb"))
+    named = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("fa", "a").alias("fa"), F.coalesce("fb", "b").alias("fb"), "d").where("fa <> fb")
+    met = named.groupBy(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"))
+    na, nb = sizes.select(F.col("first").alias("a"), F.col("count").alias("na")), sizes.select(F.col("first").alias("b"), F.col("count").alias("nb"))
+    return met.join(na, "a", "left").join(nb, "b", "left").where("n = coalesce(na, 1) * coalesce(nb, 1)").select("a", "b", "d")
+
+
+def linked(pairs: DataFrame, threshold: float, most: int = LINK_EDGES) -> DataFrame:
+    """(item, first) of the items of ``pairs`` (a, b, d), by complete linkage below ``threshold``.
+
+    Merges come in ascending order of distance, so what merges below a lower threshold is the same whatever comes later, and
+    components below it do not interact. Where a component has more than ``most`` edges, half the threshold is solved first
+    and its clusters are contracted to nodes, which leaves fewer edges; then the whole threshold is tried again. A component
+    that stays too large near every threshold is an error, not a cut.
+    """
+    kind = pairs.schema["a"].dataType.simpleString()
+    edges, owner, solved, level = pairs, None, 0.0, threshold
+    while True:
+        below = edges.where(F.col("d") < level)
+        grouped = written(components(below.select("a", "b")), "components")
+        largest = below.join(grouped, F.col("a") == F.col("node")).groupBy("component").count().agg(F.max("count")).first()[0] or 0
+        if largest > most:
+            level = (solved + level) / 2
+            if level - solved < threshold / 256:
+                raise ValueError(f"{largest} pairs nearer than {level} in one component; one task links {most} at most")
+            continue
+        step = _link(edges, grouped, level, kind)
+        if owner is None:
+            owner = step.withColumnRenamed("node", "item")
+        else:
+            # nodes of this step are clusters of earlier ones, or items that were alone so far
+            step = written(step, "step")
+            moved = owner.join(step, F.col("node") == owner["first"], "left").select("item", F.coalesce(step["first"], owner["first"]).alias("first"))
+            alone = step.join(owner.select(F.col("first").alias("known")).distinct(), F.col("known") == F.col("node"), "left_anti").select(F.col("node").alias("item"), "first")
+            owner = moved.union(alone)
+        owner = written(owner, "owner")
+        if level == threshold:
+            return owner
+        edges, solved, level = written(_contracted(pairs, owner), "contracted"), level, threshold
+
+
 def structural_clusters(structs: DataFrame, threshold: float = 1.25) -> DataFrame:
     """(structure_id, seq_no, structural_cluster, representative) by complete linkage of loop distances, strictly below
     ``threshold``. Labels count clusters by their first member in input order, which is also the representative; pairs that
@@ -66,25 +130,14 @@ def structural_clusters(structs: DataFrame, threshold: float = 1.25) -> DataFram
 
     All members of a cluster are nearer to each other than the threshold, so a cluster lies within a connected component of
     the pairs below it, and components do not interact. Pairs come from ``near_pairs``; a task gets the edges of one
-    component at a time, so the largest component's edges bound a task's memory.
+    component at a time, ``LINK_EDGES`` at most (see ``linked``). The result is written.
     """
-    pairs = written(near_pairs(structs, threshold), "pairs")
-    kind = structs.schema["seq_no"].dataType.simpleString()
-    grouped = components(pairs.select(F.col("si").alias("a"), F.col("sj").alias("b")))
-    edges = pairs.join(grouped, F.col("si") == F.col("node")).select("component", "si", "sj", "rmsd")
-
-    def link(rows):
-        a, b, d = rows.column("si").to_pylist(), rows.column("sj").to_pylist(), rows.column("rmsd").to_pylist()
-        items = sorted(set(a) | set(b))
-        place = {x: k for k, x in enumerate(items)}
-        owner = complete_linkage(len(items), [(place[x], place[y], z) for x, y, z in zip(a, b, d, strict=True)], threshold)
-        kind = rows.schema.field("si").type
-        return pa.table({"seq_no": pa.array(items, kind), "first": pa.array([items[o] for o in owner], kind)})
-
-    linked = edges.groupBy("component").applyInArrow(link, f"seq_no {kind}, first {kind}")
-    named = written(structs.select("structure_id", "seq_no").join(linked, "seq_no", "left").select("structure_id", "seq_no", F.coalesce("first", "seq_no").alias("first")), "members")
-    heads = numbered(named.where("seq_no = first").select("first", F.col("structure_id").alias("representative")), "first", "structural_cluster")
-    return named.join(heads, "first").select("structure_id", "seq_no", "structural_cluster", "representative")
+    with scratch():
+        pairs = written(near_pairs(structs, threshold).select(F.col("si").alias("a"), F.col("sj").alias("b"), F.col("rmsd").alias("d")), "pairs")
+        owner = linked(pairs, threshold)
+        named = written(structs.select("structure_id", "seq_no").join(owner, F.col("seq_no") == F.col("item"), "left").select("structure_id", "seq_no", F.coalesce("first", "seq_no").alias("first")), "members")
+        heads = numbered(named.where("seq_no = first").select("first", F.col("structure_id").alias("representative")), "first", "structural_cluster")
+        return keep(written(named.join(heads, "first").select("structure_id", "seq_no", "structural_cluster", "representative"), "clusters"))
 
 
 def spanning_tree(x: np.ndarray) -> np.ndarray:
@@ -107,8 +160,8 @@ def spanning_tree(x: np.ndarray) -> np.ndarray:
 def distributed_tree(points: DataFrame, blocks: int) -> DataFrame:
     """(a, b, d): the Euclidean minimum spanning tree of (key, vector) rows, by Boruvka's rounds. In each, every pair of
     blocks finds the shortest edge that leaves each component, the shortest of all blocks join components, and at least half
-    of these vanish. Edges are ordered by length, then keys, so ties cannot close a circle. No task holds more than two
-    blocks; the comparisons grow with the square of the rows, as an exact tree's do."""
+    of these vanish. Edges are ordered by length, then keys (numbers), so ties cannot close a circle. No task holds more than
+    two blocks, and each vector is copied once for each block, ``MOST_BLOCKS`` times at most; the comparisons grow with the square of the rows, as an exact tree's do."""
     kind = points.schema["key"].dataType.simpleString()
     own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
     dealt = points.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -117,26 +170,28 @@ def distributed_tree(points: DataFrame, blocks: int) -> DataFrame:
     tree = None
 
     def leave(key, rows):
-        ids, comp, own = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("key", "component", "own"))
-        x = np.array(rows.column("vector").to_pylist(), float)
+        rows = rows.sort_by("key")
+        names, own = rows.column("component").combine_chunks(), rows.column("own").to_numpy()
+        comp = np.unique(names.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        x = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
         left, right = np.flatnonzero(own == key[0].as_py()), np.flatnonzero(own == key[1].as_py())
-        best: dict = {}
-        for i in left:
-            k = right[comp[right] != comp[i]]
-            if not len(k):
-                continue
-            d = np.sqrt(((x[k] - x[i]) ** 2).sum(1))
-            order = np.lexsort((np.maximum(ids[k], ids[i]), np.minimum(ids[k], ids[i]), d))
-            edge = lambda j: (d[j], min(ids[i], ids[k[j]]), max(ids[i], ids[k[j]]))  # noqa: B023, E731
-            first = edge(order[0])
-            best[comp[i]] = min(best.get(comp[i], first), first)
-            # the shortest edge to each component on the other side
-            _, at = np.unique(comp[k][order], return_index=True)
-            for j in order[at]:
-                e = edge(j)
-                best[comp[k[j]]] = min(best.get(comp[k[j]], e), e)
-        kind = rows.schema.field("key").type
-        return pa.table({"component": pa.array(list(best), kind), "d": pa.array([e[0] for e in best.values()], pa.float64()), "a": pa.array([e[1] for e in best.values()], kind), "b": pa.array([e[2] for e in best.values()], kind)})
+        # places are in the order of keys: of equal lengths the edge with the smallest keys wins for each row
+        near, at = np.full(len(own), np.inf), np.full(len(own), -1)
+        for lo in range(0, len(left), 64):
+            i = left[lo : lo + 64]
+            d = np.zeros((len(i), len(right)))
+            for c in range(x.shape[1]):
+                d += (x[i, c][:, None] - x[right, c][None, :]) ** 2
+            d[comp[i][:, None] == comp[right][None, :]] = np.inf
+            for side, other, row, best in ((i, right, d.argmin(1), d.min(1)), (right, i, d.argmin(0), d.min(0))):
+                closer = (best < near[side]) | (best == near[side]) & np.isfinite(best) & (other[row] < at[side])
+                near[side[closer]], at[side[closer]] = best[closer], other[row][closer]
+        some = np.flatnonzero(np.isfinite(near))
+        d, a, b = np.sqrt(near[some]), np.minimum(some, at[some]), np.maximum(some, at[some])
+        order = np.lexsort((b, a, d, comp[some]))
+        first = order[np.flatnonzero(np.r_[True, np.diff(comp[some][order]) != 0])] if len(order) else order
+        ids = rows.column("key")
+        return pa.table([names.take(pa.array(some[first])), pa.array(d[first]), ids.take(pa.array(a[first])), ids.take(pa.array(b[first]))], ["component", "d", "a", "b"])
 
     while True:
         found = dealt.join(names, "key").groupBy("p", "q").applyInArrow(leave, f"component {kind}, d double, a {kind}, b {kind}")
@@ -255,6 +310,6 @@ def density_clusters(points: DataFrame, least: int = 3, key: str = "seq_no", vec
     if n <= TREE_BLOCK:
         labels = slim.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(whole, f"key {kind}, cluster int")
     else:
-        tree = distributed_tree(slim, -(-n // TREE_BLOCK))
+        tree = distributed_tree(slim, min(MOST_BLOCKS, -(-n // TREE_BLOCK)))
         labels = tree.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(from_edges, f"key {kind}, cluster int")
     return points.join(labels.withColumnRenamed("key", key), key)

@@ -78,6 +78,38 @@ def linkage_by_hand(d, t):
         groups = [g for g in groups if g not in best[1:]] + [sorted(best[1] + best[2])]
 
 
+def test_near_pairs_of_copies_of_one_fold(spark, monkeypatch):
+    """Noisy copies of one fold fall into few cells: blocks split these, and the pairs whose coordinates are joined are few."""
+    rng = np.random.default_rng(5)
+    fw, cdr = rng.normal(0, 12, (20, 3)), rng.normal(0, 12, (30, 3))
+    near = [cdr + rng.normal(0, 2, cdr.shape) for _ in range(100)]
+    loops = [near[k % 100] + rng.normal(0, 0.3 if k >= 100 else 0, cdr.shape) for k in range(300)]
+    s = structs(spark, [(f"s{k}", fw @ turn(k).T + k, c @ turn(k).T + k) for k, c in enumerate(loops)])
+    monkeypatch.setattr(geometry, "BLOCK", 64)
+    whole = {(r.i, r.j): r.rmsd for r in geometry.pair_rmsd(s).collect()}
+    found = {(r.i, r.j): r.rmsd for r in geometry.near_pairs(s, 1.25).collect()}
+    want = {p: d for p, d in whole.items() if d < 1.25}
+    assert found.keys() == want.keys() and 0 < len(want) < 0.01 * len(whole) and all(abs(found[p] - want[p]) < 1e-9 for p in want)
+    away = [np.linalg.norm(np.array(c) - fw.mean(0), axis=1) for c in loops]
+    reached = sum(np.sqrt(((a - b) ** 2).mean()) < 1.25 for a, b in itertools.combinations(away, 2))
+    assert reached < 0.05 * len(whole)
+
+
+def test_complete_linkage_by_lower_thresholds(spark):
+    """A component beyond the limit is solved below lower thresholds first and contracted; the result is the same."""
+    rng = np.random.default_rng(3)
+    x = rng.random((40, 2)) * 3
+    d = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(2))
+    edges = [(i, j, float(d[i, j])) for i in range(40) for j in range(i + 1, 40) if d[i, j] < 1.2]
+    want = {k: int(o) for k, o in enumerate(cluster.complete_linkage(40, edges, 1.2))}
+    pairs = spark.createDataFrame(edges, "a long, b long, d double")
+    for most in (10_000, 60):
+        got = {r["item"]: r["first"] for r in cluster.linked(pairs, 1.2, most).collect()}
+        assert all(got.get(k, k) == o for k, o in want.items())
+    with pytest.raises(ValueError, match="one component"):
+        cluster.linked(pairs, 1.2, 1)
+
+
 def test_complete_linkage():
     assert list(cluster.complete_linkage(3, [(0, 1, 1.0), (1, 2, 1.1), (0, 2, 2.0)], 1.25)) == [0, 0, 2]
     assert list(cluster.complete_linkage(2, [(0, 1, 1.25)], 1.25)) == [0, 1]
