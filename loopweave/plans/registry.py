@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.annotate import annotate, classify_ranges, region_of
 from ..operators import cluster, embed, features, geometry, report, scale
-from ..schemas import ALPHABET, AROMATIC, FEATURES, HYDROPHOBIC, NEGATIVE, POLAR, POSITIVE, REGION_RANGES, REGION_WEIGHTS, REGIONS
+from ..schemas import ALPHABET, AROMATIC, FEATURES, HYDROPHOBIC, LETTERS, NEGATIVE, POLAR, POSITIVE, REGION_RANGES, REGION_WEIGHTS, REGIONS
 from ..sources import structures as files
 from ..storage import fresh_path, written
 from .views import SQL as VIEW
@@ -58,6 +58,58 @@ def pdb_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             F.round(F.avg("b_factor"), 6).alias("mean_b"), F.array_join(F.transform(order, lambda s: s["region"]), ",").alias("regions"))
 
 
+def _written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The residue view with residue names that its letters stand for."""
+    names = F.create_map(*(F.lit(x) for n, a in LETTERS.items() for x in (a, n)))
+    return residue_view(spark, sf_dir).withColumn("res_name", F.element_at(names, F.col("one_letter")))
+
+
+def _joined(rows: DataFrame, lines: Column) -> DataFrame:
+    return rows.groupBy("structure_id", "seq_no").agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", lines.alias("lines")))), lambda s: s["lines"])), "\n").alias("t"))
+
+
+@query(f"with {VIEW} select structure_id, count(*) as n, sum(res_seq)::bigint as sum_res_seq, round(sum(round(x, 3)), 3) + 0.0::double as sum_x, round(sum(round(y, 3)), 3) + 0.0::double as sum_y, round(sum(round(z, 3)), 3) + 0.0::double as sum_z, string_agg(one_letter, '' order by ordinal) as sequence from annotated group by structure_id")
+def cif_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residues written as mmCIF, author numbers beside others, quoted atom names and a comment, and read back by the scan."""
+    fields = ("group_PDB", "id", "label_atom_id", "label_comp_id", "label_seq_id", "auth_seq_id", "auth_asym_id", "Cartn_x", "Cartn_y", "Cartn_z", "occupancy", "B_iso_or_equiv")
+    head = "data_x\n# residues\nloop_\n" + "\n".join(f"_atom_site.{f}" for f in fields) + "\n"
+    line = F.format_string("ATOM %d 'CA' %s 9 %d A %.3f %.3f %.3f 1.0 %.2f", F.col("ordinal"), F.col("res_name"), F.col("res_seq"), *(F.col(f"ca_{c}").cast("double") for c in "xyz"), F.col("b_factor"))
+    text = _joined(_written_rows(spark, sf_dir), F.array(line))
+    atoms, _ = files.parse_structures(text.select(F.concat("structure_id", F.lit(".mmCIF")).alias("path"), F.encode(F.concat(F.lit(head), "t", F.lit("\n#\n")), "UTF-8").alias("content")))
+    order = F.sort_array(F.collect_list(F.struct("ordinal", "one_letter")))
+    return files.residues(atoms).groupBy("structure_id").agg(F.count("*").alias("n"), F.sum("res_seq").alias("sum_res_seq"), *((F.round(F.sum(F.round(f"ca_{c}", 3)), 3) + F.lit(0.0)).alias(f"sum_{c}") for c in "xyz"),
+                                                             F.array_join(F.transform(order, lambda s: s["one_letter"]), "").alias("sequence"))
+
+
+@query(f"""with {VIEW} select 's' || (vec_id // 10) || case when vec_id % 10 = 0 then '' else '#' || (vec_id % 10 + 1) end as structure_id, count(*) as n, round(sum(round(x, 3)), 3) + 0.0::double as sum_x,
+round(avg((b_factor + (b_factor + 10)) / 2), 6) as mean_b, string_agg(one_letter, '' order by ordinal) as sequence from annotated group by vec_id""")
+def structure_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of ten folders that share stems, with alternate locations, two atoms a residue, water, and a second model."""
+    x = [F.col(f"ca_{c}").cast("double") for c in "xyz"]
+    record = lambda kind, atom, alt, name, at, occupancy, b: F.format_string(f"{kind:<6}%5d {atom:^4}{alt}%3s A%4d    %8.3f%8.3f%8.3f{occupancy:6.2f}%6.2f", F.col("ordinal"), name, F.col("res_seq"), *at, b)
+    lines = F.array(record("ATOM", "CA", "A", F.col("res_name"), [x[0] + 1, *x[1:]], 0.4, F.col("b_factor") + 50), record("ATOM", "CA", "B", F.col("res_name"), x, 0.6, F.col("b_factor")),
+                    record("ATOM", "N", " ", F.col("res_name"), x, 1.0, F.col("b_factor") + 10), record("HETATM", "O", " ", F.lit("HOH"), x, 1.0, F.col("b_factor")))
+    text = _joined(_written_rows(spark, sf_dir), lines)
+    v = F.col("seq_no")
+    path = F.concat(F.lit("d"), (v % 10).cast("string"), F.lit("/s"), F.floor(v / 10).cast("string"), F.when(v % 2 == 0, ".pdb").otherwise(".pDB"))
+    second = "\nENDMDL\nMODEL        2\nATOM      1  CA  GLY A 999       1.000   1.000   1.000  1.00  1.00\nENDMDL"
+    atoms, _ = files.parse_structures(text.select(path.alias("path"), F.encode(F.concat(F.lit("MODEL        1\n"), "t", F.lit(second)), "UTF-8").alias("content")))
+    order = F.sort_array(F.collect_list(F.struct("ordinal", "one_letter")))
+    return files.residues(atoms).groupBy("structure_id").agg(F.count("*").alias("n"), (F.round(F.sum(F.round("ca_x", 3)), 3) + F.lit(0.0)).alias("sum_x"), F.round(F.avg("b_factor"), 6).alias("mean_b"), F.array_join(F.transform(order, lambda s: s["one_letter"]), "").alias("sequence"))
+
+
+@query("""select 'f' || vec_id as structure_id, case vec_id % 4 when 0 then 'Unsupported file extension: .xyz' when 1 then '1 atom records cannot be read' when 2 then 'ValueError: no atom_site loop' else 'no atom records' end as error
+from embeddings where vec_id % 5 <> 0""")
+def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every kind that cannot be read, among good ones: each is one row, and the good ones are read."""
+    v = F.col("vec_id")
+    good = "ATOM      1  CA  GLY A   1       1.000   1.000   1.000  1.00  1.00"
+    kind = F.when(v % 5 == 0, ".pdb").when(v % 4 == 0, ".xyz").when(v % 4 == 2, ".cif").otherwise(".pdb")
+    text = F.when(v % 5 == 0, good).when(v % 4 == 1, good.replace("   1.000", "   x.000", 1)).when(v % 4 == 2, "data_only").otherwise("REMARK")
+    _, errors = files.parse_structures(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("f"), v.cast("string"), kind).alias("path"), F.encode(text, "UTF-8").alias("content")))
+    return errors
+
+
 @query(f"select region, count(*) as n, min(p_size) as least, max(p_size) as most from (select p_size, {_REGION_CASE.format('p_size')} as region from part) group by region")
 def region_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_size", region_of(F.col("p_size")).alias("region")).groupBy("region").agg(F.count("*").alias("n"), F.min("p_size").alias("least"), F.max("p_size").alias("most"))
@@ -142,9 +194,9 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scale.standardize(wide(spark, sf_dir), names).select("vec_id", *((F.round(n, 7) + F.lit(0.0)).alias(n) for n in names))
 
 
-@query("with w as (select " + ", ".join(f"embedding[{k + 1}]::double as e{k}" for k in range(8)) + " from embeddings) " + " union all ".join(f"select {i}::int as i, {j}::int as j, round(covar_pop(e{i}, e{j}), 9) + 0.0::double as cov from w" for i in range(8) for j in range(i, 8)))
+@query("with long as (select vec_id, unnest(generate_series(0, len(embedding) - 1))::int as k, unnest(embedding)::double as v from embeddings) select a.k as i, b.k as j, round(covar_pop(a.v, b.v), 9) + 0.0::double as cov from long a join long b on a.vec_id = b.vec_id and a.k <= b.k group by a.k, b.k")
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scale.covariance(wide(spark, sf_dir, 8), [f"e{k}" for k in range(8)]).select("i", "j", r9("cov").alias("cov"))
+    return scale.covariance(wide(spark, sf_dir), [f"e{k}" for k in range(DIMS)]).select("i", "j", r9("cov").alias("cov"))
 
 
 def standard_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +204,29 @@ def standard_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scale.standardize(wide(spark, sf_dir), names).select(F.col("vec_id").alias("seq_no"), F.array(*names).alias("vector"))
 
 
-@query()
+def _axes_sql(steps: int = 24) -> str:
+    """Principal axes by squaring the covariance matrix over and over: its powers tend to the projector on the first axis, whose
+    largest column is the axis; taken off, the next one follows."""
+    out = ["""long as materialized (select vec_id, unnest(generate_series(0, len(embedding) - 1))::int as k, unnest(embedding)::double as v from embeddings),
+ stats as (select k, avg(v) as m, stddev_pop(v) as s from long group by k),
+ std as materialized (select vec_id, k, (v - m) / case when s = 0 then 1 else s end as v from long join stats using (k)),
+ cov0 as materialized (select a.k as i, b.k as j, avg(a.v * b.v) as v from std a join std b using (vec_id) group by a.k, b.k)"""]
+    for axis in range(3):
+        out.append(f"p{axis}_0 as materialized (select i, j, v / (select sum(v) from cov{axis} where i = j) as v from cov{axis})")
+        for t in range(steps):
+            out.append(f"q{axis}_{t} as materialized (select a.i, b.j, sum(a.v * b.v) as v from p{axis}_{t} a join p{axis}_{t} b on a.j = b.i group by a.i, b.j)")
+            out.append(f"p{axis}_{t + 1} as materialized (select i, j, v / (select sum(v) from q{axis}_{t} where i = j) as v from q{axis}_{t})")
+        last = f"p{axis}_{steps}"
+        out.append(f"""column{axis} as materialized (select i, v from {last} where j = (select arg_max(i, v) from {last} where i = j)),
+ axis{axis} as materialized (select i, v / sqrt((select sum(v * v) from column{axis})) * sign((select arg_max(v, abs(v)) from column{axis})) as v from column{axis}),
+ value{axis} as materialized (select sum(x.v * c.v * y.v) as v from cov{axis} c join axis{axis} x on x.i = c.i join axis{axis} y on y.i = c.j),
+ cov{axis + 1} as materialized (select c.i, c.j, c.v - (select v from value{axis}) * x.v * y.v as v from cov{axis} c join axis{axis} x on x.i = c.i join axis{axis} y on y.i = c.j)""")
+    return ",\n ".join(out)
+
+
+@query(f"with {_axes_sql()} select vec_id, " + ", ".join(f"round(sum(s.v * axis{k}.v), 6) + 0.0::double as dim{k + 1}" for k in range(3)) + " from std s " + " ".join(f"join axis{k} on axis{k}.i = s.k" for k in range(3)) + " group by vec_id")
 def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.reduce_dimensions(standard_vectors(spark, sf_dir), "pca").select(F.col("seq_no").alias("vec_id"), *(r9(c).alias(c) for c in ("dim1", "dim2", "dim3")))
+    return embed.reduce_dimensions(standard_vectors(spark, sf_dir), "pca").select(F.col("seq_no").alias("vec_id"), *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("dim1", "dim2", "dim3")))
 
 
 @query()
@@ -186,17 +258,66 @@ def pair_rmsd_centered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.pair_rmsd_unaligned(structs_view(spark, sf_dir), centred=True).select("i", "j", F.round("rmsd", 8).alias("rmsd"))
 
 
-@query()
+def _superposed_sql() -> str:
+    """Common table expressions up to ``superposed`` (vi, vj, rmsd): the unit quaternion that turns the second framework onto the
+    first is the eigenvector of the largest eigenvalue of a symmetric matrix (Horn 1987). The eigenvalue comes by Newton's steps
+    on the characteristic polynomial, from above; the eigenvector is the largest column of the adjugate."""
+    axes = "xyz"
+    sums = lambda p: ", ".join(f"sum(b.{c} * a.{d}) as {p}{c}{d}" for c in axes for d in axes)
+    n = [["sxx + syy + szz", "syz - szy", "szx - sxz", "sxy - syx"], ["syz - szy", "sxx - syy - szz", "sxy + syx", "szx + sxz"],
+         ["szx - sxz", "sxy + syx", "syy - sxx - szz", "syz + szy"], ["sxy - syx", "szx + sxz", "syz + szy", "szz - sxx - syy"]]
+
+    def minor(m: list[list[str]], i: int, j: int) -> str:
+        (a, b, c), (d, e, f), (g, h, k) = ([m[r][x] for x in range(4) if x != j] for r in range(4) if r != i)
+        return f"({a} * ({e} * {k} - {f} * {h}) - {b} * ({d} * {k} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    plain = [[f"n{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+    less = [[f"({plain[i][j]} - l)" if i == j else plain[i][j] for j in range(4)] for i in range(4)]
+    det = " + ".join(f"{'-' if j % 2 else ''}n0{j} * {minor(plain, 0, j)}" for j in range(4))
+    columns = ", ".join("[" + ", ".join(f"{'-' if (i + j) % 2 else ''}{minor(less, i, j)}" for i in range(4)) + f"] as v{j}" for j in range(4))
+    turn = {"xx": "q[1]*q[1] + q[2]*q[2] - q[3]*q[3] - q[4]*q[4]", "xy": "2 * (q[2]*q[3] - q[1]*q[4])", "xz": "2 * (q[2]*q[4] + q[1]*q[3])", "yx": "2 * (q[3]*q[2] + q[1]*q[4])", "yy": "q[1]*q[1] - q[2]*q[2] + q[3]*q[3] - q[4]*q[4]",
+            "yz": "2 * (q[3]*q[4] - q[1]*q[2])", "zx": "2 * (q[4]*q[2] - q[1]*q[3])", "zy": "2 * (q[4]*q[3] + q[1]*q[2])", "zz": "q[1]*q[1] - q[2]*q[2] - q[3]*q[3] + q[4]*q[4]"}
+    norm = lambda v: f"list_sum(list_transform({v}, lambda x: x * x))"
+    # sums of products of the loops' points, seen from the frameworks' centroids: of one structure with itself, and of both
+    own = " + ".join(f"p{k}{c}{c} - 2 * {k}{c} * l{k}{c} + nl * {k}{c} * {k}{c}" for k in "tm" for c in axes)
+    cross = " + ".join(f"({turn[c + d]}) * (u{d}{c} - t{c} * lm{d} - m{d} * lt{c} + nl * t{c} * m{d})" for c in axes for d in axes)
+    return f"""
+place as (select vec_id, region = 'framework' as fw, row_number() over (partition by vec_id, region = 'framework' order by ordinal) as rn, x, y, z from annotated),
+frame as (select a.vec_id as vi, b.vec_id as vj, count(*) as nf, {", ".join(f"avg(a.{c}) as t{c}, avg(b.{c}) as m{c}" for c in axes)}, {sums("r")}, sum(a.x*a.x + a.y*a.y + a.z*a.z + b.x*b.x + b.y*b.y + b.z*b.z) as g
+  from place a join place b on a.vec_id < b.vec_id and a.rn = b.rn and a.fw and b.fw group by a.vec_id, b.vec_id having count(*) >= 3),
+spread as (select *, {", ".join(f"r{c}{d} - nf * m{c} * t{d} as s{c}{d}" for c in axes for d in axes)}, g - nf * ({" + ".join(f"t{c}*t{c} + m{c}*m{c}" for c in axes)}) as e from frame),
+horn as (select *, {", ".join(f"{n[i][j]} as n{i}{j}" for i in range(4) for j in range(i, 4))}, -2 * ({" + ".join(f"s{c}{d}*s{c}{d}" for c in axes for d in axes)}) as c2,
+  -8 * (sxx * (syy * szz - syz * szy) - sxy * (syx * szz - syz * szx) + sxz * (syx * szy - syy * szx)) as c1 from spread),
+poly as (select *, {det} as c0 from horn),
+eigen as (select *, list_reduce(list_prepend(e / 2, list_transform(range(60), lambda k: 0.0::double)), lambda l, z: l - (((l * l + c2) * l + c1) * l + c0) / ((4 * l * l + 2 * c2) * l + c1)) as l from poly),
+columns as (select *, {columns} from eigen),
+longest as (select * exclude (v0, v1, v2, v3), list_sort([{", ".join(f"{{'n': {norm(f'v{j}')}, 'v': v{j}}}" for j in range(4))}])[4] as w from columns),
+unit as (select *, list_transform(w.v, lambda x: x / sqrt(w.n)) as q from longest),
+loops as (select a.vec_id as vi, b.vec_id as vj, count(*) as nl, {", ".join(f"sum(a.{c}) as lt{c}, sum(b.{c}) as lm{c}, sum(a.{c}*a.{c}) as pt{c}{c}, sum(b.{c}*b.{c}) as pm{c}{c}" for c in axes)}, {sums("u")}
+  from place a join place b on a.vec_id < b.vec_id and a.rn = b.rn and not a.fw and not b.fw group by a.vec_id, b.vec_id),
+superposed as (select vi, vj, sqrt(greatest(({own} - 2 * ({cross})) / nl, 0)) as rmsd from unit join loops using (vi, vj))
+"""
+
+
+_SUPERPOSED = _superposed_sql()
+
+
+@query(f"with {VIEW}, {_SUPERPOSED} select vi::varchar as i, vj::varchar as j, round(rmsd, 6) as rmsd from superposed")
 def pair_rmsd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.pair_rmsd(structs_view(spark, sf_dir))
+    return geometry.pair_rmsd(structs_view(spark, sf_dir)).select("i", "j", F.round("rmsd", 6).alias("rmsd"))
 
 
-@query()
+@query(f"with {VIEW}, {_SUPERPOSED} select vi::varchar as i, vj::varchar as j, round(rmsd, 6) as rmsd from superposed where rmsd < 1.25")
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.near_pairs(structs_view(spark, sf_dir), 1.25).select("i", "j", "rmsd")
+    return geometry.near_pairs(structs_view(spark, sf_dir), 1.25).select("i", "j", F.round("rmsd", 6).alias("rmsd"))
 
 
-@query("select vec_id::varchar as structure_id, (vec_id // 10)::int as structural_cluster, (vec_id - vec_id % 10)::varchar as representative from embeddings")
+# computed from the distances: where every component of near pairs is a clique, complete linkage yields the components, and a
+# structure's cluster is that of its first neighbour; a component that is none gives a null and so a mismatch
+@query(f"""with {VIEW}, {_SUPERPOSED}, near as (select vi, vj from superposed where rmsd < 1.25 union all select vj, vi from superposed where rmsd < 1.25 union all select vec_id, vec_id from embeddings),
+firsts as (select vi, min(vj) as f, count(*) as n from near group by vi), sizes as (select f, count(*) as m from firsts group by f),
+named as (select vi, case when n = m then f end as f from firsts join sizes using (f))
+select vi::varchar as structure_id, (dense_rank() over (order by f) - 1)::int as structural_cluster, f::varchar as representative from named""")
 def structural_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.structural_clusters(written(structs_view(spark, sf_dir), "structures"), 1.25).select("structure_id", "structural_cluster", "representative")
 
@@ -222,22 +343,10 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.cluster_summary(scored.withColumnRenamed("structure_id", "structure"), "seq_no", 9)
 
 
-_TEN = [str(k) for k in range(10)]
-
-
-@query(f"with {VIEW}, {_RANKED}, {_PAIRED.format('and a.vec_id < 10 and b.vec_id < 10')}, d as (select vi, vj, sqrt(avg((ax-bx)**2 + (ay-by_)**2 + (az-bz)**2)) as r from paired group by vi, vj),"
-       " mirrored as (select vi, vj, r from d union all select vj, vi, r from d union all select vec_id, vec_id, 0.0::double from embeddings where vec_id < 10)"
-       f" select vi::varchar as structure, {', '.join(f'round(max(case when vj = {k} then r end), 8) as "{k}"' for k in range(10))} from mirrored group by vi")
+@query(f"with {VIEW}, {_SUPERPOSED} select vi::varchar as i, vj::varchar as j, round(rmsd, 6) as rmsd from superposed union all select vj::varchar, vi::varchar, round(rmsd, 6) from superposed union all select vec_id::varchar, vec_id::varchar, 0.0::double from embeddings")
 def rmsd_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = structs_view(spark, sf_dir).where("seq_no < 10")
-    grid = report.rmsd_matrix(geometry.pair_rmsd_unaligned(few), _TEN)
-    return grid.select("structure", *(F.round(f"`{k}`", 8).alias(k) for k in _TEN))
-
-
-@query()
-def rmsd_heatmap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell of the heatmap of superposed distances over all structures; ``rmsd_heatmap`` is the display grid of ten."""
-    return report.rmsd_cells(structs_view(spark, sf_dir)).select("i", "j", F.round("rmsd", 8).alias("rmsd"))
+    """Every cell of the heatmap of superposed distances over all structures, in long form."""
+    return report.rmsd_cells(structs_view(spark, sf_dir)).select("i", "j", F.round("rmsd", 6).alias("rmsd"))
 
 
 def _result(spark: SparkSession, sf_dir: str) -> DataFrame:

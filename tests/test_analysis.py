@@ -297,7 +297,7 @@ def test_heatmap_has_every_cell(spark):
 def test_heatmap_query_covers_all_structures(spark):
     from loopweave.plans import registry
 
-    cells = registry.QUERIES["rmsd_heatmap_all"](spark, "/root/testdata/sf0.001")
+    cells = registry.QUERIES["rmsd_heatmap"](spark, "/root/testdata/sf0.001")
     row = cells.agg({"*": "count", "i": "max"}).first()
     n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
     assert row["count(1)"] == n * n
