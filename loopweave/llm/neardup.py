@@ -268,3 +268,35 @@ def one_of_each(docs: DataFrame, width: int = 5, similar: int = 80, id_col: str
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+
+
+#: SQL for 3-word shingles and 85 percent: exact sets, all pairs that share a shingle, and components by reachability.
+SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), cut as (
+  select doc_id, w, least(3, len(w)) as k, unnest(generate_series(1, len(w) - least(3, len(w)) + 1)) as i from words where len(w) > 0
+), shingles as materialized (
+  select distinct doc_id, k, array_to_string(w[i:i+k-1], ' ') as s from cut
+), sizes as materialized (
+  select doc_id, count(*) as n from shingles group by doc_id
+), classes as materialized (
+  select doc_id, min(doc_id) over (partition by k, h) as class from (select doc_id, min(k) as k, md5(string_agg(s, chr(10) order by s)) as h from shingles group by doc_id)
+), single as (
+  select s.* from shingles s join classes c on s.doc_id = c.doc_id and c.class = c.doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from single a join single b on a.k = b.k and a.s = b.s and a.doc_id < b.doc_id group by all
+), links as materialized (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)
+), both_ways as materialized (
+  select a, b from links union all select b, a from links
+), reached(doc_id, root) as (
+  select class, class from classes group by class
+  union
+  select l.b, r.root from reached r join both_ways l on l.a = r.doc_id
+), roots as (
+  select doc_id, min(root) as root from reached group by doc_id
+)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(root, d.doc_id)::bigint as component_id, coalesce(root, d.doc_id) = d.doc_id as kept
+from documents d left join sizes using (doc_id) left join classes using (doc_id) left join roots r on r.doc_id = classes.class
+"""

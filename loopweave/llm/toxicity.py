@@ -51,11 +51,11 @@ MINIMA, COPY = 4, 80
 #: Witnesses of a toxic document at most; beyond the first they have to lie above the border.
 WITNESSES = 3
 #: Positive words of one machine, landmarks of one if few words are positive, and disguised spellings with characters put in.
-POSITIVES, LANDMARKS, VARIANTS = 600, 384, 16
+POSITIVES, LANDMARKS, VARIANTS = 600, 256, 16
 #: Value from which on a word is as toxic as can be.
 SURE = 2.0
 #: Negative words to begin with, how many join in a round at most, from which value on, and rounds at most.
-NEGATIVES, JOINING, NEAR, ROUNDS = 3000, 4000, -0.3, 5
+NEGATIVES, JOINING, NEAR, ROUNDS = 3000, 4000, -0.3, 4
 
 _MARKS = ".,;:!?#*$%&|'\"()[]{}<>-"
 _PIECES = re.compile(r"[^\W_]+").findall
@@ -140,24 +140,24 @@ class Landmarks:
         self.parts, self.positive = parts, positive
         self.where = np.full(1 << TABLE_BITS, -1, np.int32)
         self.where[used] = np.arange(len(used))
-        order = np.argsort(inverse, kind="stable")
-        self.begin = np.searchsorted(inverse[order], np.arange(len(used) + 1))
-        self.owner, self.value = row[order], weight[order]
+        #: A row for each subsequence that a landmark has.
+        self.table = np.zeros((len(used), len(parts)), np.float32)
+        self.table[inverse, row] = weight
 
     def __reduce__(self):
         return Landmarks, (self.parts, self.positive)
 
     def kernel(self, parts: list[str]) -> np.ndarray:
-        m, out = len(self.parts), np.zeros((len(parts), len(self.parts)))
+        out = np.zeros((len(parts), len(self.parts)), np.float32)
         for at in range(0, len(parts), 1024):
             row, place, weight = normed(parts[at : at + 1024])
             k = self.where[place]
             row, k, weight = row[k >= 0], k[k >= 0], weight[k >= 0]
-            many = self.begin[k + 1] - self.begin[k]
-            entry = np.arange(many.sum()) + np.repeat(self.begin[k] - (np.cumsum(many) - many), many)
-            n = len(parts[at : at + 1024])
-            out[at : at + n] = np.bincount(np.repeat(row, many) * m + self.owner[entry], np.repeat(weight, many) * self.value[entry], n * m).reshape(n, m)
-        return out**POWER
+            bounds = np.searchsorted(row, np.arange(len(parts[at : at + 1024]) + 1)).tolist()
+            for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), at):
+                if hi > lo:
+                    out[i] = weight[lo:hi] @ self.table[k[lo:hi]]
+        return out.astype(float) ** POWER
 
 
 @dataclass
