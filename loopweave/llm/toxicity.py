@@ -306,8 +306,9 @@ def _counted(rows: DataFrame) -> DataFrame:
 def _without_copies(rows: DataFrame) -> DataFrame:
     """``rows`` without copies, exact or near, so that a text speaks once however often it was copied. Rows of a label that share
     one of ``MINIMA`` minimum hashes of their five-word shingles are compared on whole sets, and one goes if it is similar by
-    ``COPY`` percent to one with a smaller id. The rows are a bounded sample, which bounds a group."""
-    def run(batches):
+    ``COPY`` percent to one with a smaller id. The rows are a bounded sample, which bounds a group. Only the texts of rows
+    that share a minimum with another are shuffled."""
+    def minima(batches):
         shingle = Shingler(5)
         for part in slices(batches, 64):
             sets = shingle.sets(part.column(2).to_pylist())
@@ -315,13 +316,12 @@ def _without_copies(rows: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 low = [int(mixed(sets[i] + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)).min().view(np.int64)) for i in some for k in range(MINIMA)]
             take = pa.array(np.repeat(np.array(some, np.int32), MINIMA))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(low, pa.int64()), pa.array([sets[i].tobytes() for i in some for _ in range(MINIMA)], pa.binary())], ["id", "label", "low", "set"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(low, pa.int64())], ["id", "label", "low"])
 
     def copies(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
         stay, gone = [], []
-        for i, data in enumerate(group.column("set").to_pylist()):
-            one = np.frombuffer(data, np.uint64)
+        for i, one in enumerate(Shingler(5).sets(group.column("text").to_pylist())):
             for other in stay:
                 if 100 * min(len(one), len(other)) >= COPY * max(len(one), len(other)):
                     common = len(np.intersect1d(one, other, assume_unique=True))
@@ -333,7 +333,9 @@ def _without_copies(rows: DataFrame) -> DataFrame:
         return group.select(["id"]).take(pa.array(gone, pa.int64()))
 
     kind = rows.schema["id"].dataType.simpleString()
-    alike = rows.mapInArrow(run, f"id {kind}, label int, low long, set binary").groupBy("label", "low")
+    lows = written(rows.mapInArrow(minima, f"id {kind}, label int, low long"), "minima")
+    shared = lows.groupBy("label", "low").count().where("count > 1").drop("count")
+    alike = lows.join(shared, ["label", "low"]).join(rows.select("id", "text"), "id").groupBy("label", "low")
     return rows.join(F.broadcast(alike.applyInArrow(copies, f"id {kind}").distinct()), "id", "left_anti").select("id", "label", "text")
 
 
