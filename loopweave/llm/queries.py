@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, neardup, secret_scan
+from . import chat, decontam, line_dedup, neardup, secret_scan, spelling, vantage
 from .additive import quality_scores
 from .common import table
 from .neardup import near_duplicates
@@ -68,5 +68,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary(), 2048, 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_chat_formatting, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_token_counts, op8_near_dedup, op9_toxicity, op10_best_fit_packing)}
-SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_decontamination": decontam.SQL, "op5_secret_scan": secret_scan.SQL, "op6_line_dedup": line_dedup.SQL, "op8_near_dedup": neardup.SQL}
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vantage.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return vantage.nearest(rows.where(F.col("id") % 20 == 0), rows, 20, vantage.EXACT)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.corpus_words(table(spark, sf_dir, "documents"), spoil=31), 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_chat_formatting, op4_decontamination, op5_secret_scan, op6_line_dedup, op7_token_counts, op8_near_dedup, op9_toxicity, op10_best_fit_packing, op11_nearest_neighbours, op12_spelling_variants)}
+SQL: dict[str, str] = {"op3_chat_formatting": chat.SQL, "op4_decontamination": decontam.SQL, "op5_secret_scan": secret_scan.SQL, "op6_line_dedup": line_dedup.SQL, "op8_near_dedup": neardup.SQL, "op11_nearest_neighbours": vantage.SQL, "op12_spelling_variants": spelling.SQL}

@@ -29,7 +29,7 @@ def test_query(spark, name):
 
 def test_registered():
     known = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in known if n.startswith("op")} == set(range(1, 11)) and "pipeline" in known
+    assert {int(n[2:].split("_")[0]) for n in known if n.startswith("op")} == set(range(1, 13)) and "pipeline" in known
 
 
 ODD_COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id string, score string, key string, row string, value string"
