@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from .graph import components
 TREE_BLOCK = 4_096
 #: Blocks of the spanning tree's rows at most: each vector is copied so often, however many rows there are.
 MOST_BLOCKS = 24
-#: Edges of a component that one task links.
-LINK_EDGES = 2_000_000
+#: Edges of a component that one task links; larger components are linked in distributed rounds, with the same result.
+TASK_EDGES = 100_000
+#: Rounds before what is left is parted into components again.
+ROUNDS = 4
 #: Rows of one density clustering at most: its hierarchy is one object in one task, about 200 bytes a row.
 DENSITY_ROWS = 10_000_000
 
@@ -64,8 +67,8 @@ def complete_linkage(n: int, edges: list[tuple[int, int, float]], threshold: flo
     return owner
 
 
-def _link(edges: DataFrame, grouped: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """(node, first): complete linkage below ``threshold`` of (a, b, d) within each component of ``grouped``."""
+def _link(within: DataFrame, threshold: float, kind: str) -> DataFrame:
+    """(node, first): complete linkage below ``threshold`` of (component, a, b, d), one component a task."""
     def link(rows):
         a, b, d = rows.column("a").to_pylist(), rows.column("b").to_pylist(), rows.column("d").to_pylist()
         items = sorted(set(a) | set(b))
@@ -74,53 +77,78 @@ def _link(edges: DataFrame, grouped: DataFrame, threshold: float, kind: str) ->
         kind = rows.schema.field("a").type
         return pa.table({"node": pa.array(items, kind), "first": pa.array([items[o] for o in owner], kind)})
 
-    within = edges.where(F.col("d") < threshold).join(grouped, F.col("a") == F.col("node")).select("component", "a", "b", "d")
     return within.groupBy("component").applyInArrow(link, f"node {kind}, first {kind}")
 
 
-def _contracted(edges: DataFrame, owner: DataFrame) -> DataFrame:
-    """Edges between clusters: the largest distance of their members, where all members' distances exist. ``edges`` are of
-    single items, ``owner`` (item, first) names the clusters of those that are not alone."""
-    sizes = owner.groupBy("first").count()
-    one, two = owner.select(F.col("item").alias("a"), F.col("first").alias("fa")), owner.select(F.col("item").alias("b"), F.col("first").alias("fb"))
-    named = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("fa", "a").alias("fa"), F.coalesce("fb", "b").alias("fb"), "d").where("fa <> fb")
-    met = named.groupBy(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"))
-    na, nb = sizes.select(F.col("first").alias("a"), F.col("count").alias("na")), sizes.select(F.col("first").alias("b"), F.col("count").alias("nb"))
-    return met.join(na, "a", "left").join(nb, "b", "left").where("n = coalesce(na, 1) * coalesce(nb, 1)").select("a", "b", "d")
+def _reciprocal(edges: DataFrame) -> DataFrame:
+    """(node, first, parts): merges of one round over (a, b, d), each ``parts`` clusters that become one, named by the first.
 
-
-def linked(pairs: DataFrame, threshold: float, most: int = LINK_EDGES) -> DataFrame:
-    """(item, first) of the items of ``pairs`` (a, b, d), by complete linkage below ``threshold``.
-
-    Merges come in ascending order of distance, so what merges below a lower threshold is the same whatever comes later, and
-    components below it do not interact. Where a component has more than ``most`` edges, half the threshold is solved first
-    and its clusters are contracted to nodes, which leaves fewer edges; then the whole threshold is tried again. A component
-    that stays too large near every threshold is an error, not a cut.
+    Edges are in the order of distance, then the clusters' names, smaller one first. Complete linkage is reducible in that order: after
+    a merge its edges are no earlier than the earlier ones of its parts, so two clusters that are each other's first
+    choice merge sooner or later whatever else does, and all such pairs may merge at once. The same holds for more clusters
+    that are all equally near to each other and farther from all others; they merge in one step however many they are.
+    """
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"), "d"), F.struct(F.col("b").alias("u"), F.col("a").alias("v"), "d"))))
+    by_length = ends.groupBy("u", "d").agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    choice = written(by_length.groupBy("u").agg(F.min(F.struct("d", "n", "v")).alias("e")).select("u", "e.d", "e.n", "e.v"), "choice")
+    pairs = choice.groupBy(F.least("u", "v").alias("first"), F.greatest("u", "v").alias("b"), "d").agg(F.count("*").alias("sides")).where("sides = 2")
+    pairs = pairs.select("first", F.lit(2).cast("long").alias("parts"), F.array("first", "b").alias("nodes"))
+    # as many clusters as one has nearest ones and itself, all with the same smallest of these
+    group = ["first", "n", "d"]
+    some = choice.where("n > 1").withColumn("first", F.least("u", "v"))
+    alike = some.groupBy(*group).agg(F.count("*").alias("parts")).where("parts = n + 1")
+    members = written(some.join(alike, group).select("u", "first", "d", "parts"), "alike")
+    if members.isEmpty():
+        return pairs.select(F.explode("nodes").alias("node"), "first", "parts")
+    one, two = members.select(F.col("u").alias("a"), "first", "d", "parts"), members.select(F.col("u").alias("b"), "first", "d", "parts")
+    met = edges.join(one, ["a", "d"]).join(two, ["b", "first", "d", "parts"]).groupBy("first", "d", "parts").agg(F.count("*").alias("met"))
+    whole = met.where("met = parts * (parts - 1) / 2").select("first", "d")
+    wide = members.join(whole, ["first", "d"]).select(F.col("u").alias("node"), "first", "parts")
+    alone = pairs.select(F.explode("nodes").alias("node"), "first", "parts").join(wide.select("node"), "node", "left_anti").select("node", "first", "parts")
+    return wide.union(alone)
+
+
+def _contracted(edges: DataFrame, step: DataFrame) -> DataFrame:
+    """Edges after the merges of ``step``: the largest distance of the parts, where all parts have one."""
+    one = step.select(F.col("node").alias("a"), F.col("first").alias("fa"), F.col("parts").alias("na"))
+    two = step.select(F.col("node").alias("b"), F.col("first").alias("fb"), F.col("parts").alias("nb"))
+    named = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("fa", "a").alias("fa"), F.coalesce("fb", "b").alias("fb"), "d", (F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1))).alias("all")).where("fa <> fb")
+    met = named.groupBy(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).agg(F.max("d").alias("d"), F.count("*").alias("n"), F.max("all").alias("all"))
+    return met.where("n = all").select("a", "b", "d")
+
+
+def linked(pairs: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+    """(item, first) of the items of ``pairs`` (a, b, d; each pair once) that merge, by complete linkage below ``threshold``; ``first`` is
+    the first item of the cluster. Rows of a pair that is there twice count once, with the larger distance.
+
+    Components of the pairs below the threshold do not interact. One of up to ``most`` edges (``TASK_EDGES``) is linked in one task. Larger
+    ones are linked in rounds in which all reciprocal choices merge (see ``_reciprocal``), and are parted into components again now and then, as
+    edges go with every merge. Both give the result of merging one pair at a time, ties included. Every round is joins
+    and aggregations that are written; no task holds a component.
     """
+    most = TASK_EDGES if most is None else most
     kind = pairs.schema["a"].dataType.simpleString()
-    edges, owner, solved, level = pairs, None, 0.0, threshold
+    edges = pairs.where((F.col("d") < threshold) & (F.col("a") != F.col("b"))).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("d").alias("d"))
+    merges = []
     while True:
-        below = edges.where(F.col("d") < level)
-        grouped = written(components(below.select("a", "b")), "components")
-        largest = below.join(grouped, F.col("a") == F.col("node")).groupBy("component").count().agg(F.max("count")).first()[0] or 0
-        if largest > most:
-            level = (solved + level) / 2
-            if level - solved < threshold / 256:
-                raise ValueError(f"{largest} pairs nearer than {level} in one component; one task links {most} at most")
-            continue
-        step = _link(edges, grouped, level, kind)
-        if owner is None:
-            owner = step.withColumnRenamed("node", "item")
-        else:
-            # nodes of this step are clusters of earlier ones, or items that were alone so far
-            step = written(step, "step")
-            moved = owner.join(step, F.col("node") == owner["first"], "left").select("item", F.coalesce(step["first"], owner["first"]).alias("first"))
-            alone = step.join(owner.select(F.col("first").alias("known")).distinct(), F.col("known") == F.col("node"), "left_anti").select(F.col("node").alias("item"), "first")
-            owner = moved.union(alone)
-        owner = written(owner, "owner")
-        if level == threshold:
-            return owner
-        edges, solved, level = written(_contracted(pairs, owner), "contracted"), level, threshold
+        edges = written(edges, "edges")
+        held = written(edges.join(components(edges.select("a", "b")), F.col("a") == F.col("node")).select("component", "a", "b", "d"), "held")
+        sizes = written(held.groupBy("component").count(), "sizes")
+        largest = sizes.agg(F.max("count")).first()[0] or 0
+        large = sizes.where(F.col("count") > most).select("component")
+        small = held if largest <= most else held.join(large, "component", "left_anti")
+        merges.append(written(_link(small, threshold, kind).where("node <> first"), "merges"))
+        if largest <= most:
+            break
+        edges = held.join(large, "component", "left_semi").select("a", "b", "d")
+        for _ in range(ROUNDS):
+            edges = written(edges, "edges")
+            step = written(_reciprocal(edges), "step")
+            merges.append(step.where("node <> first").select("node", "first"))
+            edges = _contracted(edges, step)
+    # a cluster goes into another one once at most and keeps the smaller name, so merges are trees towards first items
+    forest = reduce(DataFrame.union, merges).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return written(components(forest).select(F.col("node").alias("item"), F.col("component").alias("first")), "owner")
 
 
 def structural_clusters(structs: DataFrame, threshold: float = 1.25) -> DataFrame:
@@ -129,8 +157,8 @@ def structural_clusters(structs: DataFrame, threshold: float = 1.25) -> DataFram
     cannot be compared never meet.
 
     All members of a cluster are nearer to each other than the threshold, so a cluster lies within a connected component of
-    the pairs below it, and components do not interact. Pairs come from ``near_pairs``; a task gets the edges of one
-    component at a time, ``LINK_EDGES`` at most (see ``linked``). The result is written.
+    the pairs below it, and components do not interact. Pairs come from ``near_pairs``, clusters from ``linked``. The result is
+    written.
     """
     with scratch():
         pairs = written(near_pairs(structs, threshold).select(F.col("si").alias("a"), F.col("sj").alias("b"), F.col("rmsd").alias("d")), "pairs")

@@ -95,19 +95,41 @@ def test_near_pairs_of_copies_of_one_fold(spark, monkeypatch):
     assert reached < 0.05 * len(whole)
 
 
-def test_complete_linkage_by_lower_thresholds(spark):
-    """A component beyond the limit is solved below lower thresholds first and contracted; the result is the same."""
+def test_complete_linkage_in_rounds(spark):
+    """200 random graphs at once, distances of few values and of many, some components by tasks and some by rounds: the result of
+    merging one pair at a time, ties included."""
     rng = np.random.default_rng(3)
-    x = rng.random((40, 2)) * 3
-    d = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(2))
-    edges = [(i, j, float(d[i, j])) for i in range(40) for j in range(i + 1, 40) if d[i, j] < 1.2]
-    want = {k: int(o) for k, o in enumerate(cluster.complete_linkage(40, edges, 1.2))}
+    edges, want = [], {}
+    for graph in range(200):
+        n, ties = int(rng.integers(3, 16)), rng.integers(0, 5)
+        x = rng.random((n, 2)) * 2
+        d = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(2))
+        if ties:
+            d = np.round(d * ties) / ties
+        names = graph * 100 + rng.permutation(n)
+        some = [(int(min(names[i], names[j])), int(max(names[i], names[j])), float(d[i, j])) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.9]
+        order = sorted(names.tolist())
+        place = {v: k for k, v in enumerate(order)}
+        owner = cluster.complete_linkage(n, [(place[a], place[b], z) for a, b, z in some], 1.1)
+        want |= {v: order[owner[k]] for k, v in enumerate(order)}
+        edges += some
     pairs = spark.createDataFrame(edges, "a long, b long, d double")
-    for most in (10_000, 60):
-        got = {r["item"]: r["first"] for r in cluster.linked(pairs, 1.2, most).collect()}
-        assert all(got.get(k, k) == o for k, o in want.items())
-    with pytest.raises(ValueError, match="one component"):
-        cluster.linked(pairs, 1.2, 1)
+    for most in (20, 10_000):
+        got = {r["item"]: r["first"] for r in cluster.linked(pairs, 1.1, most).collect()}
+        assert {k: got.get(k, k) for k in want} == want, most
+
+
+def test_many_identical_structures_are_one_cluster(spark):
+    """Millions of equal distances: all merge in one step; a second group with distances of their own takes rounds."""
+    pairs = spark.range(3_000).select(F.col("id").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(2_999)))).where("a < b").select("a", F.col("b").cast("long").alias("b"), F.lit(1e-9).alias("d"))
+    other = spark.range(5_000, 5_200).select(F.col("id").alias("a")).withColumn("b", F.explode(F.sequence(F.lit(5_000), F.lit(5_199)))).where("a < b").select("a", F.col("b").cast("long").alias("b"), (F.pmod(F.xxhash64("a", "b"), F.lit(10_000)) / 20_000).alias("d"))
+    got = cluster.linked(pairs.union(other), 1.25, 5_000).groupBy("first").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 3_000), (5_000, 200)]
+
+
+def test_linkage_of_nothing(spark):
+    none = spark.createDataFrame([(1, 2, 3.0), (4, 4, 0.1)], "a long, b long, d double")
+    assert cluster.linked(none, 1.25).count() == 0 and cluster.linked(none.limit(0), 1.25).count() == 0
 
 
 def test_complete_linkage():
