@@ -41,6 +41,12 @@ def _share(text: Column, letters: str) -> Column:
     return F.regexp_count(text, F.lit(f"[{letters}]")) / F.greatest(F.length(text), F.lit(1))
 
 
+def sequence_shares(letters: Column) -> dict[str, Column]:
+    """A sequence's shares of charged, hydrophobic, polar and aromatic residues, as those of a region."""
+    pos, neg = _share(letters, POSITIVE), _share(letters, NEGATIVE)
+    return {"net_charge": pos - neg, "pos_frac": pos, "neg_frac": neg, "hydro": _share(letters, HYDROPHOBIC), "polar": _share(letters, POLAR), "aromatic": _share(letters, AROMATIC)}
+
+
 def _geometry() -> Column:
     """Distances of pairs of loop alpha carbons and to their centroid; zeros below two."""
     ca = F.col("cdr_ca")
@@ -63,11 +69,9 @@ def feature_columns() -> dict[str, Column]:
     out: dict[str, Column] = {f"{r}_length": F.col(f"_n_{r}").cast("double") for r in REGIONS}
     for r in REGIONS:
         out |= {f"{r}_frac_{a}": _share(F.col(r), a) for a in ALPHABET}
-    for r in REGIONS:
-        pos, neg = _share(F.col(r), POSITIVE), _share(F.col(r), NEGATIVE)
-        out |= {f"{r}_net_charge": pos - neg, f"{r}_pos_frac": pos, f"{r}_neg_frac": neg}
-    for r in REGIONS:
-        out |= {f"{r}_hydro": _share(F.col(r), HYDROPHOBIC), f"{r}_polar": _share(F.col(r), POLAR), f"{r}_aromatic": _share(F.col(r), AROMATIC)}
+    shares = {r: sequence_shares(F.col(r)) for r in REGIONS}
+    out |= {f"{r}_{k}": shares[r][k] for r in REGIONS for k in ("net_charge", "pos_frac", "neg_frac")}
+    out |= {f"{r}_{k}": shares[r][k] for r in REGIONS for k in ("hydro", "polar", "aromatic")}
     out |= {"cdr_pw_dist_mean": F.col("_geo.pair.mean"), "cdr_pw_dist_std": F.col("_geo.pair.std"), "cdr_centroid_mean": F.col("_geo.middle.mean"), "cdr_centroid_std": F.col("_geo.middle.std")}
     out |= {"sasa_exposure_mean": F.col("_exp.mean"), "sasa_exposure_std": F.col("_exp.std")}
     score = None

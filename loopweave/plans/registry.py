@@ -398,3 +398,5 @@ def top_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = QUERIES["cluster_summary"]
+#: Pieces of SQL that the jobs' queries are made of as well.
+LETTERS_SQL, FEATURE_SQL, SHARE_SQL, SUPERPOSED_SQL = _LETTERS, _FEATURE_SQL, _share_sql, _SUPERPOSED
