@@ -14,16 +14,18 @@ from ..storage import keep, scratch, written
 from .geometry import near_pairs
 from .graph import components
 
-#: Vectors whose spanning tree is built in one task; of more, blocks of this size are compared pair by pair.
+#: Vectors whose spanning tree is built in one task; of more, cells of about this size are compared, as far as bounds ask for it.
 TREE_BLOCK = 4_096
-#: Blocks of the spanning tree's rows at most: each vector is copied so often, however many rows there are.
-MOST_BLOCKS = 24
+#: Rows of a ball within a cell, and rows by which cells are laid out, for each of them.
+BALL_ROWS, LAID_OUT = 32, 32
+#: Partitions at most that a round over cells is dealt to.
+TASKS = 2_000
 #: Edges of a component that one task links; larger components are linked in distributed rounds, with the same result.
 TASK_EDGES = 100_000
 #: Rounds before what is left is parted into components again.
 ROUNDS = 4
-#: Rows of one density clustering at most: its hierarchy is one object in one task, about 200 bytes a row.
-DENSITY_ROWS = 10_000_000
+#: Rows of one density clustering at most: its hierarchy is one object in one task, and the driver holds a row for each cell.
+DENSITY_ROWS = 1_000_000
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
@@ -146,6 +148,8 @@ def linked(pairs: DataFrame, threshold: float, most: int | None = None) -> DataF
             step = written(_reciprocal(edges), "step")
             merges.append(step.where("node <> first").select("node", "first"))
             edges = _contracted(edges, step)
+    if len(merges) == 1:
+        return merges[0].select(F.col("node").alias("item"), "first")
     # a cluster goes into another one once at most and keeps the smaller name, so merges are trees towards first items
     forest = reduce(DataFrame.union, merges).select(F.col("node").alias("a"), F.col("first").alias("b"))
     return written(components(forest).select(F.col("node").alias("item"), F.col("component").alias("first")), "owner")
@@ -185,50 +189,224 @@ def spanning_tree(x: np.ndarray) -> np.ndarray:
     return edges
 
 
-def distributed_tree(points: DataFrame, blocks: int) -> DataFrame:
-    """(a, b, d): the Euclidean minimum spanning tree of (key, vector) rows, by Boruvka's rounds. In each, every pair of
-    blocks finds the shortest edge that leaves each component, the shortest of all blocks join components, and at least half
-    of these vanish. Edges are ordered by length, then keys (numbers), so ties cannot close a circle. No task holds more than
-    two blocks, and each vector is copied once for each block, ``MOST_BLOCKS`` times at most; the comparisons grow with the square of the rows, as an exact tree's do."""
+def _parted(x: np.ndarray, most: int) -> list[tuple[np.ndarray, list[tuple[int, int, float]]]]:
+    """Rows of ``x`` (finite numbers) in parts of ``most`` at most, halved again and again across the coordinate in which they differ most; and the way to each
+    part: (coordinate, side, border), the lower side up to the border."""
+    done, todo = [], [(np.arange(len(x)), [])]
+    while todo:
+        rows, way = todo.pop()
+        if len(rows) <= most:
+            done.append((rows, way))
+            continue
+        c = int((x[rows].max(0) - x[rows].min(0)).argmax())
+        border = float(np.median(x[rows, c]))
+        low = x[rows, c] <= border
+        if low.all():  # the median is the largest; where all rows are equal there is nothing to part
+            low = x[rows, c] < border
+            border = float(x[rows[low], c].max()) if low.any() else border
+        if not low.any():
+            done += [(part, way) for part in np.array_split(rows, -(-len(rows) // most))]
+            continue
+        todo += [(rows[low], [*way, (c, 0, border)]), (rows[~low], [*way, (c, 1, border)])]
+    return done
+
+
+def _balls(x: np.ndarray) -> tuple[np.ndarray, list[slice], np.ndarray, np.ndarray]:
+    """An order of the rows of ``x`` in which balls are together, and the balls: places, middles, radii."""
+    parts = [rows for rows, _ in _parted(x, BALL_ROWS)]
+    ends = np.cumsum([len(p) for p in parts])
+    where = [slice(e - len(p), e) for p, e in zip(parts, ends, strict=True)]
+    middle = np.stack([x[p].mean(0) for p in parts])
+    return np.concatenate(parts), where, middle, np.array([np.sqrt(((x[p] - m) ** 2).sum(1).max()) for p, m in zip(parts, middle, strict=True)])
+
+
+def leaving(x: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(distance, row) of the nearest row of another component for each row, between the rows ``left`` and ``right`` (the same, or
+    none in common), and how many pairs were compared. ``bound`` holds for each component a length that its shortest way out does
+    not exceed; what cannot be as short is left out. Of equal lengths the smaller row wins.
+
+    A ball of rows meets the balls of the other side that, by the triangle inequality, may hold a row within the bound of a
+    component on either side; what is found tightens the bounds. Products choose the nearest rows up to rounding, and
+    differences then measure those."""
+    near, at, bound, pairs = np.full(len(x), np.inf), np.full(len(x), -1), bound.copy(), 0
+    x = x - x.mean(0)
+    square = (x * x).sum(1)
+    slack = 1e-11 * float(square.max(initial=0.0))
+    sides = []
+    for rows in (left, right):
+        order, where, middle, radius = _balls(x[rows])
+        sides.append((rows[order], where, middle, radius))
+    (lp, lw, lm, lr), (rp, rw, rm, rr) = sides
+    same = left is right
+    gap = np.maximum(np.stack([np.sqrt(((rm - m) ** 2).sum(1)) for m in lm]) - lr[:, None] - rr[None, :], 0.0) * (1 - 1e-9)
+    starts, first = np.array([w.start for w in rw]), np.full(len(lw), -1)
+
+    def meet(a: np.ndarray, b: np.ndarray) -> int:
+        d = square[a][:, None] + square[b][None, :] - 2 * (x[a] @ x[b].T)
+        d[comp[a][:, None] == comp[b][None, :]] = np.inf
+        for one, two, m in ((a, b, d), (b, a, d.T)):
+            best = m.min(1)
+            some = np.isfinite(best)
+            r, c = np.nonzero((m <= (best + slack)[:, None]) & some[:, None])
+            exact = np.zeros(len(r))
+            for k in range(x.shape[1]):
+                exact += (x[one[r], k] - x[two[c], k]) ** 2
+            order = np.lexsort((two[c], exact, r))
+            first = order[np.flatnonzero(np.r_[True, np.diff(r[order]) != 0])] if len(order) else order
+            row, to, length = one[r[first]], two[c[first]], np.sqrt(exact[first])
+            closer = (length < near[row]) | (length == near[row]) & (to < at[row])
+            near[row[closer]], at[row[closer]] = length[closer], to[closer]
+            np.minimum.at(bound, comp[row[closer]], length[closer])
+        return d.size
+
+    if same:
+        pairs += sum(meet(lp[w], lp[w]) for w in lw)
+    def asked(i: int) -> np.ndarray:
+        reach = np.maximum(np.maximum.reduceat(bound[comp[rp]], starts), bound[comp[lp[lw[i]]]].max())
+        some = np.flatnonzero(gap[i] <= reach)
+        return some[some > i] if same else some
+
+    # first the nearest ball of each, then all that are within the bounds as they are by then
+    for turn in (0, 1):
+        for i in np.argsort(gap.min(1), kind="stable"):
+            some = asked(i)
+            if len(some) and turn == 0:
+                first[i] = some[gap[i][some].argmin()]
+                some = first[i : i + 1]
+            some = some[some != first[i]] if turn else some
+            if len(some):
+                pairs += meet(lp[lw[i]], np.concatenate([rp[rw[j]] for j in some]))
+    return near, at, pairs
+
+
+def _shortest(keys: pa.Array, names: np.ndarray, comp: np.ndarray, near: np.ndarray, at: np.ndarray) -> tuple:
+    """(component, d, a, b) of the shortest way out of each component; rows are in the order of keys."""
+    some = np.flatnonzero(np.isfinite(near))
+    d, a, b = near[some], np.minimum(some, at[some]), np.maximum(some, at[some])
+    order = np.lexsort((b, a, d, comp[some]))
+    first = order[np.flatnonzero(np.r_[True, np.diff(comp[some][order]) != 0])] if len(order) else order
+    return names[comp[some[first]]], d[first], keys.take(pa.array(a[first])), keys.take(pa.array(b[first]))
+
+
+def _celled(points: DataFrame, n: int, rows: int) -> DataFrame:
+    """``points`` (key, vector) with ``cell``, of about ``rows`` rows: halves across coordinates, laid out on a sample of ``LAID_OUT`` rows for each
+    cell (those with the smallest hashes of their keys). All rows are dealt; a cell that turns out too large, of equal vectors for instance, is cut by hashes."""
+    cells = -(-n // rows)
+    sample = points.orderBy(F.xxhash64("key"), "key").limit(cells * LAID_OUT).select("vector").toPandas()["vector"]
+    parts = _parted(np.array([list(v) for v in sample], float), LAID_OUT)
+    ways = [way for _, way in parts]
+
+    def deal(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cell = np.zeros(len(x), np.int32)
+            for k, way in enumerate(ways):
+                inside = np.ones(len(x), bool)
+                for c, side, border in way:
+                    inside &= (x[:, c] > border) if side else (x[:, c] <= border)
+                cell[inside] = k
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["key", "vector", "cell"])
+
+    dealt = written(points.mapInArrow(deal, f"key {points.schema['key'].dataType.simpleString()}, vector array<double>, cell int"), "dealt")
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("cuts")).orderBy("cell").collect()  # one row a cell
+    first = np.cumsum([0, *(r.cuts for r in sizes)]).tolist()
+    starts = points.sparkSession.createDataFrame([(r.cell, f, r.cuts) for r, f in zip(sizes, first, strict=False)], "cell int, start int, cuts int")
+    return dealt.join(F.broadcast(starts), "cell").select("key", "vector", (F.col("start") + F.pmod(F.xxhash64("key"), F.col("cuts"))).cast("int").alias("cell"))
+
+
+def distributed_tree(points: DataFrame, n: int, rows: int | None = None, compared: list | None = None) -> DataFrame:
+    """(a, b, d): the Euclidean minimum spanning tree of ``n`` (key, vector) rows, by Boruvka's rounds over cells with bounds.
+
+    Rows are dealt into cells of about ``rows`` (``TREE_BLOCK``) near rows. In each round a cell finds the shortest way out of each component among its own rows;
+    these, and the distances of the cells' middle rows, bound every component's shortest way out. Two cells meet only if the least
+    distance that their rows can have, by the triangle inequality, is within the bound of a component in one of them; inside,
+    balls of rows are left out likewise (``leaving``). The shortest of all ways join components, and at least half of these
+    vanish. Edges are ordered by length, then keys, so ties cannot close a circle, and bounds keep ties: the tree is that of all pairs. A task holds two cells. The driver holds one row a
+    cell. ``compared`` gets the number of compared pairs of each round.
+    """
+    spark, rows = points.sparkSession, rows or TREE_BLOCK
     kind = points.schema["key"].dataType.simpleString()
-    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    dealt = points.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = written(dealt.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "key", "vector"), "blocks")
-    names = written(points.select("key", F.col("key").alias("component")), "names")
-    tree = None
-
-    def leave(key, rows):
-        rows = rows.sort_by("key")
-        names, own = rows.column("component").combine_chunks(), rows.column("own").to_numpy()
-        comp = np.unique(names.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        x = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-        left, right = np.flatnonzero(own == key[0].as_py()), np.flatnonzero(own == key[1].as_py())
-        # places are in the order of keys: of equal lengths the edge with the smallest keys wins for each row
-        near, at = np.full(len(own), np.inf), np.full(len(own), -1)
-        for lo in range(0, len(left), 64):
-            i = left[lo : lo + 64]
-            d = np.zeros((len(i), len(right)))
-            for c in range(x.shape[1]):
-                d += (x[i, c][:, None] - x[right, c][None, :]) ** 2
-            d[comp[i][:, None] == comp[right][None, :]] = np.inf
-            for side, other, row, best in ((i, right, d.argmin(1), d.min(1)), (right, i, d.argmin(0), d.min(0))):
-                closer = (best < near[side]) | (best == near[side]) & np.isfinite(best) & (other[row] < at[side])
-                near[side[closer]], at[side[closer]] = best[closer], other[row][closer]
-        some = np.flatnonzero(np.isfinite(near))
-        d, a, b = np.sqrt(near[some]), np.minimum(some, at[some]), np.maximum(some, at[some])
-        order = np.lexsort((b, a, d, comp[some]))
-        first = order[np.flatnonzero(np.r_[True, np.diff(comp[some][order]) != 0])] if len(order) else order
-        ids = rows.column("key")
-        return pa.table([names.take(pa.array(some[first])), pa.array(d[first]), ids.take(pa.array(a[first])), ids.take(pa.array(b[first]))], ["component", "d", "a", "b"])
+    placed = _celled(points, n, rows)
+
+    def gather(group):
+        group = group.sort_by("key")
+        x = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
+        middle = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+        radius = float(np.sqrt(((x - x[middle]) ** 2).sum(1).max()))
+        return pa.table({"cell": group.column("cell").slice(0, 1), "middle": pa.array([middle], pa.int32()), "radius": [radius], "at": [x[middle].tolist()],
+                         "keys": pa.array([group.column("key").to_pylist()], pa.list_(group.schema.field("key").type)), "vectors": [x.tobytes()]})
+
+    cells = written(placed.groupBy("cell").applyInArrow(gather, f"cell int, middle int, radius double, at array<double>, keys array<{kind}>, vectors binary"), "cells")
+    known = cells.select("cell", "middle", "radius", "at").orderBy("cell").collect()  # one row a cell
+    place = {r.cell: k for k, r in enumerate(known)}
+    at, radius = np.array([r.at for r in known]), np.array([r.radius for r in known])
+    far = np.stack([np.sqrt(((at - p) ** 2).sum(1)) for p in at])
+    gap = np.maximum(far - radius[:, None] - radius[None, :], 0.0) * (1 - 1e-9)
+    names = written(cells.select("cell", F.posexplode("keys").alias("pos", "key")).withColumn("component", F.col("key")), "names")
+    found_type = f"component {kind}, d double, a {kind}, b {kind}, compared long"
+
+    def rows_of(table, k):
+        keys = table.column("keys")[k].values
+        return keys, np.frombuffer(table.column("vectors")[k].as_py(), "<f8").reshape(len(keys), -1), table.column("components")[k].values
+
+    def result(out, compared, arrow_kind):
+        component, d, a, b = out
+        table = pa.table({"component": pa.array(component, arrow_kind), "d": pa.array(d, pa.float64()), "a": a.cast(arrow_kind), "b": b.cast(arrow_kind), "compared": pa.array([0] * len(d), pa.int64())})
+        return pa.concat_tables([table, pa.table({f.name: pa.array([compared] if f.name == "compared" else [None], f.type) for f in table.schema})])
+
+    def within(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for k in range(table.num_rows):
+                keys, x, component = rows_of(table, k)
+                named, comp = np.unique(component.to_numpy(zero_copy_only=False), return_inverse=True)
+                everything = np.arange(len(x))
+                near, to, pairs = leaving(x, comp, everything, everything, np.full(len(named), np.inf)) if len(named) > 1 else (np.full(len(x), np.inf), everything, 0)
+                out = result(_shortest(keys, named, comp, near, to), pairs, keys.type)
+                yield from out.append_column("cell", pa.array([table.column("cell")[k].as_py()] * out.num_rows, pa.int32())).to_batches()
+
+    def between(key, group):
+        (k1, x1, c1), (k2, x2, c2) = (rows_of(group, k) for k in range(2))
+        keys = pa.concat_arrays([k1, k2])
+        order = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
+        keys, x = keys.take(pa.array(order)), np.concatenate([x1, x2])[order]
+        named, comp = np.unique(pa.concat_arrays([c1, c2]).take(pa.array(order)).to_numpy(zero_copy_only=False), return_inverse=True)
+        bound = np.full(len(named), np.inf)
+        for components_, bounds in ((group.column("bounded")[k].values, group.column("bounds")[k].values.to_numpy(zero_copy_only=False)) for k in range(2)):
+            bound[np.searchsorted(named, components_.to_numpy(zero_copy_only=False))] = bounds
+        near, to, pairs = leaving(x, comp, np.flatnonzero(order < len(k1)), np.flatnonzero(order >= len(k1)), bound)
+        return result(_shortest(keys, named, comp, near, to), pairs, keys.type)
 
+    tree = None
     while True:
-        found = dealt.join(names, "key").groupBy("p", "q").applyInArrow(leave, f"component {kind}, d double, a {kind}, b {kind}")
-        chosen = written(found.groupBy("component").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b", "e.d").distinct(), "edges")
-        if chosen.isEmpty():
+        held = written(names.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("pos", "component"))).alias("c")).select("cell", F.col("c.component").alias("components")).join(cells.select("cell", "keys", "vectors", "middle"), "cell"), "held")
+        # a task for each cell and for each pair of cells, as far as a shuffle may go: the work is not in the bytes
+        local = written(held.repartition(min(len(known), TASKS), "cell").mapInArrow(within, found_type + ", cell int"), "within")
+        # of each cell: its middle row's component, and the only one if there is one
+        shape = {r.cell: r for r in held.select("cell", F.get("components", F.col("middle")).alias("middle"), (F.array_min("components") == F.array_max("components")).alias("one")).collect()}
+        if len({r.middle for r in shape.values()}) == 1 and all(r.one for r in shape.values()):
             return tree
+        owner = np.array([shape[r.cell].middle for r in known], object)
+        other = np.where(owner[:, None] != owner[None, :], far, np.inf).min(1)
+        middles = spark.createDataFrame([(o, float(d)) for o, d in zip(owner.tolist(), other, strict=True)], f"component {kind}, d double")
+        bounds = written(local.where("component is not null").select("component", "d").union(middles).groupBy("component").agg(F.min("d").alias("bound")), "bounds")
+        present = written(names.select("cell", "component").distinct().join(bounds, "component", "left").groupBy("cell").agg(F.collect_list("component").alias("bounded"), F.collect_list(F.coalesce("bound", F.lit(float("inf")))).alias("bounds")), "present")
+        reach = np.zeros(len(known))
+        for r in present.select("cell", F.array_max("bounds").alias("reach")).collect():
+            reach[place[r.cell]] = r.reach
+        one = np.array([shape[r.cell].one for r in known])
+        meet = (gap <= np.maximum(reach[:, None], reach[None, :])) & ~(one[:, None] & one[None, :] & (owner[:, None] == owner[None, :]))
+        pairs = [(known[i].cell, known[j].cell) for i, j in np.argwhere(np.triu(meet, 1)).tolist()]
+        dealt = spark.createDataFrame([(p, q, c) for p, q in pairs for c in (p, q)], "p int, q int, cell int")
+        across = held.join(F.broadcast(dealt), "cell").join(present, "cell").repartition(max(1, min(len(pairs), TASKS)), "p", "q").groupBy("p", "q").applyInArrow(between, found_type)
+        found = written(local.drop("cell").union(across), "found")
+        if compared is not None:
+            compared.append(found.agg(F.sum("compared")).first()[0] or 0)
+        chosen = written(found.where("component is not null").groupBy("component").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b", "e.d").distinct(), "edges")
         tree = chosen if tree is None else tree.union(chosen)
-        joined = components(tree.select("a", "b"))
-        names = written(names.select("key").join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component")), "names")
+        joined = components(chosen.select("a", "b").join(names.select(F.col("key").alias("a"), F.col("component").alias("ca")), "a").join(names.select(F.col("key").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("_into"))
+        names = written(names.join(joined, "component", "left").select("cell", "pos", "key", F.coalesce("_into", "component").alias("component")), "names")
 
 
 def density_labels(x: np.ndarray, least: int = 3) -> np.ndarray:
@@ -338,6 +516,6 @@ def density_clusters(points: DataFrame, least: int = 3, key: str = "seq_no", vec
     if n <= TREE_BLOCK:
         labels = slim.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(whole, f"key {kind}, cluster int")
     else:
-        tree = distributed_tree(slim, min(MOST_BLOCKS, -(-n // TREE_BLOCK)))
+        tree = distributed_tree(slim, n)
         labels = tree.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(from_edges, f"key {kind}, cluster int")
     return points.join(labels.withColumnRenamed("key", key), key)

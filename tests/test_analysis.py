@@ -176,12 +176,47 @@ def test_distributed_tree(spark, monkeypatch):
     x = np.concatenate([rng.normal(0, 0.2, (25, 3)), rng.normal(4, 0.2, (30, 3)), rng.normal(9, 3, (6, 3)), np.zeros((4, 3))])
     one = [r.cluster for r in cluster.density_clusters(points(spark, x)).orderBy("seq_no").collect()]
     monkeypatch.setattr(cluster, "TREE_BLOCK", 20)
+    monkeypatch.setattr(cluster, "BALL_ROWS", 4)
     df = points(spark, x)
-    tree = cluster.distributed_tree(df.withColumnRenamed("seq_no", "key"), 4).collect()
+    tree = cluster.distributed_tree(df.withColumnRenamed("seq_no", "key"), len(x)).collect()
     assert len(tree) == len(x) - 1 and sum(r.d for r in tree) == pytest.approx(cluster.spanning_tree(x)[:, 2].sum())
     assert [r.cluster for r in cluster.density_clusters(df).orderBy("seq_no").collect()] == one and len(set(one)) >= 3
 
 
+@pytest.mark.parametrize("kind", ["grid", "copies", "clusters"])
+def test_ways_out_are_the_shortest(monkeypatch, kind):
+    """Bounds leave out nothing, whatever is tied: the first of the shortest edges of all pairs, by length and then rows."""
+    monkeypatch.setattr(cluster, "BALL_ROWS", 5)
+    rng = np.random.default_rng(6)
+    x = {"grid": rng.integers(0, 4, (90, 2)).astype(float), "copies": np.repeat(rng.normal(size=(30, 5)), 3, 0), "clusters": rng.normal(size=(6, 4))[rng.integers(0, 6, 90)] * 9 + rng.normal(size=(90, 4)) * 0.1}[kind]
+    d = np.sqrt(sum((x[:, None, k] - x[None, :, k]) ** 2 for k in range(x.shape[1])))
+    for comps in (90, 30, 4):
+        comp = np.unique(rng.integers(0, comps, 90), return_inverse=True)[1]
+        for left, right in ((np.arange(90),) * 2, (np.arange(0, 90, 2), np.arange(1, 90, 2))):
+            may = np.isin(np.arange(90), left)[:, None] & np.isin(np.arange(90), right)[None, :]
+            may = (may | may.T) & (comp[:, None] != comp[None, :])
+            whole = np.where(may, d, np.inf)
+            best = np.array([whole[comp == c].min() for c in range(comp.max() + 1)])
+            same = left is right or None
+            near, at, pairs = cluster.leaving(x, comp, left, left if same else right, best + 1e-9 if same is None else np.full(len(best), np.inf))
+            for c in range(comp.max() + 1):
+                rows = np.flatnonzero(comp == c)
+                got = min(((near[r], min(r, at[r]), max(r, at[r])) for r in rows), key=lambda e: (round(e[0], 9), e[1:]))
+                want = min(((whole[r, q], min(r, q), max(r, q)) for r in rows for q in range(90)), key=lambda e: (round(e[0], 9), e[1:]))
+                assert got[0] == pytest.approx(want[0], abs=1e-9) and (kind == "clusters" or got[1:] == want[1:])
+
+
+def test_tree_of_clusters_compares_few_pairs(spark):
+    """3,000 rows in clusters: the bounds leave out most pairs, and the tree is Prim's."""
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-50, 50, (12, 3))[rng.integers(0, 12, 3_000)] + rng.normal(size=(3_000, 3))
+    compared = []
+    tree = cluster.distributed_tree(points(spark, x).withColumnRenamed("seq_no", "key"), len(x), 300, compared).collect()
+    want = cluster.spanning_tree(x)
+    assert sorted(sorted((r.a, r.b)) for r in tree) == sorted(sorted(map(int, e[:2])) for e in want)
+    assert sum(compared) < 0.2 * len(compared) * len(x) ** 2 / 2, compared
+
+
 def points(spark, x):
     return spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "seq_no int, vector array<double>")
 
