@@ -38,15 +38,16 @@ def classify_ranges(values: DataFrame, value: str, ranges: DataFrame, default: s
 
 def annotate(residues: DataFrame, renumber=None) -> DataFrame:
     """Residues with ``imgt_pos`` and ``region``. The position is the file's residue number, unless ``renumber`` is given: a
-    function from a sequence to its positions (or None), run once for each structure; a residue beyond what it returns, or a
-    structure for which it fails, keeps the file's number."""
+    function from a sequence to its positions (or None), run once for each structure; a residue beyond what it returns or without
+    a position, or a structure for which it fails, keeps the file's number. ``numbering.Aligner`` is such a function, for many sequences
+    at once."""
     if renumber is None:
         return residues.withColumn("imgt_pos", F.col("res_seq")).withColumn("region", region_of(F.col("imgt_pos")))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for letters in batch.column(1).to_pylist():
+            out = renumber.many(batch.column(1).to_pylist()) if hasattr(renumber, "many") else []
+            for letters in [] if out else batch.column(1).to_pylist():
                 try:
                     out.append(renumber(letters))
                 except Exception:  # a plug-in may fail on any sequence; the file's numbers then hold

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import numbering as numbers
 from ..functions.annotate import annotate, classify_ranges, region_of
 from ..operators import cluster, embed, features, geometry, report, scale
 from ..schemas import ALPHABET, AROMATIC, FEATURES, HYDROPHOBIC, LETTERS, NEGATIVE, POLAR, POSITIVE, REGION_RANGES, REGION_WEIGHTS, REGIONS
@@ -134,6 +135,18 @@ def residue_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.residue_details(annotated_view(spark, sf_dir))
 
 
+@query(f"with {VIEW} select structure_id, ordinal, res_seq as imgt_pos, region from annotated")
+def numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residues of files that count from 900, of ten families by label whose letters change along the chain: numbered again by profiles
+    learnt from the view's own numbers. The SQL is the numbers that the files had."""
+    k = F.col("ordinal")
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("structure_id"), F.col("label").alias("profile"))
+    letter = F.substring(F.lit(ALPHABET), (1 + (6 * k * k + 3 * k + F.col("profile")) % 20).cast("int"), F.lit(1))
+    rows = residue_view(spark, sf_dir).join(labels, "structure_id").withColumn("one_letter", letter)
+    aligner = numbers.Aligner.of(numbers.profiles_of(rows, position="res_seq"))
+    return annotate(rows.withColumn("res_seq", (900 + k).cast("int")), aligner).select("structure_id", "ordinal", F.col("imgt_pos").cast("int").alias("imgt_pos"), "region")
+
+
 # --- features -------------------------------------------------------------------------------------------------------------
 
 _LETTERS = "letters as (select structure_id, " + ", ".join(f"coalesce(string_agg(one_letter, '' order by ordinal) filter (where region = '{r}'), '') as \"{r}\"" for r in REGIONS) + " from annotated group by structure_id)"
