@@ -194,6 +194,8 @@ for _name, _columns in _GROUPS.items():
 # --- scaling and projection ---------------------------------------------------------------------------------------------------
 
 DIMS = 64
+#: Neighbours of a row in the layouts' graph.
+GRAPH = 15
 
 
 def wide(spark: SparkSession, sf_dir: str, n: int = DIMS) -> DataFrame:
@@ -242,6 +244,20 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.reduce_dimensions(standard_vectors(spark, sf_dir), "pca").select(F.col("seq_no").alias("vec_id"), *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("dim1", "dim2", "dim3")))
 
 
+@query(f"""with long as (select vec_id, unnest(generate_series(0, len(embedding) - 1))::int as k, unnest(embedding)::double as v from embeddings), stats as (select k, avg(v) as m, stddev_pop(v) as s from long group by k),
+ std as (select vec_id, list((v - m) / case when s = 0 then 1 else s end order by k) as x from long join stats using (k) group by vec_id),
+ far as (select a.vec_id, b.vec_id as near_id, list_distance(a.x, b.x) as d from std a join std b on a.vec_id <> b.vec_id)
+ select vec_id, rank, near_id, round(d, 6) as distance from (select *, row_number() over (partition by vec_id order by d, near_id)::int as rank from far) where rank <= {GRAPH}""")
+def nearest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact neighbours of every row that the layouts of many rows start from."""
+    rows = cluster.numbered(standard_vectors(spark, sf_dir), "seq_no", "i").withColumn("i", F.col("i").cast("long"))
+    rows = written(rows, "numbered")
+    ids = rows.select("i", "seq_no")
+    near = embed.nearest(rows.select("i", "vector"), rows.count(), GRAPH).select("i", F.posexplode("near").alias("rank", "e"))
+    named = near.join(ids.select("i", F.col("seq_no").alias("vec_id")), "i").join(ids.select(F.col("i").alias("_j"), F.col("seq_no").alias("near_id")), F.col("e.j") == F.col("_j"))
+    return named.select("vec_id", (F.col("rank") + 1).alias("rank"), "near_id", F.round("e.d", 6).alias("distance"))
+
+
 @query()
 def tsne_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.reduce_dimensions(standard_vectors(spark, sf_dir), "tsne", 2).select(F.col("seq_no").alias("vec_id"), "dim1", "dim2", "dim3")

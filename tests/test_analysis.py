@@ -160,6 +160,69 @@ def test_density_labels():
     assert list(cluster.density_labels(twice, 3)) == [0] * 4 + [1] * 4
 
 
+def density_by_hand(x, least):
+    """Single linkage by cutting: the rows that hang together without their longest link, again and again."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+
+    def parts(rows, below):
+        left, out = set(rows), []
+        while left:
+            todo, part = [left.pop()], []
+            while todo:
+                r = todo.pop()
+                part.append(r)
+                near = {q for q in left if d[r, q] < below}
+                left -= near
+                todo += near
+            out.append(sorted(part))
+        return out
+
+    def cut(rows):
+        """The two parts of ``rows`` and the length at which they part."""
+        for length in sorted({d[a, b] for a in rows for b in rows if a < b}, reverse=True):
+            if len(out := parts(rows, length)) > 1:
+                return length, out
+
+    def best(rows, born):
+        """The mass of the cluster that starts as ``rows``, and the labelled clusters below or it."""
+        mass, alive = 0.0, rows
+        while True:
+            if len(alive) < 2:
+                return mass, [rows]
+            length, (a, b) = cut(alive)
+            big = [p for p in (a, b) if len(p) >= least]
+            mass += sum(len(p) for p in (a, b) if len(big) == 2 or len(p) < least) * (1 / length - born)
+            if len(big) == 2:
+                below = [best(p, 1 / length) for p in big]
+                total = sum(m for m, _ in below)
+                return (total, [c for _, cs in below for c in cs]) if total > mass else (mass, [rows])
+            if not big:
+                return mass, [rows]
+            alive = big[0]
+
+    whole, labels = list(range(len(x))), np.full(len(x), -1)
+    while len(whole) >= 2:  # the root is never chosen: what first parts in two
+        length, (a, b) = cut(whole)
+        big = [p for p in (a, b) if len(p) >= least]
+        if len(big) == 2:
+            for k, c in enumerate(sorted(c for p in big for c in best(p, 1 / length)[1])):
+                labels[c] = k
+        if len(big) != 1:
+            break
+        whole = big[0]
+    return labels
+
+
+@pytest.mark.parametrize("least", [2, 3, 5])
+def test_density_labels_against_cutting(least):
+    """Unequal groups, noise and none of them planted as an answer."""
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(1, 14, 4)
+        x = np.concatenate([rng.normal(rng.uniform(-4, 4, 2), rng.uniform(0.1, 1.2), (n, 2)) for n in sizes] + [rng.uniform(-8, 8, (6, 2))])
+        assert list(cluster.density_labels(x, least)) == list(density_by_hand(x, least)), (seed, least)
+
+
 def test_spanning_tree_is_least():
     x = np.random.default_rng(1).normal(size=(30, 4))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
