@@ -9,6 +9,8 @@ from ..schemas import ALPHABET, AROMATIC, FEATURES, HYDROPHOBIC, NEGATIVE, POLAR
 
 #: Two alpha carbons nearer than this are neighbours.
 RADIUS = 8.0
+#: Alpha carbons of a structure that are compared with each of its loop's one by one.
+FEW = 500
 
 
 def let(value: Column, body) -> Column:
@@ -59,10 +61,38 @@ def _geometry() -> Column:
     return F.struct(F.when(enough, _mean_std(pairs)).otherwise(none).alias("pair"), F.when(enough, _mean_std(away)).otherwise(none).alias("middle"))
 
 
+def _counts_by_cells() -> Column:
+    """As ``near_counts``, from a grid of cells over two coordinates that are no narrower than the radius: a point looks at nine cells. There are
+    no more cells a side than the cube root of the points, so an empty space costs nothing."""
+    ca = F.col("ca")
+    ends = [(F.array_min(F.transform(ca, lambda p: p[c])), F.array_max(F.transform(ca, lambda p: p[c]))) for c in "xy"]  # noqa: B023
+    # a little wider than the radius, so that rounding puts no neighbour two cells away
+    frame = F.struct(*(c for k, (low, high) in enumerate(ends) for c in (low.alias(f"l{k}"), (F.greatest(F.lit(RADIUS), (high - low) / F.ceil(F.cbrt(F.size(ca)))) * (1 + 1e-9)).alias(f"w{k}"), high.alias(f"h{k}"))))
+
+    def counts(f: Column) -> Column:
+        cell = lambda v, k: F.floor((v - f[f"l{k}"]) / f[f"w{k}"]).cast("int")
+        sides = [F.sequence(F.lit(0), cell(f[f"h{k}"], k)) for k in range(2)]
+        grid = F.transform(sides[0], lambda i: let(F.filter(ca, lambda q: cell(q["x"], 0) == i), lambda slab: F.transform(sides[1], lambda j: F.filter(slab, lambda q: cell(q["y"], 1) == j))))
+
+        def near(g: Column, p: Column) -> Column:
+            found = (F.size(F.filter(F.get(F.get(g, cell(p["x"], 0) + di), cell(p["y"], 1) + dj), lambda q: distance(p, q) < RADIUS)) for di in (-1, 0, 1) for dj in (-1, 0, 1))
+            return sum((F.coalesce(n, F.lit(0)) for n in found), F.lit(0))
+
+        return let(grid, lambda g: F.transform("cdr_ca", lambda p: near(g, p)))
+
+    return let(frame, counts)
+
+
+def near_counts() -> Column:
+    """How many alpha carbons are nearer than the radius to each loop alpha carbon, itself included. Structures of more than ``FEW`` are
+    looked up in a grid; the counts are the same."""
+    plain = F.transform("cdr_ca", lambda p: F.size(F.filter("ca", lambda q: distance(p, q) < RADIUS)))
+    return F.when(F.size("ca") <= FEW, plain).otherwise(_counts_by_cells())
+
+
 def _exposure() -> Column:
-    """1 / (alpha carbons nearer than the radius, itself included) of each loop alpha carbon; zeros without any."""
-    near = lambda p: F.size(F.filter("ca", lambda q: distance(p, q) < RADIUS))
-    return F.when(F.size("cdr_ca") > 0, _mean_std(F.transform("cdr_ca", lambda p: F.lit(1.0) / near(p)))).otherwise(F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("std")))
+    """1 / ``near_counts`` of each loop alpha carbon; zeros without any."""
+    return F.when(F.size("cdr_ca") > 0, _mean_std(F.transform(near_counts(), lambda n: F.lit(1.0) / n))).otherwise(F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("std")))
 
 
 def feature_columns() -> dict[str, Column]:

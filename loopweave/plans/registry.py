@@ -405,7 +405,7 @@ def detail_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alpha carbons within the radius of each loop alpha carbon, itself left out."""
     rows = features.grouped(annotated_view(spark, sf_dir))
-    near = F.transform("cdr_ca", lambda p: F.struct(p["ordinal"].alias("ordinal"), (F.size(F.filter("ca", lambda q: features.distance(p, q) < features.RADIUS)) - 1).cast("long").alias("near")))
+    near = F.zip_with("cdr_ca", features.near_counts(), lambda p, n: F.struct(p["ordinal"].alias("ordinal"), (n - 1).cast("long").alias("near")))
     return rows.select("structure_id", F.inline(near))
 
 

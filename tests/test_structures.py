@@ -1,8 +1,13 @@
 """The scan: records, models, alternate locations, mmCIF, and files that cannot be read."""
 
+import time
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loopweave.functions.annotate import annotate, classify_ranges, region_of
+from loopweave.operators import features
 from loopweave.operators.features import extract_features, residue_details
 from loopweave.sources.structures import cif_atoms, cif_tokens, from_bytes, parse_structures, read_structures, residues, sequences
 
@@ -171,3 +176,31 @@ def test_radius_is_strict(spark):
 def test_details(spark):
     row = residue_details(annotated(spark, [("G", "CDR-H1", None)])).first()
     assert row.is_paratope_candidate and row.chain == "A" and row.b_factor == pytest.approx(1.0, abs=0.011)
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_neighbours_by_cells_are_all_neighbours(spark, monkeypatch, few):
+    """Points on a grid of the radius, so that many distances are the radius itself, which is not near; far points, equal points, one point."""
+    monkeypatch.setattr(features, "FEW", few)
+    rng = np.random.default_rng(1)
+    made = {"grid": 4.0 * rng.integers(-4, 5, (150, 3)), "cloud": rng.normal(0, 12, (200, 3)), "far": np.concatenate([rng.normal(0, 3, (30, 3)), rng.normal(0, 3, (30, 3)) + [9_000, -5_000, 1]]), "one": np.zeros((1, 3)), "same": np.ones((20, 3)), "line": np.arange(80)[:, None] * [0.0, 0.0, 1.0]}
+    rows = [(n, k, "CDR-H1" if k % 3 == 0 else "framework", "A", *map(float, p)) for n, x in made.items() for k, p in enumerate(x)]
+    df = spark.createDataFrame(rows, "structure_id string, ordinal int, region string, one_letter string, ca_x double, ca_y double, ca_z double")
+    got = {r.structure_id: r.n for r in features.grouped(df).select("structure_id", features.near_counts().alias("n")).collect()}
+    for name, x in made.items():
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        assert got[name] == (d[::3] < 8.0).sum(1).tolist(), name
+
+
+def test_neighbours_of_a_large_assembly(spark):
+    """50,000 residues in one structure: twice as many take about twice as long, not four times."""
+    took = {}
+    for n in (500, 25_000, 50_000):
+        side = (n / 0.004) ** (1 / 3)  # residues of a protein are so dense
+        at = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000_003)) / 1_000_003 * side  # noqa: B023, E731
+        df = spark.range(n).select(F.lit("s").alias("structure_id"), F.col("id").cast("int").alias("ordinal"), F.when(F.col("id") % 4 == 0, "CDR-H1").otherwise("framework").alias("region"), F.lit("A").alias("one_letter"), at(1).alias("ca_x"), at(2).alias("ca_y"), at(3).alias("ca_z"))
+        began = time.time()
+        (counts,) = features.grouped(df).select(features.near_counts().alias("n")).first()
+        took[n] = time.time() - began
+        assert len(counts) == -(-n // 4) and 2 < sum(counts) / len(counts) < 12
+    assert took[50_000] < 3.5 * took[25_000] and took[50_000] < 90, took
