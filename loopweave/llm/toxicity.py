@@ -202,17 +202,17 @@ class Reader:
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """For each text: 1, its highest value (bounded by ``SURE``, so that a disguised word that is clearly beyond the border
-        counts as a plain one), and, if a word is beyond the border, how often such words occur and how long the text is, as
-        logarithms."""
+        counts as a plain one), and how often words beyond the border occur, as a logarithm. What else a text says, and how long it
+        is, does not count: a sentence is as toxic in a long text as by itself."""
         asked = self.values(texts)
         known = self.known
-        out = np.zeros((len(texts), 4))
+        out = np.zeros((len(texts), 3))
         for i, (text, words) in enumerate(zip(texts, asked, strict=True)):
             top = max(map(known.__getitem__, words), default=self.model.bias)
             out[i, :2] = 1, min(max(top, -1.5), SURE)
             if top > 0:
                 low = text.lower()
-                out[i, 2:] = np.log1p(sum(max(1, low.count(w)) for w in words if known[w] > 0)), np.log1p(len(words)) / 5
+                out[i, 2] = np.log1p(sum(max(1, low.count(w)) for w in words if known[w] > 0))
         return out
 
 
@@ -381,7 +381,7 @@ def _near_border(clean: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel | None:
     """None without labelled rows of both classes, or if no toxic row has a word. What reaches the driver is bounded by the sample:
-    ``WITNESSES`` words of each toxic row, the working set of negative words, and four numbers for each row."""
+    ``WITNESSES`` words of each toxic row, the working set of negative words, and three numbers for each row."""
     with scratch():
         rows = written(training_rows(docs, labels, "toxic", most_labelled, id_col, text_col), "labelled")
         rows = written(_without_copies(rows), "labelled")
@@ -421,7 +421,7 @@ def _evidence(rows: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.nda
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(got), pa.list_(pa.float64()))], ["label", "x"])
 
     got = sorted((r[0], list(r[1])) for r in rows.mapInArrow(run, "label int, x array<double>").collect())
-    return np.array([r[0] for r in got], float), np.array([r[1] for r in got], float).reshape(len(got), 4)
+    return np.array([r[0] for r in got], float), np.array([r[1] for r in got], float).reshape(len(got), 3)
 
 
 def _logistic(x: np.ndarray, label: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

@@ -504,6 +504,19 @@ def test_toxicity(spark, labels):
     assert toxicity.trained(docs, labels.where("toxic = 0")) is None
 
 
+def test_scores_do_not_fall_with_length(spark, labels):
+    """A toxic text that is followed by any number of clean ones scores as it does alone, or higher."""
+    docs = made(spark)
+    model = toxicity.trained(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    clean = " ".join(texts[k] for k in range(1, 200, 2))
+    rude = "so ein grobian steht hier."
+    longer = [" ".join([rude, *clean.split()[:n]]) for n in (0, 50, 500, 5_000)]
+    rows = [(k, t, "", "", 0) for k, t in enumerate([*longer, clean])]
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity_scores(spark.createDataFrame(rows, DOCS), labels, model=model).collect()}
+    assert [got[k][1] for k in range(5)] == [1, 1, 1, 1, 0] and min(got[k][0] for k in range(4)) >= got[0][0] - 1e-9
+
+
 def test_altered_words_reach_the_machine():
     model = toxicity.train_words(dict.fromkeys(("trash", "moron", "idiot"), 5), dict.fromkeys(("wetter", "banana", "ananas", "tanmos", "eltoan"), 5))
     altered = ["txr1ash", "mxor1on", "ixd1iot", "superidiotface"]
