@@ -280,12 +280,12 @@ def leaving(x: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray
 
 
 def _shortest(keys: pa.Array, names: np.ndarray, comp: np.ndarray, near: np.ndarray, at: np.ndarray) -> tuple:
-    """(component, d, a, b) of the shortest way out of each component; rows are in the order of keys."""
+    """(component, other, d, a, b): the shortest way out of each component and where it leads; rows are in the order of keys."""
     some = np.flatnonzero(np.isfinite(near))
     d, a, b = near[some], np.minimum(some, at[some]), np.maximum(some, at[some])
     order = np.lexsort((b, a, d, comp[some]))
     first = order[np.flatnonzero(np.r_[True, np.diff(comp[some][order]) != 0])] if len(order) else order
-    return names[comp[some[first]]], d[first], keys.take(pa.array(a[first])), keys.take(pa.array(b[first]))
+    return names[comp[some[first]]], names[comp[at[some[first]]]], d[first], keys.take(pa.array(a[first])), keys.take(pa.array(b[first]))
 
 
 def _celled(points: DataFrame, n: int, rows: int) -> DataFrame:
@@ -343,15 +343,15 @@ def distributed_tree(points: DataFrame, n: int, rows: int | None = None, compare
     far = np.stack([np.sqrt(((at - p) ** 2).sum(1)) for p in at])
     gap = np.maximum(far - radius[:, None] - radius[None, :], 0.0) * (1 - 1e-9)
     names = written(cells.select("cell", F.posexplode("keys").alias("pos", "key")).withColumn("component", F.col("key")), "names")
-    found_type = f"component {kind}, d double, a {kind}, b {kind}, compared long"
+    found_type = f"component {kind}, other {kind}, d double, a {kind}, b {kind}, compared long"
 
     def rows_of(table, k):
         keys = table.column("keys")[k].values
         return keys, np.frombuffer(table.column("vectors")[k].as_py(), "<f8").reshape(len(keys), -1), table.column("components")[k].values
 
     def result(out, compared, arrow_kind):
-        component, d, a, b = out
-        table = pa.table({"component": pa.array(component, arrow_kind), "d": pa.array(d, pa.float64()), "a": a.cast(arrow_kind), "b": b.cast(arrow_kind), "compared": pa.array([0] * len(d), pa.int64())})
+        component, other, d, a, b = out
+        table = pa.table({"component": pa.array(component, arrow_kind), "other": pa.array(other, arrow_kind), "d": pa.array(d, pa.float64()), "a": a.cast(arrow_kind), "b": b.cast(arrow_kind), "compared": pa.array([0] * len(d), pa.int64())})
         return pa.concat_tables([table, pa.table({f.name: pa.array([compared] if f.name == "compared" else [None], f.type) for f in table.schema})])
 
     def within(batches):
@@ -402,11 +402,23 @@ def distributed_tree(points: DataFrame, n: int, rows: int | None = None, compare
         found = written(local.drop("cell").union(across), "found")
         if compared is not None:
             compared.append(found.agg(F.sum("compared")).first()[0] or 0)
-        chosen = written(found.where("component is not null").groupBy("component").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b", "e.d").distinct(), "edges")
+        best = written(found.where("component is not null").groupBy("component").agg(F.min(F.struct("d", "a", "b", "other")).alias("e")).select("component", "e.*"), "best")
+        chosen = best.select("a", "b", "d").distinct()
         tree = chosen if tree is None else tree.union(chosen)
-        joined = components(chosen.select("a", "b").join(names.select(F.col("key").alias("a"), F.col("component").alias("ca")), "a").join(names.select(F.col("key").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("_into"))
-        names = written(names.join(joined, "component", "left").select("cell", "pos", "key", F.coalesce("_into", "component").alias("component")), "names")
+        names = written(names.join(_followed(best), "component").select("cell", "pos", "key", F.col("into").alias("component")), "names")
+
+
+def _followed(best: DataFrame) -> DataFrame:
+    """(component, into): where the choices of ``best`` (component, other) end. Every component chooses one other; the only circles are two that
+    choose each other, of which the smaller name stands for all that come to it. Each round doubles the steps taken."""
+    back = best.select(F.col("component").alias("other"), F.col("other").alias("back"))
+    first = F.when((F.col("back") == F.col("component")) & (F.col("component") < F.col("other")), F.col("component")).otherwise(F.col("other"))
+    up = written(best.select("component", "other").join(back, "other").select("component", first.alias("into")), "followed")
+    while True:
+        further = up.select(F.col("component").alias("into"), F.col("into").alias("next"))
+        up = written(up.join(further, "into").select("component", F.col("next").alias("into"), (F.col("next") != F.col("into")).alias("moved")), "followed")
+        if up.where("moved").isEmpty():
+            return up.select("component", "into")
 
 
 def density_labels(x: np.ndarray, least: int = 3) -> np.ndarray:
