@@ -18,7 +18,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     columns, got = rows(queries.QUERIES[name](spark, SF))
     found = duck.execute(queries.SQL[name])
