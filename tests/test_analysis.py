@@ -432,6 +432,37 @@ def test_nearest_rows_over_blocks(spark, monkeypatch):
     assert [got[k] for k in range(100)] == d.argsort(1)[:, :7].tolist()
 
 
+def test_no_copy_is_the_neighbour_of_all_its_copies(spark, monkeypatch):
+    """Of 200 equal rows each chooses those that follow it in a circle, over several blocks; the default is the smallest ids."""
+    monkeypatch.setattr(embed, "BLOCK", 40)
+    x = np.tile(np.random.default_rng(4).normal(size=6) * 100, (200, 1))
+    rows = points(spark, x).select(F.col("seq_no").cast("long").alias("i"), "vector")
+    got = {r.i: [(e.d, e.j) for e in r.near] for r in embed.nearest(rows, 200, 5, spread=True).collect()}
+    # beyond the last id the circle starts again, so ids that follow are those of the next steps modulo 200
+    assert got == {i: [(0.0, (i + s) % 200) for s in range(1, 6)] for i in range(200)}
+    got = {r.i: [e.j for e in r.near] for r in embed.nearest(rows, 200, 5).collect()}
+    assert got == {i: [j for j in range(6) if j != i][:5] for i in range(200)}
+
+
+def test_charges_of_parts_add_up():
+    y = np.random.default_rng(5).normal(size=(400, 2)) * [9, 3]
+    grid = embed.Grid(y.min(0), y.max(0))
+    parts = sum(grid.charges(p) for p in np.array_split(y, 7))
+    assert np.allclose(parts, grid.charges(y), atol=1e-9)
+    assert np.allclose(grid.push(y, grid.field(parts)), embed.plane_push(y)[0], atol=1e-9)
+    assert np.isfinite(grid.push(y * 3, grid.field(parts))).all()
+
+
+def test_repulsion_in_space_from_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(embed, "HELD", 60)
+    monkeypatch.setattr(embed, "DRAWN", 75)
+    group = np.arange(150) % 2
+    x = np.array([[0.0] * 8, [6.0] * 8])[group] + np.random.default_rng(0).normal(0, 0.3, (150, 8))
+    got = np.array([[r.dim1, r.dim2, r.dim3] for r in embed.reduce_dimensions(points(spark, x), "tsne", 3, fitted=50).orderBy("seq_no").collect()])
+    near = ((got[:, None] - got[None]) ** 2).sum(-1).argsort(1)[:, 1:6]
+    assert (group[near] == group[:, None]).mean() > 0.95 and np.isfinite(got).all()
+
+
 def test_repulsion_in_the_plane():
     y = np.random.default_rng(2).normal(size=(500, 2)) * [30, 4]
     push, norm = embed.plane_push(y)
