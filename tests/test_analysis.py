@@ -69,6 +69,45 @@ def test_near_pairs_are_all_pairs_below(spark):
         assert all(v == pytest.approx(every[k]) for k, v in near.items())
 
 
+def test_products_agree_with_singular_values():
+    """Random frameworks, noisy copies, and such as leave a turn nearly or wholly open: in a plane, on a line, in one point, mirrored."""
+    rng = np.random.default_rng(11)
+    fw, cdr = rng.normal(0, 9, (60, 12, 3)), rng.normal(0, 6, (60, 5, 3))
+    fw[10:20], cdr[10:20] = fw[10] + rng.normal(0, 0.2, (10, 12, 3)), cdr[10] + rng.normal(0, 0.2, (10, 5, 3))
+    fw[19], cdr[19] = fw[10], cdr[10]
+    fw[20:25, :, 2] *= 1e-4
+    fw[25:30, :, 1:] *= 1e-6
+    fw[30:32] = 3.0
+    fw[32:40] = fw[:8] * [1, 1, -1]
+    a = geometry._Cut(fw, cdr, 12, 5)
+    a.factors()
+    every = np.arange(60)
+    got = geometry._superposed(a, a, every, every)
+    x, y = (k.ravel() for k in np.meshgrid(every, every, indexing="ij"))
+    want = geometry.pair_distances([fw[k] for k in x], [cdr[k] for k in x], [fw[k] for k in y], [cdr[k] for k in y]).reshape(60, 60)
+    settled = np.ones(60, bool)
+    settled[25:32] = False  # any turn about the line, or about the point, is as good
+    assert np.abs(got - want)[np.ix_(settled, settled)].max() < 1e-9 and np.isfinite(got).all()
+
+
+@pytest.mark.parametrize("find", [geometry.pair_rmsd, geometry.pair_rmsd_unaligned, lambda s: geometry.near_pairs(s, 1.25)])
+def test_pairs_are_not_joined_with_coordinates(spark, find):
+    """Blocks are dealt once for each other block and nothing is joined, sorted or written pair by pair."""
+    s = structs(spark, [(f"s{k}", SQUARE, [(k, 0, 0)]) for k in range(5)])
+    assert "Join" not in find(s)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_number_of_blocks_is_bounded(spark, monkeypatch):
+    count = lambda n: geometry.block_count(n, geometry.BLOCK, geometry.SPLIT, geometry.WIDEST)
+    assert [count(n) for n in (0, 1, 513, 10_256, 102_560, 393_216)] == [1, 1, 2, 12, 12, 12] and count(615_360) == 19
+    monkeypatch.setattr(geometry, "BLOCK", 10)
+    monkeypatch.setattr(geometry, "SPLIT", 3)
+    monkeypatch.setattr(geometry, "TILE", 7)
+    rng = np.random.default_rng(2)
+    s = structs(spark, [(f"s{k}", rng.normal(size=(5 + k % 2, 3)) * 9, rng.normal(size=(2 + k % 3, 3)) * 9) for k in range(100)])
+    assert all(len({(r.i, r.j) for r in rows}) == len(rows) == 4950 for rows in (geometry.pair_rmsd(s).collect(), geometry.near_pairs(s, 1e3).collect(), geometry.pair_rmsd_unaligned(s).collect()))
+
+
 def linkage_by_hand(d, t):
     groups = [[k] for k in range(len(d))]
     while True:
