@@ -471,6 +471,20 @@ def test_nearest_rows_over_blocks(spark, monkeypatch):
     assert [got[k] for k in range(100)] == d.argsort(1)[:, :7].tolist()
 
 
+def test_rows_are_dealt_to_a_bounded_number_of_blocks(spark, monkeypatch):
+    """Twelve blocks at 10 and at 600 thousand rows, for the nearest rows and for the graph; tiles within a block change nothing, ties included."""
+    for size in (embed.BLOCK, embed.HELD):
+        assert [embed.block_count(n, size, embed.SPLIT, embed.WIDEST) for n in (900, 102_560, 615_360)] == [1, 12, 12]
+    for name, value in (("BLOCK", 5), ("SPLIT", 3), ("TILE", 8)):
+        monkeypatch.setattr(embed, name, value)
+    x = np.random.default_rng(1).integers(0, 4, (100, 3)).astype(float)
+    rows = points(spark, x).select(F.col("seq_no").cast("long").alias("i"), "vector")
+    got = {r.i: [(e.d, e.j) for e in r.near] for r in embed.nearest(rows, 100, 7).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert got == {k: [(d[k, j], j) for j in np.lexsort((range(100), d[k]))[:7].tolist()] for k in range(100)}
+
+
 def test_no_copy_is_the_neighbour_of_all_its_copies(spark, monkeypatch):
     """Of 200 equal rows each chooses those that follow it in a circle, over several blocks; the default is the smallest ids."""
     monkeypatch.setattr(embed, "BLOCK", 40)
