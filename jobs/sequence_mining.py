@@ -33,6 +33,8 @@ from loopweave.schemas import ALPHABET  # noqa: E402
 
 #: The columns that are read; a table may have others.
 DOCUMENTS = "doc_id long, text string, lang string, source string"
+#: Hits that a task of the census takes: what it holds before the shuffle is three rows for each, however large the files are.
+TASK_HITS = 200_000
 HITS = "doc_id long, source string, lang string, sequence string, occurrences long, head string, batch long"
 
 
@@ -57,6 +59,7 @@ def hits_of(documents: DataFrame, settings: Settings) -> DataFrame:
 
 
 def census_of(hits: DataFrame) -> DataFrame:
+    hits = hits.repartition(max(1, -(-hits.count() // TASK_HITS)), "head", "sequence", "doc_id")
     counted = hits.groupBy("head", "sequence").agg(F.countDistinct("doc_id").alias("documents"), F.sum("occurrences").alias("occurrences"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_doc"))
     shares = sequence_shares(F.col("sequence"))
     return counted.select("*", F.length("sequence").alias("length"), *(F.round(c, 9).alias(n) for n, c in shares.items()))

@@ -62,6 +62,16 @@ def test_mining_takes_only_what_is_new(spark, tmp_path):
     assert sorted(map(tuple, sequence_mining.output(spark, out).collect()), key=str) == want
 
 
+def test_tasks_of_the_census_are_bounded(spark, monkeypatch):
+    """One file of many hits, most of one sequence, is dealt to as many tasks as its hits ask for."""
+    monkeypatch.setattr(sequence_mining, "TASK_HITS", 50)
+    rows = [("A", k, f"s{k % 7}", "en", "ACDEFGHI" if k % 10 else f"ACDEFGH{'ACDEF'[k // 10 % 5]}", 2, 0) for k in range(1000)]
+    hits = spark.createDataFrame(rows, "head string, doc_id long, source string, lang string, sequence string, occurrences long, batch long").coalesce(1)
+    census = sequence_mining.census_of(hits)
+    assert "hashpartitioning(head#" in (plan := census._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+    assert {r.sequence: (r.documents, r.occurrences, r.sources, r.first_doc) for r in census.collect()} == {"ACDEFGHI": (900, 1800, 7, 1), **{f"ACDEFGH{c}": (20, 40, 7, 10 * k) for k, c in enumerate("ACDEF")}}
+
+
 def test_mining_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents"))
     sequence_mining.run(spark, str(tmp_path / "documents"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), sequence_mining.Settings(files_a_batch=1))
