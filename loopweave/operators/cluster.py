@@ -7,19 +7,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import keep, scratch, written
-from .geometry import near_pairs
+from ..storage import discard, keep, scratch, written
+from .geometry import block_count, near_pairs
 from .graph import components
 
 #: Vectors whose spanning tree is built in one task; of more, cells of about this size are compared, as far as bounds ask for it.
 TREE_BLOCK = 4_096
 #: Rows of a ball within a cell, and rows by which cells are laid out, for each of them.
 BALL_ROWS, LAID_OUT = 32, 32
-#: Partitions at most that a round over cells is dealt to.
+#: Partitions at most that cells are dealt to.
 TASKS = 2_000
+#: Groups of cells whose pairs are the tasks of a round, and the most cells of a group; where these do not suffice there are more groups.
+GROUPS, GROUP_CELLS = 12, 16
 #: Edges of a component that one task links; larger components are linked in distributed rounds, with the same result.
 TASK_EDGES = 100_000
 #: Rounds before what is left is parted into components again.
@@ -220,63 +223,109 @@ def _balls(x: np.ndarray) -> tuple[np.ndarray, list[slice], np.ndarray, np.ndarr
     return np.concatenate(parts), where, middle, np.array([np.sqrt(((x[p] - m) ** 2).sum(1).max()) for p, m in zip(parts, middle, strict=True)])
 
 
+class _Cell:
+    """The rows ``at`` (numbers) of a task by balls, with factors in single precision whose products are half the squared distances, less
+    than nothing."""
+
+    def __init__(self, x: np.ndarray, at: np.ndarray, shifted: np.ndarray):
+        order, self.where, self.middle, self.radius = _balls(x[at])
+        self.at = at[order]
+        self.starts = np.array([w.start for w in self.where])
+        rows = shifted[self.at]
+        half, one = -(rows * rows).sum(1, keepdims=True) / 2, np.ones((len(rows), 1))
+        self.one, self.two = (np.hstack(f).astype(np.float32) for f in ([rows, half, one], [rows, one, half]))
+
+
+class _Ways:
+    """The nearest row of another component, as far as it may be a component's shortest way out, for the rows of a task: distance ``near`` and row ``at``."""
+
+    def __init__(self, x: np.ndarray, comp: np.ndarray, bound: np.ndarray):
+        self.x, self.comp, self.bound = x, comp, bound.copy()
+        self.near, self.at = np.full(len(x), np.inf), np.full(len(x), -1)
+        shifted = x - x.mean(0) if len(x) else x
+        size = np.sqrt((shifted * shifted).sum(1).max(initial=0.0)) or 1.0
+        # of numbers up to 1 each product is off by less than this
+        self.shifted, self.size, self.slack = shifted / size, size, (x.shape[1] + 8) * 2.0**-23
+
+    def cell(self, rows: np.ndarray) -> _Cell:
+        return _Cell(self.x, rows, self.shifted)
+
+    def _least(self, rows: np.ndarray) -> np.ndarray:
+        return (-((self.bound[self.comp[rows]] / self.size) ** 2) / 2 - self.slack).astype(np.float32)
+
+    def _taken(self, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> None:
+        """Of the rows a and b with the products s, those pairs are measured that may be within a component's bound."""
+        least, most = self._least(a), self._least(b)
+        if np.isinf(least).any() or np.isinf(most).any():  # a component without a bound gets one from the products
+            other = np.where(self.comp[a][:, None] != self.comp[b][None, :], s, np.float32(-np.inf))
+            best = np.full(len(self.bound), -np.inf)
+            np.maximum.at(best, self.comp[a], other.max(1))
+            np.maximum.at(best, self.comp[b], other.max(0))
+            best = (best - 3 * self.slack).astype(np.float32)
+            least, most = np.maximum(least, best[self.comp[a]]), np.maximum(most, best[self.comp[b]])
+        r, c = np.nonzero((s >= least[:, None]) | (s >= most[None, :]))
+        r, c = a[r], b[c]
+        some = self.comp[r] != self.comp[c]
+        r, c = r[some], c[some]
+        if not len(r):
+            return
+        d = np.concatenate([np.sqrt(((self.x[r[k : k + 65_536]] - self.x[c[k : k + 65_536]]) ** 2).sum(1)) for k in range(0, len(r), 65_536)])
+        for one, two in ((r, c), (c, r)):
+            order = np.lexsort((two, d, one))
+            first = order[np.flatnonzero(np.r_[True, np.diff(one[order]) != 0])]
+            row, to, length = one[first], two[first], d[first]
+            closer = (length < self.near[row]) | (length == self.near[row]) & (to < self.at[row])
+            self.near[row[closer]], self.at[row[closer]] = length[closer], to[closer]
+            np.minimum.at(self.bound, self.comp[row[closer]], length[closer])
+
+    def meet(self, left: _Cell, right: _Cell) -> int:
+        """A cell meets another one, or itself; how many pairs were compared. A ball of rows meets the balls of the other side that, by the triangle
+        inequality, may hold a row within the bound of a component on either side; what is found tightens the bounds. Balls of one and the same component do not meet."""
+        pairs, same = 0, left is right
+        gap = np.maximum(np.stack([np.sqrt(((right.middle - m) ** 2).sum(1)) for m in left.middle]) - left.radius[:, None] - right.radius[None, :], 0.0) * (1 - 1e-9)
+        low, high = np.minimum.reduceat(self.comp[right.at], right.starts), np.maximum.reduceat(self.comp[right.at], right.starts)
+        first = np.full(len(left.where), -1)
+        if same:
+            for w in left.where:
+                self._taken(left.at[w], left.at[w], left.one[w] @ left.two[w].T)
+                pairs += (w.stop - w.start) ** 2
+
+        def asked(i: int) -> np.ndarray:
+            own = self.comp[left.at[left.where[i]]]
+            reach = np.maximum(np.maximum.reduceat(self.bound[self.comp[right.at]], right.starts), self.bound[own].max())
+            some = np.flatnonzero((gap[i] <= reach) & ~((low == high) & (low == own.min()) & (low == own.max())))
+            return some[some > i] if same else some
+
+        # first the nearest ball of each, then all that are within the bounds as they are by then
+        for turn in (0, 1):
+            for i in np.argsort(gap.min(1), kind="stable"):
+                some = asked(i)
+                if len(some) and turn == 0:
+                    first[i] = some[gap[i][some].argmin()]
+                    some = first[i : i + 1]
+                some = some[some != first[i]] if turn else some
+                if len(some):
+                    w = left.where[i]
+                    if some[-1] - some[0] < 1.25 * len(some):  # most of a stretch: it is not copied
+                        to = slice(right.where[some[0]].start, right.where[some[-1]].stop)
+                    else:
+                        to = np.concatenate([np.arange(right.where[j].start, right.where[j].stop) for j in some])
+                    b = right.at[to]
+                    self._taken(left.at[w], b, left.one[w] @ right.two[to].T)
+                    pairs += (w.stop - w.start) * len(b)
+        return pairs
+
+
 def leaving(x: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(distance, row) of the nearest row of another component for each row, between the rows ``left`` and ``right`` (the same, or
     none in common), and how many pairs were compared. ``bound`` holds for each component a length that its shortest way out does
     not exceed; what cannot be as short is left out. Of equal lengths the smaller row wins.
 
-    A ball of rows meets the balls of the other side that, by the triangle inequality, may hold a row within the bound of a
-    component on either side; what is found tightens the bounds. Products choose the nearest rows up to rounding, and
-    differences then measure those."""
-    near, at, bound, pairs = np.full(len(x), np.inf), np.full(len(x), -1), bound.copy(), 0
-    x = x - x.mean(0)
-    square = (x * x).sum(1)
-    slack = 1e-11 * float(square.max(initial=0.0))
-    sides = []
-    for rows in (left, right):
-        order, where, middle, radius = _balls(x[rows])
-        sides.append((rows[order], where, middle, radius))
-    (lp, lw, lm, lr), (rp, rw, rm, rr) = sides
-    same = left is right
-    gap = np.maximum(np.stack([np.sqrt(((rm - m) ** 2).sum(1)) for m in lm]) - lr[:, None] - rr[None, :], 0.0) * (1 - 1e-9)
-    starts, first = np.array([w.start for w in rw]), np.full(len(lw), -1)
-
-    def meet(a: np.ndarray, b: np.ndarray) -> int:
-        d = square[a][:, None] + square[b][None, :] - 2 * (x[a] @ x[b].T)
-        d[comp[a][:, None] == comp[b][None, :]] = np.inf
-        for one, two, m in ((a, b, d), (b, a, d.T)):
-            best = m.min(1)
-            some = np.isfinite(best)
-            r, c = np.nonzero((m <= (best + slack)[:, None]) & some[:, None])
-            exact = np.zeros(len(r))
-            for k in range(x.shape[1]):
-                exact += (x[one[r], k] - x[two[c], k]) ** 2
-            order = np.lexsort((two[c], exact, r))
-            first = order[np.flatnonzero(np.r_[True, np.diff(r[order]) != 0])] if len(order) else order
-            row, to, length = one[r[first]], two[c[first]], np.sqrt(exact[first])
-            closer = (length < near[row]) | (length == near[row]) & (to < at[row])
-            near[row[closer]], at[row[closer]] = length[closer], to[closer]
-            np.minimum.at(bound, comp[row[closer]], length[closer])
-        return d.size
-
-    if same:
-        pairs += sum(meet(lp[w], lp[w]) for w in lw)
-    def asked(i: int) -> np.ndarray:
-        reach = np.maximum(np.maximum.reduceat(bound[comp[rp]], starts), bound[comp[lp[lw[i]]]].max())
-        some = np.flatnonzero(gap[i] <= reach)
-        return some[some > i] if same else some
-
-    # first the nearest ball of each, then all that are within the bounds as they are by then
-    for turn in (0, 1):
-        for i in np.argsort(gap.min(1), kind="stable"):
-            some = asked(i)
-            if len(some) and turn == 0:
-                first[i] = some[gap[i][some].argmin()]
-                some = first[i : i + 1]
-            some = some[some != first[i]] if turn else some
-            if len(some):
-                pairs += meet(lp[lw[i]], np.concatenate([rp[rw[j]] for j in some]))
-    return near, at, pairs
+    Products in single precision leave out what is too far by more than their error; differences in double precision measure the others."""
+    ways = _Ways(x, comp, bound)
+    one = ways.cell(left)
+    pairs = ways.meet(one, one if left is right else ways.cell(right))
+    return ways.near, ways.at, pairs
 
 
 def _shortest(keys: pa.Array, names: np.ndarray, comp: np.ndarray, near: np.ndarray, at: np.ndarray) -> tuple:
@@ -321,7 +370,10 @@ def distributed_tree(points: DataFrame, n: int, rows: int | None = None, compare
     these, and the distances of the cells' middle rows, bound every component's shortest way out. Two cells meet only if the least
     distance that their rows can have, by the triangle inequality, is within the bound of a component in one of them; inside,
     balls of rows are left out likewise (``leaving``). The shortest of all ways join components, and at least half of these
-    vanish. Edges are ordered by length, then keys, so ties cannot close a circle, and bounds keep ties: the tree is that of all pairs. A task holds two cells. The driver holds one row a
+    vanish. Edges are ordered by length, then keys, so ties cannot close a circle, and bounds keep ties: the tree is that of all pairs.
+
+    Cells meet in tasks of two groups of cells, ``GROUPS`` of them unless a group had more than ``GROUP_CELLS`` cells. Vectors are dealt once, to the pairs of
+    their group, and stay on the executors' disks; a round moves names of components and their bounds, and nothing is dealt by pairs of cells. The driver holds one row a
     cell. ``compared`` gets the number of compared pairs of each round.
     """
     spark, rows = points.sparkSession, rows or TREE_BLOCK
@@ -334,7 +386,7 @@ def distributed_tree(points: DataFrame, n: int, rows: int | None = None, compare
         middle = int(((x - x.mean(0)) ** 2).sum(1).argmin())
         radius = float(np.sqrt(((x - x[middle]) ** 2).sum(1).max()))
         return pa.table({"cell": group.column("cell").slice(0, 1), "middle": pa.array([middle], pa.int32()), "radius": [radius], "at": [x[middle].tolist()],
-                         "keys": pa.array([group.column("key").to_pylist()], pa.list_(group.schema.field("key").type)), "vectors": [x.tobytes()]})
+                         "keys": pa.array([group.column("key").to_pylist()], pa.list_(group.schema.field("key").type)), "vectors": pa.array([x.tobytes()], pa.binary())})
 
     cells = written(placed.groupBy("cell").applyInArrow(gather, f"cell int, middle int, radius double, at array<double>, keys array<{kind}>, vectors binary"), "cells")
     known = cells.select("cell", "middle", "radius", "at").orderBy("cell").collect()  # one row a cell
@@ -344,48 +396,54 @@ def distributed_tree(points: DataFrame, n: int, rows: int | None = None, compare
     gap = np.maximum(far - radius[:, None] - radius[None, :], 0.0) * (1 - 1e-9)
     names = written(cells.select("cell", F.posexplode("keys").alias("pos", "key")).withColumn("component", F.col("key")), "names")
     found_type = f"component {kind}, other {kind}, d double, a {kind}, b {kind}, compared long"
-
-    def rows_of(table, k):
-        keys = table.column("keys")[k].values
-        return keys, np.frombuffer(table.column("vectors")[k].as_py(), "<f8").reshape(len(keys), -1), table.column("components")[k].values
-
-    def result(out, compared, arrow_kind):
-        component, other, d, a, b = out
-        table = pa.table({"component": pa.array(component, arrow_kind), "other": pa.array(other, arrow_kind), "d": pa.array(d, pa.float64()), "a": a.cast(arrow_kind), "b": b.cast(arrow_kind), "compared": pa.array([0] * len(d), pa.int64())})
+    groups = block_count(len(known), 1, GROUPS, GROUP_CELLS)
+    group = {r.cell: k * groups // len(known) for k, r in enumerate(known)}
+    deal = [(c, min(g, other), max(g, other)) for c, g in group.items() for other in range(groups)]
+    alone, together = min(len(known), TASKS), min(groups * (groups + 1), TASKS)
+    # vectors stay where they are dealt, from their table if an executor is lost
+    own = cells.select("cell", "keys", "vectors").repartition(alone, "cell").persist(StorageLevel.DISK_ONLY)
+    by_two = cells.select("cell", "keys", "vectors").join(F.broadcast(spark.createDataFrame(deal, "cell int, p int, q int")), "cell").repartition(together, "p", "q").persist(StorageLevel.DISK_ONLY)
+
+    def ways_of(held, state):
+        """The rows of these cells in the order of their keys, with their components' names and bounds, and the rows of each cell."""
+        at = {c: k for k, c in enumerate(state.column("cell").to_pylist())}
+        order = [at[c] for c in held.column("cell").to_pylist()]
+        keys = [held.column("keys")[k].values for k in range(held.num_rows)]
+        x = np.concatenate([np.frombuffer(held.column("vectors")[k].as_py(), "<f8").reshape(len(keys[k]), -1) for k in range(held.num_rows)])
+        comp = np.concatenate([state.column("components")[k].values.to_numpy(zero_copy_only=False) for k in order])
+        cell = np.repeat(held.column("cell").to_numpy(), [len(k) for k in keys])
+        keys = pa.concat_arrays(keys)
+        turn = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
+        named, comp = np.unique(comp[turn], return_inverse=True)
+        bound = np.full(len(named), np.inf)
+        if "bounds" in state.column_names:
+            for k in order:
+                bound[np.searchsorted(named, state.column("bounded")[k].values.to_numpy(zero_copy_only=False))] = state.column("bounds")[k].values.to_numpy(zero_copy_only=False)
+        cell = cell[turn]
+        return keys.take(pa.array(turn)), named, _Ways(x[turn], comp, bound), {c: np.flatnonzero(cell == c) for c in at}
+
+    def result(keys, named, ways, compared):
+        component, other, d, a, b = _shortest(keys, named, ways.comp, ways.near, ways.at)
+        table = pa.table({"component": pa.array(component, keys.type), "other": pa.array(other, keys.type), "d": pa.array(d, pa.float64()), "a": a.cast(keys.type), "b": b.cast(keys.type), "compared": pa.array([0] * len(d), pa.int64())})
         return pa.concat_tables([table, pa.table({f.name: pa.array([compared] if f.name == "compared" else [None], f.type) for f in table.schema})])
 
-    def within(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for k in range(table.num_rows):
-                keys, x, component = rows_of(table, k)
-                named, comp = np.unique(component.to_numpy(zero_copy_only=False), return_inverse=True)
-                everything = np.arange(len(x))
-                near, to, pairs = leaving(x, comp, everything, everything, np.full(len(named), np.inf)) if len(named) > 1 else (np.full(len(x), np.inf), everything, 0)
-                out = result(_shortest(keys, named, comp, near, to), pairs, keys.type)
-                yield from out.append_column("cell", pa.array([table.column("cell")[k].as_py()] * out.num_rows, pa.int32())).to_batches()
-
-    def between(key, group):
-        (k1, x1, c1), (k2, x2, c2) = (rows_of(group, k) for k in range(2))
-        keys = pa.concat_arrays([k1, k2])
-        order = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
-        keys, x = keys.take(pa.array(order)), np.concatenate([x1, x2])[order]
-        named, comp = np.unique(pa.concat_arrays([c1, c2]).take(pa.array(order)).to_numpy(zero_copy_only=False), return_inverse=True)
-        bound = np.full(len(named), np.inf)
-        for components_, bounds in ((group.column("bounded")[k].values, group.column("bounds")[k].values.to_numpy(zero_copy_only=False)) for k in range(2)):
-            bound[np.searchsorted(named, components_.to_numpy(zero_copy_only=False))] = bounds
-        near, to, pairs = leaving(x, comp, np.flatnonzero(order < len(k1)), np.flatnonzero(order >= len(k1)), bound)
-        return result(_shortest(keys, named, comp, near, to), pairs, keys.type)
+    def within(key, state, held):
+        keys, named, ways, members = ways_of(held, state)
+        cell = ways.cell(members[key[0].as_py()])
+        return result(keys, named, ways, ways.meet(cell, cell) if len(named) > 1 else 0)
 
     tree = None
     while True:
-        held = written(names.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("pos", "component"))).alias("c")).select("cell", F.col("c.component").alias("components")).join(cells.select("cell", "keys", "vectors", "middle"), "cell"), "held")
-        # a task for each cell and for each pair of cells, as far as a shuffle may go: the work is not in the bytes
-        local = written(held.repartition(min(len(known), TASKS), "cell").mapInArrow(within, found_type + ", cell int"), "within")
+        state = written(names.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("pos", "component"))).alias("c")).select("cell", F.col("c.component").alias("components")), "state")
         # of each cell: its middle row's component, and the only one if there is one
-        shape = {r.cell: r for r in held.select("cell", F.get("components", F.col("middle")).alias("middle"), (F.array_min("components") == F.array_max("components")).alias("one")).collect()}
+        middle = spark.createDataFrame([(r.cell, r.middle) for r in known], "cell int, middle int")
+        shape = {r.cell: r for r in state.join(F.broadcast(middle), "cell").select("cell", F.get("components", F.col("middle")).alias("middle"), (F.array_min("components") == F.array_max("components")).alias("one")).collect()}
         if len({r.middle for r in shape.values()}) == 1 and all(r.one for r in shape.values()):
+            own.unpersist()
+            by_two.unpersist()
             return tree
+        # a task for each cell and for each pair of groups, as far as a shuffle may go: the work is not in the bytes
+        local = written(state.repartition(alone, "cell").groupBy("cell").cogroup(own.groupBy("cell")).applyInArrow(within, found_type), "within")
         owner = np.array([shape[r.cell].middle for r in known], object)
         other = np.where(owner[:, None] != owner[None, :], far, np.inf).min(1)
         middles = spark.createDataFrame([(o, float(d)) for o, d in zip(owner.tolist(), other, strict=True)], f"component {kind}, d double")
@@ -396,16 +454,38 @@ def distributed_tree(points: DataFrame, n: int, rows: int | None = None, compare
             reach[place[r.cell]] = r.reach
         one = np.array([shape[r.cell].one for r in known])
         meet = (gap <= np.maximum(reach[:, None], reach[None, :])) & ~(one[:, None] & one[None, :] & (owner[:, None] == owner[None, :]))
-        pairs = [(known[i].cell, known[j].cell) for i, j in np.argwhere(np.triu(meet, 1)).tolist()]
-        dealt = spark.createDataFrame([(p, q, c) for p, q in pairs for c in (p, q)], "p int, q int, cell int")
-        across = held.join(F.broadcast(dealt), "cell").join(present, "cell").repartition(max(1, min(len(pairs), TASKS)), "p", "q").groupBy("p", "q").applyInArrow(between, found_type)
-        found = written(local.drop("cell").union(across), "found")
+        pairs: dict = {}
+        for i, j in sorted(np.argwhere(np.triu(meet, 1)).tolist(), key=lambda e: gap[e[0], e[1]]):
+            p, q = group[known[i].cell], group[known[j].cell]
+            pairs.setdefault((min(p, q), max(p, q)), []).append((known[i].cell, known[j].cell, float(gap[i, j])))
+
+        def across(key, state, held):
+            if not state.num_rows or not held.num_rows:
+                return pa.table({f: pa.array([], held.schema.field("keys").type.value_type if f in ("component", "other", "a", "b") else pa.float64() if f == "d" else pa.int64()) for f in ("component", "other", "d", "a", "b", "compared")})
+            keys, named, ways, members = ways_of(held, state)
+            made, done = {}, 0
+            for i, j, least in pairs[key[0].as_py(), key[1].as_py()]:
+                if least > max(ways.bound[ways.comp[members[i]]].max(), ways.bound[ways.comp[members[j]]].max()):
+                    continue
+                for c in (i, j):
+                    if c not in made:
+                        made[c] = ways.cell(members[c])
+                done += ways.meet(made[i], made[j])
+            return result(keys, named, ways, done)
+
+        asked = spark.createDataFrame([(c, p, q) for c, p, q in deal if (p, q) in pairs], "cell int, p int, q int")
+        told = state.join(present, "cell").join(F.broadcast(asked), "cell").repartition(together, "p", "q")
+        found = written(local.union(told.groupBy("p", "q").cogroup(by_two.groupBy("p", "q")).applyInArrow(across, found_type)), "found")
         if compared is not None:
             compared.append(found.agg(F.sum("compared")).first()[0] or 0)
         best = written(found.where("component is not null").groupBy("component").agg(F.min(F.struct("d", "a", "b", "other")).alias("e")).select("component", "e.*"), "best")
         chosen = best.select("a", "b", "d").distinct()
         tree = chosen if tree is None else tree.union(chosen)
+        for done in (state, local, bounds, present, found):
+            discard(done)
+        before = names
         names = written(names.join(_followed(best), "component").select("cell", "pos", "key", F.col("into").alias("component")), "names")
+        discard(before)
 
 
 def _followed(best: DataFrame) -> DataFrame:

@@ -332,6 +332,16 @@ def test_tree_of_clusters_compares_few_pairs(spark):
     assert sum(compared) < 0.2 * len(compared) * len(x) ** 2 / 2, compared
 
 
+def test_cells_are_dealt_to_a_bounded_number_of_groups(spark, monkeypatch):
+    """Of 25, 150 and 244 cells (1,000,000 rows) each is dealt 12, 12 and 16 times; 16 cells and more in three groups give Prim's tree, where bounds leave out little."""
+    assert [cluster.block_count(n, 1, cluster.GROUPS, cluster.GROUP_CELLS) for n in (3, 25, 150, 244)] == [3, 12, 12, 16]
+    monkeypatch.setattr(cluster, "GROUPS", 3)
+    monkeypatch.setattr(cluster, "GROUP_CELLS", 1_000)
+    x = np.random.default_rng(9).normal(size=(320, 12)) + 1e3
+    tree = cluster.distributed_tree(points(spark, x).withColumnRenamed("seq_no", "key"), len(x), 20).collect()
+    assert sorted(sorted((r.a, r.b)) for r in tree) == sorted(sorted(map(int, e[:2])) for e in cluster.spanning_tree(x))
+
+
 def points(spark, x):
     return spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "seq_no int, vector array<double>")
 
