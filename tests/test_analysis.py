@@ -520,6 +520,40 @@ def test_no_copy_is_the_neighbour_of_all_its_copies(spark, monkeypatch):
     assert got == {i: [j for j in range(6) if j != i][:5] for i in range(200)}
 
 
+def test_edges_pull_as_one_by_one():
+    rng = np.random.default_rng(3)
+    rows, cols, p = np.sort(rng.choice(np.r_[0:20, 25:40], 300)), rng.integers(0, 90, 300), rng.random(300)
+    for k in (2, 3):
+        y, around = rng.normal(size=(40, k)), rng.normal(size=(50, k))
+        want = np.zeros((40, k))
+        for r, c, w in zip(rows, cols, p, strict=True):
+            gap = y[r] - np.r_[y, around][c]
+            want[r] += w * gap / (1 + gap @ gap)
+        assert np.allclose(embed._Pull(rows, cols, p)(y, around), want, atol=1e-12)
+
+
+def test_blocks_of_a_layout_have_a_partition_each(spark):
+    """One partition holds two of twelve blocks numbered from 0, and its task takes twice as long in each round."""
+    dealt = lambda numbers, to: spark.createDataFrame([(k,) for k in numbers], "block int").repartition(to, "block").select(F.spark_partition_id()).distinct().count()
+    assert dealt(range(12), 24) < 12
+    for blocks in (1, 3, 12, 16):
+        numbers = embed._numbers(spark, blocks)
+        assert len(numbers) == dealt(numbers, blocks) == blocks
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e4])
+def test_nearest_of_many_tiles(spark, monkeypatch, shift):
+    """Lists are sorted late and distances are measured in the end; 120 copies and near ties are settled exactly, also far from the origin."""
+    for name, value in (("BLOCK", 150), ("SPLIT", 2), ("TILE", 16)):
+        monkeypatch.setattr(embed, name, value)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(180, 6)), np.tile(rng.normal(size=6), (120, 1)), rng.normal(size=6) + rng.normal(size=(100, 6)) * 1e-6])[rng.permutation(400)] + shift
+    got = {r.i: [(e.d, e.j) for e in r.near] for r in embed.nearest(points(spark, x).select(F.col("seq_no").cast("long").alias("i"), "vector"), 400, 9).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert got == {k: [(d[k, j], j) for j in np.lexsort((range(400), d[k]))[:9].tolist()] for k in range(400)}
+
+
 def test_charges_of_parts_add_up():
     y = np.random.default_rng(5).normal(size=(400, 2)) * [9, 3]
     grid = embed.Grid(y.min(0), y.max(0))
