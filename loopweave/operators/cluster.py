@@ -263,7 +263,7 @@ class _Ways:
             np.maximum.at(best, self.comp[b], other.max(0))
             best = (best - 3 * self.slack).astype(np.float32)
             least, most = np.maximum(least, best[self.comp[a]]), np.maximum(most, best[self.comp[b]])
-        r, c = np.nonzero((s >= least[:, None]) | (s >= most[None, :]))
+        r, c = np.divmod(np.flatnonzero((s >= least[:, None]) | (s >= most[None, :])), len(b))
         r, c = a[r], b[c]
         some = self.comp[r] != self.comp[c]
         r, c = r[some], c[some]
